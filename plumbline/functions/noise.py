@@ -1,0 +1,30 @@
+"""Reproducible noise from a row number: integer arithmetic only, so it stays in generated code,
+does not depend on partitioning or retries, and other engines can recompute it."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column, functions as F
+
+PRIME = 2_147_483_647
+GENERATOR = 48_271  # a primitive root of PRIME; its powers give each stream its own multiplier
+
+SPARK_OPERATORS = {"xor": "({0} ^ {1})", "shift": "shiftright({0}, {1})"}
+
+
+def noise_sql(n: str, stream: int, operators: Mapping[str, str] = SPARK_OPERATORS) -> str:
+    """SQL text of a number in [0, PRIME) for row ``n``; each ``stream`` is its own sequence."""
+    first, second = pow(GENERATOR, 1009 * (stream + 1), PRIME), pow(GENERATOR, 2003 * (stream + 1), PRIME)
+    start = f"((({n}) % {PRIME}) * {first} + {7919 * stream}) % {PRIME}"
+    folded = operators["xor"].format(f"({start})", operators["shift"].format(f"({start})", 13))
+    return f"(({folded} % {PRIME}) * {second} % {PRIME})"
+
+
+def uniform_sql(n: str, stream: int, low: int, high: int, operators: Mapping[str, str] = SPARK_OPERATORS) -> str:
+    """SQL text of an integer between ``low`` and ``high`` inclusive."""
+    return f"({low} + {noise_sql(n, stream, operators)} % {high - low + 1})"
+
+
+def uniform(n: str, stream: int, low: int, high: int) -> Column:
+    return F.expr(uniform_sql(n, stream, low, high))

@@ -32,9 +32,9 @@ def overview_kpis(latest: DataFrame, daily: DataFrame, as_of: datetime, days: in
         F.max("run_ts").alias("last_run_ts"),
     )
     two_days = score_trend(daily, as_of, days).orderBy(F.col("run_date").desc()).limit(2)
-    before = two_days.agg(F.when(F.count(F.lit(1)) > 1, F.min_by("dq_score", "run_date")).alias("previous_score"))
+    before = two_days.agg(F.when(F.count(F.lit(1)) > 1, F.min_by("dq_score", "run_date")))
     passing = F.col("checks") - F.col("failing") - F.col("errored")
-    return today.join(before, how="cross").select(  # one row each
+    return today.withColumn("previous_score", before.scalar()).select(
         "*",
         passing.alias("passing"),
         F.round(100 * passing / F.nullif(F.col("checks"), F.lit(0)), 0).alias("pass_rate"),
