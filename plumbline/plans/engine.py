@@ -66,15 +66,12 @@ def measure(checks: Iterable[tuple[int, Check]], registry: Registry) -> DataFram
 
 
 def _fused(group: list[tuple[int, Check]], registry: Registry) -> DataFrame:
-    measured = [
-        F.struct(
-            F.lit(position).alias("position"),
-            F.expr(check.total).cast("long").alias("total_rows"),
-            F.expr(check.failed).cast("long").alias("failed_rows"),
-        )
+    measured = ", ".join(
+        f"named_struct('position', {position}, 'total_rows', CAST({check.total} AS BIGINT), "
+        f"'failed_rows', CAST({check.failed} AS BIGINT))"
         for position, check in group
-    ]
-    return group[0][1].source(registry).agg(F.array(*measured).alias("m")).select(F.inline("m"))
+    )
+    return group[0][1].source(registry).agg(F.expr(f"array({measured})").alias("m")).select(F.inline("m"))
 
 
 def run_checks(
@@ -112,10 +109,12 @@ def run_checks(
 
     # Rules of one table are neighbours, so that splitting after a failure keeps scans shared.
     order = sorted(checks, key=lambda p: (checks[p].fqn.upper(), checks[p].row_filter or "", p))
-    order = _analysable(spark, order, checks, registry, errors)
-    for batch in ([order] if fuse else [[p] for p in order]):
-        if batch:
-            _evaluate(batch, checks, registry, counts, errors, took)
+    order, plan = _analysable(spark, order, checks, registry, errors)
+    if fuse and order:
+        _evaluate(order, checks, registry, counts, errors, took, plan)
+    elif not fuse:
+        for position in order:
+            _evaluate([position], checks, registry, counts, errors, took)
 
     trigger = (triggered_by or "MANUAL").upper()
     rows = []
@@ -130,41 +129,46 @@ def run_checks(
     return judge(spark.createDataFrame(rows, _MEASURED))
 
 
-def _analysable(spark, batch, checks, registry, errors) -> list[int]:
-    """The rules Spark can plan. Unknown tables and columns, type mismatches, broken predicates and
-    bad patterns are found here, on the driver, before any data is read."""
-    planned = []
+def _analysable(spark, batch, checks, registry, errors) -> tuple[list[int], DataFrame | None]:
+    """The rules Spark can plan, and their plan. Unknown tables and columns, type mismatches, broken
+    predicates and bad patterns are found here, on the driver, before any data is read."""
+    sound = []
     for position in batch:
         try:
             if checks[position].probe:
                 spark.sql(f"SELECT {checks[position].probe}").collect()  # folded, starts no job
-            planned.append(position)
+            sound.append(position)
         except Exception as problem:  # noqa: BLE001
             errors[position] = _message(problem)
-    return _plannable(planned, checks, registry, errors)
+    return _plannable(sound, checks, registry, errors)
 
 
-def _plannable(batch, checks, registry, errors) -> list[int]:
+def _plannable(batch, checks, registry, errors) -> tuple[list[int], DataFrame | None]:
     if not batch:
-        return []
+        return [], None
     try:
-        measure([(p, checks[p]) for p in batch], registry).schema
-        return batch
+        plan = measure([(p, checks[p]) for p in batch], registry)
+        plan.schema
+        return batch, plan
     except Exception as problem:  # noqa: BLE001
         if len(batch) == 1:
             errors[batch[0]] = _message(problem)
-            return []
+            return [], None
     middle = len(batch) // 2
-    return (_plannable(batch[:middle], checks, registry, errors)
-            + _plannable(batch[middle:], checks, registry, errors))
+    first, _ = _plannable(batch[:middle], checks, registry, errors)
+    second, _ = _plannable(batch[middle:], checks, registry, errors)
+    whole = first + second
+    return whole, measure([(p, checks[p]) for p in whole], registry) if whole else None
 
 
-def _evaluate(batch, checks, registry, counts, errors, took) -> None:
+def _evaluate(batch, checks, registry, counts, errors, took, plan: DataFrame | None = None) -> None:
     """Run a batch as one job. When it fails, halve it until the rules to blame are alone: one bad
     rule among n costs about 2 log n further jobs, not n."""
     started = time.monotonic()
     try:
-        measured = measure([(p, checks[p]) for p in batch], registry).collect()
+        if plan is None:
+            plan = measure([(p, checks[p]) for p in batch], registry)
+        measured = plan.collect()
     except Exception as problem:  # noqa: BLE001
         if len(batch) == 1:
             errors[batch[0]] = _message(problem)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -23,20 +23,27 @@ COLUMNS_SCHEMA = T.StructType([
 
 
 class Registry:
-    """Maps ``DB.SCHEMA.TABLE`` to a DataFrame. Names that were not registered are looked up in the
-    session catalog, so catalog tables and views need no registration."""
+    """Maps ``DB.SCHEMA.TABLE`` to a DataFrame, or to a function that opens one when it is first
+    needed. Names that were not registered are looked up in the session catalog, so catalog tables
+    and views need no registration."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._frames: dict[str, tuple[str, DataFrame, str]] = {}
+        self._known: dict[str, tuple[str, DataFrame | Callable[[], DataFrame], str]] = {}
 
-    def register(self, fqn: str, frame: DataFrame, table_type: str = "BASE TABLE") -> "Registry":
-        self._frames[fqn.upper()] = (fqn, frame, table_type)
+    def register(self, fqn: str, frame: DataFrame | Callable[[], DataFrame],
+                 table_type: str = "BASE TABLE") -> "Registry":
+        self._known[fqn.upper()] = (fqn, frame, table_type)
         return self
 
     def resolve(self, fqn: str) -> DataFrame:
-        known = self._frames.get(fqn.upper())
-        return known[1] if known else self.spark.table(quote_fqn(fqn))
+        if fqn.upper() not in self._known:
+            return self.spark.table(quote_fqn(fqn))
+        name, frame, kind = self._known[fqn.upper()]
+        if not isinstance(frame, DataFrame):
+            frame = frame()
+            self._known[fqn.upper()] = (name, frame, kind)
+        return frame
 
     def register_schema(self, database: str, schema: str) -> "Registry":
         """Register every table and view of one catalog schema (table discovery)."""
@@ -47,7 +54,7 @@ class Registry:
         return self
 
     def names(self) -> list[str]:
-        return sorted(fqn for fqn, _, _ in self._frames.values())
+        return sorted(fqn for fqn, _, _ in self._known.values())
 
     def schemas(self) -> list[str]:
         return sorted({fqn.rpartition(".")[0] for fqn in self.names()})
@@ -56,15 +63,15 @@ class Registry:
 
     def tables(self) -> DataFrame:
         """One row per registered table; schema metadata only, no data is read."""
-        rows = [(fqn, fqn.split(".")[-1], kind) for fqn, _, kind in self._frames.values()]
+        rows = [(fqn, fqn.split(".")[-1], kind) for fqn, _, kind in self._known.values()]
         return self.spark.createDataFrame(sorted(rows), TABLES_SCHEMA)
 
     def columns(self) -> DataFrame:
         """One row per column of every registered table; schema metadata only."""
         rows = [
             (fqn, fqn.split(".")[-1], field.name, field.dataType.simpleString(), position)
-            for fqn, frame, _ in self._frames.values()
-            for position, field in enumerate(frame.schema.fields, start=1)
+            for fqn in self.names()
+            for position, field in enumerate(self.resolve(fqn).schema.fields, start=1)
         ]
         return self.spark.createDataFrame(sorted(rows, key=lambda r: (r[0], r[4])), COLUMNS_SCHEMA)
 

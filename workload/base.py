@@ -7,6 +7,7 @@ result (its user is the rule) and every customer is one rule.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str, *names: str) -> Registry:
     known = Registry(spark)
     for name in names or TABLES:
-        known.register(f"{DATABASE}.{SCHEMA}.{name}", read(spark, sf_dir, name))
+        known.register(f"{DATABASE}.{SCHEMA}.{name}", partial(read, spark, sf_dir, name))
     return known
 
 

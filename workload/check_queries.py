@@ -28,11 +28,11 @@ def inputs(spark: SparkSession, sf_dir: str) -> Registry:
     """The given tables and views that inject defects into them (the tables hold no NULLs and no
     orphans)."""
     known = registry(spark, sf_dir)
-    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    known.register(f"{DATABASE}.{SCHEMA}.orders_open", orders.withColumn(
+    known.register(f"{DATABASE}.{SCHEMA}.orders_open", lambda: read(spark, sf_dir, "orders").withColumn(
         "o_orderpriority", F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED"))).withColumn(
         "o_custkey", F.when(F.col("o_orderpriority").isNotNull(), F.col("o_custkey"))))
-    known.register(f"{DATABASE}.{SCHEMA}.builders", customer.where("c_mktsegment = 'BUILDING'"))
+    known.register(f"{DATABASE}.{SCHEMA}.builders", lambda: read(spark, sf_dir, "customer").where(
+        "c_mktsegment = 'BUILDING'"))
     return known
 
 
@@ -46,7 +46,7 @@ VIEWS = {
 
 def verdict(number: int, kind: str, total: str, failed: str, source: str, threshold: float = 0.0) -> str:
     pct = "CASE WHEN total_rows = 0 THEN 0.0 ELSE round(100.0::DOUBLE * failed_rows / total_rows, 4) END"
-    return (f"SELECT {number} AS rule_id, '{kind}' AS rule_type, total_rows, failed_rows, {pct} AS failed_pct, "
+    return (f"SELECT {number}::BIGINT AS rule_id, '{kind}' AS rule_type, total_rows, failed_rows, {pct} AS failed_pct, "
             f"CASE WHEN {pct} > {threshold} THEN 'FAIL' ELSE 'PASS' END AS status "
             f"FROM (SELECT ({total})::BIGINT AS total_rows, ({failed})::BIGINT AS failed_rows FROM {source})")
 
@@ -177,7 +177,7 @@ BROKEN_RULES = (
 _register("run_error_isolation",
           lambda spark, sf_dir: run_checks(spark, BROKEN_RULES, inputs(spark, sf_dir), as_of=AS_OF).select(
               "rule_id", "total_rows", "failed_rows", "status"),
-          "SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS rule_id, NULL::BIGINT AS total_rows, NULL::BIGINT AS failed_rows, "
+          "SELECT unnest([1, 2, 3, 4, 5, 6, 7])::BIGINT AS rule_id, NULL::BIGINT AS total_rows, NULL::BIGINT AS failed_rows, "
           "'ERROR' AS status UNION ALL SELECT 8, count(*), count(*) FILTER (value > 100), "
           "CASE WHEN count(*) FILTER (value > 100) > 0 THEN 'FAIL' ELSE 'PASS' END FROM events "
           "UNION ALL SELECT 9, count(*), count(*) FILTER (event_type IS NULL), 'PASS' FROM events")

@@ -235,9 +235,11 @@ ORACLE["schema_overview"] = with_inputs("", "latest").rstrip() + _COVERAGE + (
     "coverage_pct, dq_score FROM counted LEFT JOIN coverage USING (table_name) LEFT JOIN scores USING (table_name)")
 _register("row_counts", lambda s, d: registry(s, d).row_counts().select("table_name", "row_count"), _ROW_COUNTS)
 _register("table_sizes", lambda s, d: registry(s, d).sizes(), None)
-_register("column_discovery", lambda s, d: registry(s, d).columns().select("table_name", "column_name", "ordinal_position"),
-          "SELECT table_name, column_name, ordinal_position FROM information_schema.columns "
-          f"WHERE table_name IN ({_NAMES})")
+_register("column_discovery",
+          lambda s, d: registry(s, d).columns().join(registry(s, d).row_counts().select("table_fqn", "row_count"), "table_fqn")
+          .select("table_name", "column_name", "ordinal_position", "row_count"),
+          f"SELECT table_name, column_name, ordinal_position, row_count FROM information_schema.columns "
+          f"JOIN ({_ROW_COUNTS}) USING (table_name)")
 
 # -- keyed table maintenance --------------------------------------------------------------------------
 
