@@ -230,13 +230,13 @@ def recent_notifications(history: DataFrame, as_of: datetime, days: int) -> Data
 def policy_problems(policies: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
     """Per policy: malformed addresses, addresses outside the allowed list, and what else keeps the
     policy from being saved."""
-    addresses = F.filter(F.transform(F.split("recipients", ","), F.trim), lambda a: a != "")
+    addresses = F.filter(F.transform(F.split("recipients", ","), lambda a: F.trim(a)), lambda a: a != "")
     is_email = F.upper("channel_type") == "EMAIL"
     malformed = F.filter(addresses, lambda a: ~a.rlike(EMAIL_PATTERN))
     known = F.array(*[F.lit(a.lower()) for a in allowed])
     blocked = F.filter(addresses, lambda a: a.rlike(EMAIL_PATTERN) & ~F.array_contains(known, F.lower(a)))
     none = F.array().cast("array<string>")
-    severities = F.filter(F.transform(F.split("severity_filter", ","), F.trim), lambda s: s != "")
+    severities = F.filter(F.transform(F.split("severity_filter", ","), lambda s: F.trim(s)), lambda s: s != "")
     no_severity = F.coalesce(F.size(severities), F.lit(0)) < 1
     problems = F.array_compact(F.array(
         F.when(is_email & (F.size(malformed) > 0),
