@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, functions as F
@@ -60,10 +61,7 @@ def in_scope(table_fqn: Column, scope: str | None) -> Column:
 
 def contains_any(text: Column, fragments: tuple[str, ...]) -> Column:
     """True when any of the literal fragments occurs in the text."""
-    hit = F.lit(False)
-    for fragment in fragments:
-        hit = hit | text.contains(fragment)
-    return hit
+    return text.rlike("|".join(re.escape(fragment) for fragment in fragments))
 
 
 def fixed(value: Column, places: int) -> Column:

@@ -18,7 +18,7 @@ from plumbline.functions.time import recent
 from plumbline.model import (
     ALERT_HISTORY_SCHEMA, ALERT_POLICIES_SCHEMA, CHANNELS, DEFAULT_RETENTION_DAYS, DEFAULT_SEVERITY_FILTER,
 )
-from plumbline.operators.scoring import previous_results, table_health
+from plumbline.operators.scoring import latest_results, previous_results, table_health
 
 # Limits and texts of the notifications.
 RECENT_HOURS = 6
@@ -37,12 +37,15 @@ def select_policies(policies: DataFrame, alert_id: int | None = None) -> list[Ro
     return chosen.select(*ALERT_POLICIES_SCHEMA.names).orderBy("alert_id").collect()
 
 
-def current_failures(latest: DataFrame, as_of: datetime, test: bool = False) -> DataFrame:
-    """Latest results that do not pass, from the last six hours unless testing."""
-    rows = latest.where(F.col("status") != "PASS")
+def current_failures(results: DataFrame, rules: DataFrame, as_of: datetime, test: bool = False) -> DataFrame:
+    """Latest results that do not pass, from the last six hours unless testing. A result that is
+    the latest of all is also the latest of the window, so only the window is read."""
     if not test:
-        rows = rows.where(F.col("run_ts") > F.expr(timestamp_literal(as_of - timedelta(hours=RECENT_HOURS))))
-    return rows
+        cutoff = as_of - timedelta(hours=RECENT_HOURS)
+        results = results.where(F.col("run_ts") > F.expr(timestamp_literal(cutoff)))
+        if "run_date" in results.columns:
+            results = results.where(F.col("run_date") >= F.lit(cutoff.date()))
+    return latest_results(results, rules).where(F.col("status") != "PASS")
 
 
 def _new_only(policy: Row) -> bool:
@@ -60,11 +63,14 @@ def _per_policy(rows: DataFrame, matches: Sequence[tuple[int, Column]]) -> DataF
     return rows.withColumn("alert_id", F.explode(ids))
 
 
-def matched_failures(failures: DataFrame, previous: DataFrame, policies: Sequence[Row], test: bool = False) -> DataFrame:
+def matched_failures(failures: DataFrame, results: DataFrame, policies: Sequence[Row], test: bool = False) -> DataFrame:
     """``alert_id`` with the failures its severities, scope and mode select. A failure is new when
-    the result before it passed or does not exist."""
-    before = previous.select("rule_id", F.col("status").alias("previous_status"))
-    judged = failures.join(before, "rule_id", "left")
+    the result before it passed or does not exist; the history is only read if a policy asks."""
+    if test or not any(_new_only(p) for p in policies):
+        judged = failures.withColumn("previous_status", F.lit(None).cast("string"))
+    else:
+        before = previous_results(results).select("rule_id", F.col("status").alias("previous_status"))
+        judged = failures.join(before, "rule_id", "left")
     is_new = F.col("previous_status").isNull() | (F.col("previous_status") == "PASS")
     matches = []
     for policy in policies:
@@ -120,25 +126,28 @@ def _low_line(low: DataFrame) -> DataFrame:
 def evaluate_alerts(
     spark: SparkSession,
     results: DataFrame,
-    latest: DataFrame,
+    rules: DataFrame,
     policies: Sequence[Row],
     as_of: datetime,
     *,
     app_url: str = "",
     test: bool = False,
-    health: DataFrame | None = None,
 ) -> DataFrame:
     """One alert history row per policy, plus the full ``message``. Nothing is sent: a policy with
     something to report is ``READY``, one without is ``SKIPPED``."""
-    matched = matched_failures(current_failures(latest, as_of, test), previous_results(results), policies, test)
-    low = low_score_tables(table_health(latest) if health is None else health, policies)
+    matched = matched_failures(current_failures(results, rules, as_of, test), results, policies, test)
 
     config = spark.createDataFrame(
         [(p["alert_id"], p["alert_name"], p["channel_type"], p["recipients"],
           None if p["min_score"] is None else float(p["min_score"]), _new_only(p)) for p in policies],
         "alert_id long, alert_name string, channel_type string, recipients string, min_score double, new_only boolean",
     )
-    evaluated = config.join(_failure_lines(matched), "alert_id", "left").join(_low_line(low), "alert_id", "left")
+    evaluated = config.join(_failure_lines(matched), "alert_id", "left")
+    if any(p["min_score"] is not None for p in policies):
+        low = low_score_tables(table_health(latest_results(results, rules)), policies)
+        evaluated = evaluated.join(_low_line(low), "alert_id", "left")
+    else:
+        evaluated = evaluated.withColumn("low_tables", F.lit(None).cast("string"))
 
     count = F.coalesce("failures_count", F.lit(0).cast("long"))
     nothing = F.col("failures_count").isNull() & F.col("low_tables").isNull()

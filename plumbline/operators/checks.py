@@ -71,14 +71,16 @@ class Check:
     def sample_sql(self) -> str:
         if self.keys:
             key = ", ".join(self.keys)
+            order = ", ".join(f"{k} NULLS LAST" for k in self.keys)
             match = " AND ".join(f"t.{k} <=> d.{k}" for k in self.keys)
             return (f"SELECT t.* FROM (SELECT * {self._from()}) t LEFT SEMI JOIN (SELECT {key} {self._from()} "
-                    f"GROUP BY {key} HAVING count(*) > 1 ORDER BY {key} LIMIT {SAMPLE_ROWS}) d ON {match} "
-                    f"ORDER BY {key} LIMIT {SAMPLE_ROWS}")
+                    f"GROUP BY {key} HAVING count(*) > 1 ORDER BY {order} LIMIT {SAMPLE_ROWS}) d ON {match} "
+                    f"ORDER BY {order} LIMIT {SAMPLE_ROWS}")
         if self.parent:
             table, column = self.parent
             return (f"SELECT t.* FROM (SELECT * {self._from(self._column + ' IS NOT NULL')}) t "
-                    f"LEFT ANTI JOIN {table} p ON t.{self._column} = p.{column} LIMIT {SAMPLE_ROWS}")
+                    f"LEFT ANTI JOIN {table} p ON t.{self._column} = p.{column} "
+                    f"ORDER BY t.{self._column} LIMIT {SAMPLE_ROWS}")
         if self.detail:
             return f"SELECT {', '.join(self.detail)} {self._from()}"
         return f"SELECT * {self._from(self.failing_row or 'TRUE')} LIMIT {SAMPLE_ROWS}"
@@ -250,36 +252,37 @@ def count_orphans(source: DataFrame, column: str, parent: DataFrame, parent_colu
 
 
 def failing_rows(check: Check, registry: Registry, limit: int = SAMPLE_ROWS, order_by: tuple[str, ...] = ()) -> DataFrame:
-    """Example rows behind a failed check. Without ``order_by`` any failing rows are returned
-    (uniqueness samples always come in key order); with it the sample is deterministic."""
+    """Example rows behind a failed check. Uniqueness and referential samples come in key order;
+    ``order_by`` makes any sample deterministic."""
     source = check.source(registry)
+    if check.detail:
+        return source.agg(*[F.expr(d) for d in check.detail])
     order = [F.expr(c).asc_nulls_last() for c in order_by]
     if check.keys:
-        return _duplicate_rows(source, check.keys, order, limit)
+        counted = _keyed(source, check.keys).agg(F.count(F.lit(1)).alias("__n"))
+        return _rows_of_first_keys(source, check.keys, counted.where("__n > 1").drop("__n"), order, limit)
     if check.parent:
-        table, column = check.parent
-        fk = quote(check.rule.columns[0])
-        known = registry.resolve(check.rule.params["ref_table"]).select(F.expr(column).alias("__ref")).distinct()
-        child = source.where(F.expr(f"{fk} IS NOT NULL"))
-        rows = child.join(known, child[check.rule.columns[0]] == known["__ref"], "left_anti")
-    elif check.detail:
-        return source.agg(*[F.expr(d) for d in check.detail])
-    else:
-        rows = source.where(F.expr(check.failing_row))
+        parent = registry.resolve(check.rule.params["ref_table"])
+        known = parent.select(F.expr(check.parent[1]).alias("__ref")).distinct()
+        fk = check._column
+        keys = _keyed(source.where(F.expr(f"{fk} IS NOT NULL")), (fk,)).agg(F.lit(1).alias("__one")).drop("__one")
+        orphans = keys.join(known, keys["__key0"] == known["__ref"], "left_anti")
+        return _rows_of_first_keys(source, (fk,), orphans, order, limit)
+    rows = source.where(F.expr(check.failing_row))
     return (rows.orderBy(*order) if order else rows).limit(limit)
 
 
-def _duplicate_rows(source: DataFrame, keys: tuple[str, ...], order: list, limit: int) -> DataFrame:
-    """The first repeated keys, then their rows: at most ``limit`` keys are ever needed, so that
-    side is broadcast by construction and the rows of a hot key meet a top-n, not a window."""
+def _keyed(source: DataFrame, keys: tuple[str, ...]):
+    return source.groupBy(*[F.expr(k).alias(f"__key{i}") for i, k in enumerate(keys)])
+
+
+def _rows_of_first_keys(source: DataFrame, keys: tuple[str, ...], failing: DataFrame, order: list, limit: int) -> DataFrame:
+    """Rows of the first failing keys. Every key owns a row, so ``limit`` keys are enough: that
+    side is broadcast by construction, and the rows of a hot key meet a top-n, not a shuffle."""
     names = [f"__key{i}" for i in range(len(keys))]
-    repeated = (
-        source.groupBy(*[F.expr(k).alias(n) for k, n in zip(keys, names)])
-        .agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-        .orderBy(*[F.col(n).asc_nulls_last() for n in names]).limit(limit).select(*names)
-    )
+    first = failing.select(*names).orderBy(*[F.col(n).asc_nulls_last() for n in names]).limit(limit)
     same = F.lit(True)
     for key, name in zip(keys, names):
-        same = same & source[key.strip("`")].eqNullSafe(repeated[name])
+        same = same & source[key].eqNullSafe(first[name])
     in_key_order = [F.expr(k).asc_nulls_last() for k in keys]
-    return source.join(F.broadcast(repeated), same, "left_semi").orderBy(*in_key_order, *order).limit(limit)
+    return source.join(F.broadcast(first), same, "left_semi").orderBy(*in_key_order, *order).limit(limit)

@@ -14,7 +14,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from plumbline.functions.text import quote, timestamp_literal
+from plumbline.functions.text import quote, string_literal, timestamp_literal
 from plumbline.functions.time import boundary_difference_sql
 
 # Limits of the profiler.
@@ -86,66 +86,75 @@ def profile_table(
 ) -> DataFrame:
     """One row per column. ``row_count`` (counted when not given) decides whether the table is
     sampled. Sensitive columns only get null and distinct counts."""
+    return _finish(_figures(frame, table, as_of, row_count, max_rows, seed, sensitive))
+
+
+def profile_tables(frames: Mapping[str, DataFrame], *, as_of: datetime,
+                   row_counts: Mapping[str, int] | None = None, max_rows: int = MAX_PROFILE_ROWS, seed: int = 42,
+                   sensitive: Mapping[str, str] | None = None) -> DataFrame:
+    """Profiles of many tables as one plan; tables known to be empty are left out."""
+    counts = row_counts or {}
+    return _finish(_union([
+        _figures(frame, name, as_of, counts.get(name), max_rows, seed, sensitive)
+        for name, frame in frames.items()
+        if counts.get(name, 1) > 0
+    ]))
+
+
+def _figures(frame: DataFrame, table: str, as_of: datetime, row_count: int | None, max_rows: int, seed: int,
+             sensitive: Mapping[str, str] | None) -> DataFrame:
+    """The measured part of a profile: counts, bounds, age, distinct count, smallest values."""
     guarded = dict(sensitive_columns(frame.schema) if sensitive is None else sensitive)
-    if row_count is None:
-        row_count = frame.count()
-    pct = sampling_pct(row_count, max_rows)
+    pct = sampling_pct(frame.count() if row_count is None else row_count, max_rows)
     source = frame if pct is None else frame.sample(fraction=pct / 100, seed=seed)
 
-    groups = [frame.schema.fields[i:i + COLUMNS_PER_PASS] for i in range(0, len(frame.schema.fields), COLUMNS_PER_PASS)]
-    position = {f.name: i for i, f in enumerate(frame.schema.fields, start=1)}
-    measured = _union([_measure(source, g, position, guarded, as_of) for g in groups])
-    distinct = _union([d for g in groups for d in _distinct(source, g, guarded)])
-    profile = measured.join(distinct, "column_name", "left")
-
-    total = F.greatest(F.col("total_rows"), F.lit(1))
-    reason = F.lit(None).cast("string")
-    for name, why in guarded.items():
-        reason = F.when(F.col("column_name") == name, why).otherwise(reason)
-    profile = (
-        profile.withColumn("table_name", F.lit(table))
-        .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
-        .withColumn("null_pct", F.round(100.0 * F.col("null_count") / total, 2))
-        .withColumn("uniqueness_pct", F.round(100.0 * F.col("distinct_count") / total, 2))
-        .withColumn("sensitive", reason)
-        .withColumn("sample_values", F.coalesce(F.array_join(F.slice("smallest", 1, SAMPLE_VALUES), ", "), F.lit("")))
-    )
+    positioned = list(enumerate(frame.schema.fields, start=1))
+    groups = [positioned[i:i + COLUMNS_PER_PASS] for i in range(0, len(positioned), COLUMNS_PER_PASS)]
+    measured = _union([_measure(source, table, g, guarded, as_of) for g in groups])
+    distinct = _union([d for g in groups for d in _distinct(source, [f for _, f in g], guarded)])
+    figures = measured.join(distinct, "column_name", "left")
     if pct is None:
-        values = F.when(_categorical(), F.col("smallest"))
-        profile = profile.withColumn("values_list", values)
-    else:
-        profile = profile.join(_verified_values(frame, profile), "column_name", "left")
-    return profile.withColumn("signals", signals()).select(
+        return figures.withColumn("values_list", F.when(_categorical(), F.col("smallest")))
+    # One row per column: keep the sampled figures, then verify the candidates on all rows.
+    figures = frame.sparkSession.createDataFrame(figures.collect(), figures.schema)
+    return figures.join(_verified_values(frame, figures), "column_name", "left")
+
+
+def _finish(figures: DataFrame) -> DataFrame:
+    total = "greatest(total_rows, 1)"
+    derived = figures.selectExpr(
+        "*",
+        "coalesce(distinct_count, 0) AS n_distinct",
+        f"round(100.0D * null_count / {total}, 2) AS null_pct",
+        f"round(100.0D * coalesce(distinct_count, 0) / {total}, 2) AS uniqueness_pct",
+        f"coalesce(array_join(slice(smallest, 1, {SAMPLE_VALUES}), ', '), '') AS sample_values",
+    )
+    return derived.select(
         "table_name", "column_name", "data_type", "family", "ordinal_position", "total_rows", "null_count",
-        "distinct_count", "min_value", "max_value", "age_hours", "sample_values", "sensitive", "null_pct",
-        "uniqueness_pct", "values_list", "signals",
+        F.col("n_distinct").alias("distinct_count"), "min_value", "max_value", "age_hours", "sample_values", "sensitive",
+        "null_pct", "uniqueness_pct", "values_list", signals().alias("signals"),
     )
 
 
-def _measure(source: DataFrame, fields: list[T.StructField], position: Mapping[str, int],
+def _measure(source: DataFrame, table: str, positioned: list[tuple[int, T.StructField]],
              guarded: Mapping[str, str], as_of: datetime) -> DataFrame:
     """Counts, bounds and age of a group of columns in one aggregate."""
     rows = []
-    for field in fields:
-        column, kind = F.col(quote(field.name)), family(field.dataType)
+    for position, field in positioned:
+        column, kind = quote(field.name), family(field.dataType)
         readable = kind != "complex" and field.name not in guarded
-        none = F.lit(None).cast("string")
-        age = F.lit(None).cast("double")
+        bound = "CAST({0}(" + column + ") AS STRING)" if readable else "CAST(NULL AS STRING)"
+        age = "CAST(NULL AS DOUBLE)"
         if kind == "temporal" and readable:
-            minutes = boundary_difference_sql("MINUTE", timestamp_literal(as_of), f"max({quote(field.name)})")
-            age = F.expr(minutes) / F.lit(60.0)
-        rows.append(F.struct(
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("data_type"),
-            F.lit(kind).alias("family"),
-            F.lit(position[field.name]).alias("ordinal_position"),
-            F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(column.isNull()).alias("null_count"),
-            (F.min(column).cast("string") if readable else none).alias("min_value"),
-            (F.max(column).cast("string") if readable else none).alias("max_value"),
-            age.alias("age_hours"),
-        ))
-    return source.agg(F.array(*rows).alias("m")).select(F.inline("m"))
+            age = boundary_difference_sql("MINUTE", timestamp_literal(as_of), f"max({column})") + " / 60.0D"
+        reason = string_literal(guarded[field.name]) if field.name in guarded else "CAST(NULL AS STRING)"
+        rows.append(
+            f"named_struct('table_name', {string_literal(table)}, 'column_name', {string_literal(field.name)}, "
+            f"'data_type', {string_literal(field.dataType.simpleString())}, 'family', '{kind}', "
+            f"'ordinal_position', {position}, 'sensitive', {reason}, 'total_rows', count(*), "
+            f"'null_count', count_if({column} IS NULL), 'min_value', {bound.format('min')}, "
+            f"'max_value', {bound.format('max')}, 'age_hours', {age})")
+    return source.agg(F.expr(f"array({', '.join(rows)})").alias("m")).select(F.inline("m"))
 
 
 def _distinct(source: DataFrame, fields: list[T.StructField], guarded: Mapping[str, str]) -> list[DataFrame]:
@@ -214,28 +223,14 @@ def _verified_values(frame: DataFrame, profile: DataFrame) -> DataFrame:
 
 def signals() -> Column:
     """Short hints per column, in a fixed order."""
-    key = F.upper("column_name").endswith("_ID")
-    negative = (F.col("family") == "numeric") & (F.expr("try_cast(min_value AS double)") < 0)
-    return F.concat_ws(
-        ", ",
-        F.when(F.col("sensitive").isNotNull(), F.concat(F.lit("sensitive ("), "sensitive", F.lit(")"))),
-        F.when(key & (F.col("uniqueness_pct") >= 99), "PK?").when(key, "FK?"),
-        F.when(F.size("values_list") > 0, "categorical"),
-        F.when(F.col("family") == "temporal", "timestamp"),
-        F.when(F.col("null_pct") > HIGH_NULLS_PCT, "high nulls"),
-        F.when(negative, "negatives"),
-    )
-
-
-def profile_tables(frames: Mapping[str, DataFrame], *, as_of: datetime,
-                   row_counts: Mapping[str, int] | None = None, **options) -> DataFrame:
-    """Profiles of many tables; without an explicit choice, empty tables are left out."""
-    counts = row_counts or {}
-    return _union([
-        profile_table(frame, name, as_of=as_of, row_count=counts.get(name), **options)
-        for name, frame in frames.items()
-        if counts.get(name, 1) > 0
-    ])
+    key = "endswith(upper(column_name), '_ID')"
+    return F.expr(f"""concat_ws(', ',
+        'sensitive (' || sensitive || ')',
+        CASE WHEN {key} AND uniqueness_pct >= 99 THEN 'PK?' WHEN {key} THEN 'FK?' END,
+        CASE WHEN size(values_list) > 0 THEN 'categorical' END,
+        CASE WHEN family = 'temporal' THEN 'timestamp' END,
+        CASE WHEN null_pct > {HIGH_NULLS_PCT} THEN 'high nulls' END,
+        CASE WHEN family = 'numeric' AND try_cast(min_value AS DOUBLE) < 0 THEN 'negatives' END)""")
 
 
 def profile_kpis(profile: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:

@@ -42,9 +42,11 @@ def parent_candidates(columns: DataFrame) -> DataFrame:
     return held.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2)
 
 
-def find_parents(keys: DataFrame, columns: DataFrame) -> DataFrame:
-    """``(table_name, column_name, parent, parent_confidence)`` for foreign-key-like columns."""
-    wanted = keys.select("table_name", "column_name", F.upper("column_name").alias("key_name"))
+def find_parents(columns: DataFrame) -> DataFrame:
+    """``(table_name, column_name, parent, parent_confidence)`` for the foreign-key-like columns of
+    a schema: those named ``..._ID`` that do not come first in their table."""
+    wanted = columns.where(F.upper("column_name").endswith("_ID") & (F.col("ordinal_position") > 1)).select(
+        "table_name", "column_name", F.upper("column_name").alias("key_name"))
     matched = wanted.join(parent_candidates(columns), "key_name").where(F.col("parent") != F.col("table_name"))
     return matched.groupBy("table_name", "column_name").agg(
         F.min_by("parent", "place").alias("parent"),
@@ -59,10 +61,7 @@ def suggest_rules(profile: DataFrame, existing: DataFrame, columns: DataFrame, r
     ``existing`` needs ``table_name, column_name, rule_type``; ``columns`` is the schema's column
     metadata and ``row_counts`` holds ``table_name, row_count``.
     """
-    upper = F.upper("column_name")
-    keys = profile.where(upper.endswith("_ID") & (F.col("ordinal_position") > 1)).select("table_name", "column_name")
-    parents = find_parents(keys, columns)
-    described = profile.join(parents, ["table_name", "column_name"], "left")
+    described = profile.join(find_parents(columns), ["table_name", "column_name"], "left")
     from_columns = described.select(
         F.explode(F.array_compact(F.array(*_column_candidates(database, schema)))).alias("c")).select("c.*")
     from_tables = row_counts.where(F.col("row_count") > 0).select(_volume_candidate().alias("c")).select("c.*")

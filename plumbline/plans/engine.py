@@ -207,6 +207,15 @@ def judge(measured: DataFrame, places: int = 4) -> DataFrame:
     return judged.select(*RESULTS_SCHEMA.names)
 
 
+def stored_sample(results: DataFrame, result_id: str, registry: Registry) -> DataFrame:
+    """The failing rows behind a stored result, from the sample SQL recorded with it; works for
+    rules that were edited or deleted since."""
+    row = results.where(F.col("result_id") == result_id).select("sample_sql").first()
+    if row is None or not row["sample_sql"]:
+        raise ValueError(f"no sample is stored for result {result_id!r}")
+    return registry.sql(row["sample_sql"])
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """One row per run: rules executed and how they ended."""
     return results.groupBy("run_id").agg(

@@ -47,9 +47,8 @@ def notify(store: Store, *, as_of: datetime, alert_id: int | None = None, test:
     policies = alerts.select_policies(store.rows(POLICIES), alert_id)
     if not policies:
         return None
-    results = store.read(RESULTS)
     evaluated = alerts.evaluate_alerts(
-        store.spark, results, latest_results(results, store.rows(RULES)), policies, as_of,
+        store.spark, store.read(RESULTS), store.rows(RULES), policies, as_of,
         app_url=(store.setting("APP_URL") or "").strip(), test=test)
     store.append(ALERT_HISTORY, alerts.to_history(evaluated))
     return evaluated

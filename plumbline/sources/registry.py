@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -45,6 +46,17 @@ class Registry:
             self._known[fqn.upper()] = (name, frame, kind)
         return frame
 
+    def sql(self, text: str) -> DataFrame:
+        """Run SQL that names registered datasets, such as the check and sample SQL of a stored
+        result. Each dataset the text mentions becomes a temporary view for it."""
+        for number, fqn in enumerate(self.names()):
+            mention = re.compile(re.escape(quote_fqn(fqn)), re.IGNORECASE)
+            if mention.search(text):
+                view = f"plumbline_view_{id(self)}_{number}"
+                self.resolve(fqn).createOrReplaceTempView(view)
+                text = mention.sub(view, text)
+        return self.spark.sql(text)
+
     def register_schema(self, database: str, schema: str) -> "Registry":
         """Register every table and view of one catalog schema (table discovery)."""
         for table in self.spark.catalog.listTables(f"{database}.{schema}" if database else schema):

@@ -111,10 +111,11 @@ class Store:
     # -- history tables
 
     def append(self, log: Log, frame: DataFrame) -> None:
-        """Append by column name, one directory per day."""
+        """Append by column name, one directory per day. Rebalancing merges small days into few
+        files and splits a day that holds most of the rows."""
         rows = frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in log.schema.fields])
-        rows.withColumn(log.partition, F.to_date(log.moment)).write.mode("append").partitionBy(
-            log.partition).parquet(self._path(log.name))
+        days = rows.withColumn(log.partition, F.to_date(log.moment)).hint("rebalance", log.partition)
+        days.write.mode("append").partitionBy(log.partition).parquet(self._path(log.name))
 
     def read(self, log: Log) -> DataFrame:
         """The whole log, with its day column: filters on it prune directories."""

@@ -53,10 +53,10 @@ def _latest(spark, sf_dir):
 
 def _matched(test: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        failures = alerts.current_failures(_latest(spark, sf_dir), AS_OF, test)
-        previous = scoring.previous_results(history(spark, sf_dir))
-        return alerts.matched_failures(failures, previous, policies(spark), test).select(
-            "alert_id", "rule_id", "table_fqn", "severity", "status", "failed_pct", "previous_status")
+        results = history(spark, sf_dir)
+        failures = alerts.current_failures(results, catalog(spark, sf_dir), AS_OF, test)
+        return alerts.matched_failures(failures, results, policies(spark), test).select(
+            "alert_id", "rule_id", "table_fqn", "severity", "status", "failed_pct")
     return query
 
 
@@ -66,7 +66,7 @@ def _low(spark, sf_dir):
 
 def _evaluate(test: bool, url: str = ""):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return alerts.evaluate_alerts(spark, history(spark, sf_dir), _latest(spark, sf_dir), policies(spark), AS_OF,
+        return alerts.evaluate_alerts(spark, history(spark, sf_dir), catalog(spark, sf_dir), policies(spark), AS_OF,
                                       app_url=url, test=test).drop("history_id")
     return query
 
@@ -132,7 +132,7 @@ SELECT alert_id, 'policy ' || alert_id AS alert_name, channel AS channel_type, '
 FROM shown""".lstrip(), test).replace(" ,\nranked", ",\nranked")
 
 
-_MATCHED = "SELECT alert_id, rule_id, table_fqn, severity, status, failed_pct, previous_status FROM matched"
+_MATCHED = "SELECT alert_id, rule_id, table_fqn, severity, status, failed_pct FROM matched"
 _register("alert_failures", _matched(True), _with_matched(_MATCHED, True))
 _register("alert_new_failures", _matched(False), _with_matched(_MATCHED, False))
 _register("alert_low_score", _low, _with_matched("SELECT alert_id, table_fqn, dq_score FROM low", False))
@@ -145,8 +145,9 @@ _register("alert_summary", lambda s, d: alerts.evaluation_summary(_evaluate(Fals
 def _one_policy(spark, sf_dir):
     rows = [(i, f"policy {i}", c, "x", sev, score, on, None, None, mode, scope) for i, c, sev, score, mode, scope, on in POLICIES]
     chosen = alerts.select_policies(spark.createDataFrame(rows, ALERT_POLICIES_SCHEMA), alert_id=6)
-    failures = alerts.current_failures(_latest(spark, sf_dir), AS_OF, True)
-    return alerts.matched_failures(failures, scoring.previous_results(history(spark, sf_dir)), chosen, True).select(
+    results = history(spark, sf_dir)
+    failures = alerts.current_failures(results, catalog(spark, sf_dir), AS_OF, True)
+    return alerts.matched_failures(failures, results, chosen, True).select(
         "alert_id", "rule_id", "severity")
 
 

@@ -232,7 +232,7 @@ _register("sample_unique_hot_key", _sample(rule(2, "orders_open", "UNIQUE", "o_o
           f"SELECT * FROM {O_OPEN} QUALIFY count(*) OVER (PARTITION BY o_orderpriority) > 1 "
           "ORDER BY o_orderpriority NULLS LAST, o_orderkey LIMIT 100")
 _register("sample_referential", _sample(rule(3, "orders", "REFERENTIAL", "o_custkey", _REF), "o_orderkey"),
-          f"SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM {BUILDERS}) ORDER BY o_orderkey LIMIT 100")
+          f"SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM {BUILDERS}) ORDER BY o_custkey, o_orderkey LIMIT 100")
 _register("sample_freshness", _sample(rule(4, "events", "FRESHNESS", "ts", {"max_age_hours": 36})),
           f"SELECT max(ts) AS latest_value, date_diff('hour', max(ts), {AS_OF_SQL}) AS age_hours, "
           "36.0::DOUBLE AS max_age_hours FROM events")
