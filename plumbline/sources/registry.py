@@ -60,7 +60,9 @@ class Registry:
     def register_schema(self, database: str, schema: str) -> "Registry":
         """Register every table and view of one catalog schema (table discovery)."""
         for table in self.spark.catalog.listTables(f"{database}.{schema}" if database else schema):
-            kind = "VIEW" if table.tableType in ("VIEW", "TEMPORARY") else "BASE TABLE"
+            if table.isTemporary:
+                continue
+            kind = "VIEW" if table.tableType == "VIEW" else "BASE TABLE"
             fqn = ".".join(p for p in (database, schema, table.name) if p)
             self.register(fqn, self.spark.table(quote_fqn(fqn)), kind)
         return self
