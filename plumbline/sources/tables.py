@@ -195,7 +195,13 @@ class Store:
         return list(range(used + 1, used + 1 + len(records)))
 
     def update(self, table: Keyed, edited: DataFrame, *, as_of: datetime, columns: Sequence[str]) -> int:
-        """Write the rows whose ``columns`` changed, with a new ``updated_at``; returns how many."""
+        """Write the rows whose ``columns`` changed, with a new ``updated_at``; returns how many.
+
+        The edits are configuration rows and are taken over as values: an edit frame usually comes
+        from an earlier read of this very table, and Spark treats two scans of one path in a plan
+        as the same scan, whatever files were added between them."""
+        edited = edited.select(table.key, *columns)
+        edited = self.spark.createDataFrame(edited.collect(), edited.schema)
         current = self.rows(table)
         changed = changed_rows(current, edited, table.key, columns).select(table.key, *columns)
         changed = changed.withColumn("updated_at", F.expr(timestamp_literal(as_of)))

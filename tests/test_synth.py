@@ -1,0 +1,78 @@
+"""Generated tables: shape, defect rates, repeatability; simulated history against plain Python."""
+
+import hashlib
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.operators.synth import (
+    row_numbers, sample_rules, simulate_history, synth_customers, synth_inventory, synth_orders, synth_products, with_duplicates,
+)
+from tests.test_scoring import frame, result
+
+NOW = datetime(2024, 1, 31)
+
+
+def share(frame_, predicate):
+    return frame_.agg(F.avg(F.expr(predicate).cast("double"))).first()[0]
+
+
+@pytest.mark.parametrize("predicate,rate", [
+    ("email IS NULL", 0.02), ("email NOT LIKE '%@%'", 0.0153), ("phone NOT LIKE '+1-%'", 0.03),
+    ("country_code IN ('XX', 'usa')", 0.005), ("signup_date > DATE'2024-01-31'", 0.002), ("lifetime_value < 0", 0.0011)])
+def test_customer_defect_rates(spark, predicate, rate):
+    customers = synth_customers(row_numbers(spark, 200_000), NOW)
+    assert share(customers, f"coalesce({predicate}, false)") == pytest.approx(rate, rel=0.15)
+
+
+@pytest.mark.parametrize("predicate,rate", [
+    ("customer_id > 200000", 0.004), ("product_id > 5000", 0.001), ("status IN ('UNKNOWN', 'shipped')", 0.002),
+    ("order_date IS NULL", 0.0005), ("ship_date < order_date", 0.003), ("quantity NOT BETWEEN 1 AND 100", 0.003),
+    ("order_amount < 0", 0.001), ("channel = 'Web'", 0.25)])
+def test_order_defect_rates(spark, predicate, rate):
+    orders = synth_orders(row_numbers(spark, 400_000), NOW)
+    assert share(orders, f"coalesce({predicate}, false)") == pytest.approx(rate, rel=0.2)
+
+
+def test_products_and_inventory(spark):
+    products = synth_products(row_numbers(spark, 50_000), NOW)
+    assert share(products, "category IS NULL") == pytest.approx(0.01, rel=0.2)
+    assert share(products, "unit_price <= 0") == pytest.approx(0.005, rel=0.25)
+    repeated = products.groupBy("sku").count().where("count > 1").count()
+    assert 200 < repeated < 400
+    inventory = synth_inventory(row_numbers(spark, 50_000), NOW)
+    assert inventory.select("warehouse_id", "product_id").distinct().count() == 50_000
+    assert inventory.agg(F.max("warehouse_id")).first()[0] == 10
+    assert inventory.where("last_updated > TIMESTAMP'2024-01-29 00:00:00'").count() == 0
+
+
+def test_generation_does_not_depend_on_partitions(spark):
+    one = synth_orders(row_numbers(spark, 5_000).repartition(1), NOW)
+    many = synth_orders(row_numbers(spark, 5_000).repartition(13), NOW)
+    assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
+def test_duplicates(spark):
+    customers = with_duplicates(synth_customers(row_numbers(spark, 1_000), NOW), "customer_id", 60)
+    assert customers.count() == 1_060
+    assert customers.groupBy("customer_id").count().where("count = 2").count() == 60
+
+
+def test_sample_rules():
+    rules = sample_rules(NOW)
+    assert [sum(r.table_name == t for r in rules) for t in ("CUSTOMERS", "PRODUCTS", "ORDERS", "INVENTORY")] == [11, 5, 10, 4]
+    assert rules[7].params == {"failure_condition": "SIGNUP_DATE > DATE '2024-01-31'"}
+
+
+def test_simulated_history_keeps_the_shape(spark):
+    rows = [result(1, "FAIL", pct=10.0, table="D.S.ORDERS"), result(2, "ERROR"), result(3, "PASS")]
+    latest = frame(spark, *rows).withColumn("rule_type", F.when(F.col("rule_id") == 3, "FRESHNESS").otherwise("RANGE"))
+    latest = latest.withColumn("total_rows", F.when(F.col("status") != "ERROR", F.col("total_rows")))
+    got = {(r.rule_id, (r.run_ts.date() - latest.first().run_ts.date()).days * -1): r for r in simulate_history(latest).collect()}
+    assert len(got) == 90
+    assert got[1, 5].run_id == hashlib.md5(b"dq-backfill-5").hexdigest()
+    assert got[1, 30].total_rows == 88 and got[2, 30].total_rows is None and got[3, 30].total_rows == 1
+    assert all(got[1, d].failed_pct > 10 for d in (12, 13, 14) if got[1, d].failed_pct)
+    assert all(got[3, d].failed_pct in (0.0, 100.0) for d in range(1, 31))
+    assert all(r.status in ("PASS", "FAIL") and r.triggered_by == "BACKFILL" for r in got.values())
