@@ -1,0 +1,53 @@
+"""Time the thirty sample rules at a multiple of the sample size, fused and one job per rule.
+
+    python scale_run.py [scale] [folder]
+
+Writes the sample tables under ``folder`` (a new folder in ``spark.checkpoint.dir`` by default).
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import sys
+import time
+from datetime import datetime
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from plumbline.operators.profile import profile_table  # noqa: E402
+from plumbline.operators.synth import sample_rules  # noqa: E402
+from plumbline.plans.engine import run_checks, summarize  # noqa: E402
+from plumbline.plans.workflow import build_sample  # noqa: E402
+from plumbline.sources.tables import Store  # noqa: E402
+from plumbline.sources.workspace import work_folder  # noqa: E402
+from workload.compare import session  # noqa: E402
+
+NOW = datetime(2024, 1, 31, 6)
+
+
+def timed(action):
+    started = time.perf_counter()
+    outcome = action()
+    return round(time.perf_counter() - started, 2), outcome
+
+
+def main() -> None:
+    scale = float(sys.argv[1]) if len(sys.argv) > 1 else 1.0
+    spark = session()
+    folder = sys.argv[2] if len(sys.argv) > 2 else work_folder(spark, "scale")
+    build, registry = timed(lambda: build_sample(spark, Store(spark, folder), as_of=NOW, scale=scale))
+    orders = registry.resolve("DEMO.RETAIL.ORDERS")
+    report = {"scale": scale, "orders": orders.count(), "cores": spark.sparkContext.defaultParallelism, "build_sample": build}
+    rules = sample_rules(NOW)
+    for label, fuse in (("fused", True), ("one_job_per_rule", False), ("fused_again", True)):
+        report[label], results = timed(lambda: run_checks(spark, rules, registry, as_of=NOW, fuse=fuse))
+        report[f"{label}_summary"] = list(summarize(results).drop("run_id").first())
+    report["profile_orders"], _ = timed(lambda: profile_table(orders, "ORDERS", as_of=NOW).collect())
+    report["profile_orders_unsampled"], _ = timed(
+        lambda: profile_table(orders, "ORDERS", as_of=NOW, max_rows=10**12).collect())
+    print(json.dumps(report))
+
+
+if __name__ == "__main__":
+    main()

@@ -207,7 +207,7 @@ UNION ALL {_branch(f"family = 'numeric' AND TRY_CAST(min_value AS DOUBLE) < 0 AN
                    f"CASE WHEN {_POSITIVE} THEN ' — name implies non-negative' ELSE '' END")}
 UNION ALL {_branch(f"family = 'temporal' AND {_FRESH}", "FRESHNESS", _T + " || ' freshness'",
                    "column_name || ' should be refreshed within 24h'", "'{\"max_age_hours\":24}'", "'CRITICAL'", 0, "'high'",
-                   "'Latest value ' || format('{:,}', age_hours::BIGINT) || '.' || "
+                   "'Latest value ' || format('{:,}', round(age_hours * 10)::BIGINT // 10) || '.' || "
                    "(round(age_hours * 10)::BIGINT % 10) || 'h old — ' || "
                    "CASE WHEN age_hours > 24 THEN 'would FAIL' ELSE 'would PASS' END || ' at 24h'")}
 UNION ALL {_branch("family = 'text' AND contains(column_name, 'EMAIL')", "REGEX", _T + " || ' format'",
