@@ -6,7 +6,7 @@ import fnmatch
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def quote(name: str) -> str:
@@ -41,6 +41,19 @@ def timestamp_literal(moment: datetime) -> str:
     return f"TIMESTAMP '{moment:%Y-%m-%d %H:%M:%S.%f}'"
 
 
+DIGEST_CHARS = 64
+
+
+def grouping_key(frame: DataFrame, key: str) -> Column:
+    """The key expression to group by. Text of 64 bytes and more is replaced by its SHA-256, which
+    is 64 characters long: equal texts and only equal texts share a group, short keys stay as they
+    are and can never meet a digest, and whole documents need not travel through the shuffle."""
+    column = F.expr(key)
+    if frame.select(column).schema.fields[0].dataType != T.StringType():
+        return column
+    return F.when(F.octet_length(column) < DIGEST_CHARS, column).otherwise(F.sha2(column, 256))
+
+
 def full_match(pattern: str) -> str:
     """Anchor a regex to the whole string. ``$`` would also accept a trailing newline."""
     return rf"\A(?:{pattern})\z"

@@ -13,7 +13,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.text import (
-    full_match, number_literal, quote, quote_fqn, string_literal, timestamp_literal,
+    full_match, grouping_key, number_literal, quote, quote_fqn, string_literal, timestamp_literal,
 )
 from plumbline.functions.time import boundary_difference_sql
 from plumbline.model import DEFAULT_MAX_AGE_HOURS, RULE_DIMENSIONS, Rule
@@ -227,7 +227,7 @@ def _bound_literal(value: object) -> str:
 def count_duplicates(source: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows and rows in repeated key groups, in one pass. Partial aggregation collapses a hot key
     before the shuffle; NULL keys group together and can repeat."""
-    groups = source.groupBy(*[F.expr(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    groups = source.groupBy(*[grouping_key(source, k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("failed_rows"),

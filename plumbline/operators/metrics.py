@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.functions.text import quote, timestamp_literal
+from plumbline.functions.text import grouping_key, quote, timestamp_literal
 from plumbline.functions.time import boundary_difference_sql, recent
 from plumbline.model import MEASUREMENTS_SCHEMA
 
@@ -34,7 +34,7 @@ def measure_table(
     measured = frame.agg(F.array(*values).alias("m")).select(F.inline("m"))
     for key in duplicate_count:
         columns = [key] if isinstance(key, str) else list(key)
-        groups = frame.groupBy(*[F.col(quote(c)) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
+        groups = frame.groupBy(*[grouping_key(frame, quote(c)) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
         beyond_first = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("double").alias("value"))
         measured = measured.unionByName(beyond_first.select(
             F.lit("DUPLICATE_COUNT").alias("metric"), F.lit(", ".join(columns)).alias("arguments"), "value"))

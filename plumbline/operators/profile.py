@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.text import quote, string_literal, timestamp_literal
 from plumbline.functions.time import boundary_difference_sql
+from plumbline.sources.workspace import remove_folder, work_folder
 
 # Limits of the profiler.
 MAX_PROFILE_ROWS = 500_000
@@ -106,18 +107,29 @@ def _figures(frame: DataFrame, table: str, as_of: datetime, row_count: int | Non
     """The measured part of a profile: counts, bounds, age, distinct count, smallest values."""
     guarded = dict(sensitive_columns(frame.schema) if sensitive is None else sensitive)
     pct = sampling_pct(frame.count() if row_count is None else row_count, max_rows)
-    source = frame if pct is None else frame.sample(fraction=pct / 100, seed=seed)
+    if pct is None:
+        figures = _read_figures(frame, table, guarded, as_of)
+        return figures.withColumn("values_list", F.when(_categorical(), F.col("smallest")))
+
+    # The table is scanned once for the sample, which is then read once per pass. The figures are
+    # one row per column; what looks categorical in them is verified on all rows.
+    spark = frame.sparkSession
+    folder = work_folder(spark, "profile-sample")
+    try:
+        frame.sample(fraction=pct / 100, seed=seed).hint("rebalance").write.parquet(folder)
+        sampled = _read_figures(spark.read.schema(frame.schema).parquet(folder), table, guarded, as_of)
+        figures = spark.createDataFrame(sampled.collect(), sampled.schema)
+    finally:
+        remove_folder(spark, folder)
+    return figures.join(_verified_values(frame, figures), "column_name", "left")
+
 
-    positioned = list(enumerate(frame.schema.fields, start=1))
+def _read_figures(source: DataFrame, table: str, guarded: Mapping[str, str], as_of: datetime) -> DataFrame:
+    positioned = list(enumerate(source.schema.fields, start=1))
     groups = [positioned[i:i + COLUMNS_PER_PASS] for i in range(0, len(positioned), COLUMNS_PER_PASS)]
     measured = _union([_measure(source, table, g, guarded, as_of) for g in groups])
     distinct = _union([d for g in groups for d in _distinct(source, [f for _, f in g], guarded)])
-    figures = measured.join(distinct, "column_name", "left")
-    if pct is None:
-        return figures.withColumn("values_list", F.when(_categorical(), F.col("smallest")))
-    # One row per column: keep the sampled figures, then verify the candidates on all rows.
-    figures = frame.sparkSession.createDataFrame(figures.collect(), figures.schema)
-    return figures.join(_verified_values(frame, figures), "column_name", "left")
+    return measured.join(distinct, "column_name", "left")
 
 
 def _finish(figures: DataFrame) -> DataFrame:
@@ -179,17 +191,19 @@ def _distinct(source: DataFrame, fields: list[T.StructField], guarded: Mapping[s
 
 
 def distinct_values(source: DataFrame, fields: Iterable[T.StructField]) -> DataFrame:
-    """Distinct non-null ``(column_name, value)`` pairs of plain columns, values as text."""
-    columns = [_as_text(f).alias(f.name) for f in fields]
-    pairs = source.unpivot([], columns, "column_name", "value")
-    return pairs.where(F.col("value").isNotNull()).distinct()
-
+    """Distinct non-null ``(column_name, value)`` pairs of plain columns, values as text.
 
-def _as_text(field: T.StructField) -> Column:
-    column = F.col(quote(field.name))
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        column = F.when(column == 0, F.lit(0).cast(field.dataType)).otherwise(column)  # -0.0 equals 0.0
-    return column.cast("string")
+    Columns of one type are unpivoted and deduplicated together in that type, so rows are shuffled
+    in their compact form and only the distinct values are turned into text."""
+    by_type: dict[str, list[str]] = {}
+    for field in fields:
+        by_type.setdefault(field.dataType.simpleString(), []).append(field.name)
+    frames = []
+    for names in by_type.values():
+        pairs = source.unpivot([], [F.col(quote(n)).alias(n) for n in names], "column_name", "value")
+        frames.append(pairs.where(F.col("value").isNotNull()).distinct().select(
+            "column_name", F.col("value").cast("string").alias("value")))
+    return _union(frames)
 
 
 def smallest_values(values: DataFrame, keep: int = MAX_CATEGORICAL + 1) -> DataFrame:

@@ -10,8 +10,15 @@ from pyspark.sql import SparkSession
 
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder the session names in ``spark.checkpoint.dir``. Only a
-    session without one, such as a local test, falls back to a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    local session without one, such as a test, falls back to a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="plumbline-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -38,6 +38,15 @@ def test_unique_counts_every_row_of_a_repeated_key_and_null_keys(spark):
     assert counts(spark, strings(spark, "a", None), rule("UNIQUE")) == (2, 0)
 
 
+def test_unique_long_text_is_compared_whole(spark):
+    import hashlib
+
+    long = "x" * 70
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    frame = strings(spark, long, long, long + "y", digest, "é" * 32, "é" * 32, "s" * 63, "s" * 63, None, None)
+    assert counts(spark, frame, rule("UNIQUE")) == (10, 8)
+
+
 def test_unique_composite(spark):
     frame = spark.createDataFrame([(1, 1), (1, 1), (1, None), (1, None), (2, 1)], "a int, b int")
     assert counts(spark, frame, rule("UNIQUE", "a, b")) == (5, 4)
