@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.text import quote, string_literal, timestamp_literal
 from plumbline.functions.time import boundary_difference_sql
+from plumbline.sources.parallel import side_by_side
 from plumbline.sources.workspace import remove_folder, work_folder
 
 # Limits of the profiler.
@@ -39,6 +40,17 @@ MASKING_TAG = "MASKING_POLICY"
 COLUMNS_PER_PASS = 24
 
 
+# The measured part of a profile.
+FIGURES = T.StructType([
+    T.StructField(name, kind) for name, kind in (
+        ("table_name", T.StringType()), ("column_name", T.StringType()), ("data_type", T.StringType()),
+        ("family", T.StringType()), ("ordinal_position", T.IntegerType()), ("sensitive", T.StringType()),
+        ("total_rows", T.LongType()), ("null_count", T.LongType()), ("min_value", T.StringType()),
+        ("max_value", T.StringType()), ("age_hours", T.DoubleType()), ("distinct_count", T.LongType()),
+        ("smallest", T.ArrayType(T.StringType())), ("values_list", T.ArrayType(T.StringType())))
+])
+
+
 def family(data_type: T.DataType) -> str:
     """numeric, temporal, text, complex or other (booleans belong to none of the four)."""
     if isinstance(data_type, T.NumericType):
@@ -92,14 +104,30 @@ def profile_table(
 
 def profile_tables(frames: Mapping[str, DataFrame], *, as_of: datetime,
                    row_counts: Mapping[str, int] | None = None, max_rows: int = MAX_PROFILE_ROWS, seed: int = 42,
-                   sensitive: Mapping[str, str] | None = None) -> DataFrame:
-    """Profiles of many tables as one plan; tables known to be empty are left out."""
+                   sensitive: Mapping[str, str] | None = None, failures: dict[str, str] | None = None) -> DataFrame:
+    """Profiles of many tables; tables known to be empty are left out.
+
+    Each table is profiled by jobs of its own, a few tables at a time, and what comes back is one
+    row per column. With ``failures`` given, a table that cannot be profiled is noted there and
+    does not stop the others.
+    """
     counts = row_counts or {}
-    return _finish(_union([
-        _figures(frame, name, as_of, counts.get(name), max_rows, seed, sensitive)
-        for name, frame in frames.items()
-        if counts.get(name, 1) > 0
-    ]))
+    chosen = [(name, frame) for name, frame in frames.items() if counts.get(name, 1) > 0]
+
+    def figures_of(item: tuple[str, DataFrame]):
+        name, frame = item
+        try:
+            figures = _figures(frame, name, as_of, counts.get(name), max_rows, seed, sensitive).select(*FIGURES.names)
+            return figures.collect()
+        except Exception as problem:  # noqa: BLE001 - reported per table
+            if failures is None:
+                raise
+            failures[name] = str(problem)
+            return []
+
+    spark = chosen[0][1].sparkSession
+    rows = [row for found in side_by_side(spark, figures_of, chosen) for row in found]
+    return _finish(spark.createDataFrame(rows, FIGURES))
 
 
 def _figures(frame: DataFrame, table: str, as_of: datetime, row_count: int | None, max_rows: int, seed: int,

@@ -1,8 +1,9 @@
 """Evaluate many rules in few passes.
 
 All rules on one (table, row filter) that a scan can answer share one aggregate; uniqueness and
-referential rules get one aggregation each. Everything is one plan, so Spark runs the independent
-scans side by side, and only one row per rule comes back to the driver.
+referential rules get one aggregation each. Each of these groups is a Spark job of its own and a
+few run at a time, so a failing rule costs its group another try, not the whole run. Only one row
+per rule comes back to the driver.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 import time
 import uuid
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.model import RESULTS_SCHEMA, Rule
 from plumbline.operators.checks import Check, compile_rule, count_duplicates, count_orphans
+from plumbline.sources.parallel import CONCURRENT_JOBS, side_by_side
 from plumbline.sources.registry import Registry
 
 # Beyond 100 fields Spark gives up whole-stage code generation, so one aggregate stays below that.
@@ -41,37 +44,48 @@ def select_rules(rules: DataFrame, table: str | None = None, rule_id: int | None
     return [Rule.from_row(row) for row in chosen.orderBy("rule_id").collect()]
 
 
-def measure(checks: Iterable[tuple[int, Check]], registry: Registry) -> DataFrame:
-    """``(position, total_rows, failed_rows)`` for all checks as one lazy plan."""
-    scans: dict[tuple[str, str | None], list[tuple[int, Check]]] = defaultdict(list)
-    frames: list[DataFrame] = []
-    for position, check in checks:
-        if check.failed is not None:
-            scans[check.fqn.upper(), check.row_filter].append((position, check))
+def group_checks(checks: Mapping[int, Check]) -> list[list[int]]:
+    """Positions of checks that one job answers together."""
+    scans: dict[tuple[str, str | None], list[int]] = defaultdict(list)
+    groups = []
+    for position, check in checks.items():
+        if check.failed is None:
+            groups.append([position])
+        else:
+            scans[check.fqn.upper(), check.row_filter].append(position)
+    for positions in scans.values():
+        groups += [positions[i:i + MAX_FUSED] for i in range(0, len(positions), MAX_FUSED)]
+    return groups
+
+
+def measure(checks: Mapping[int, Check], registry: Registry) -> DataFrame:
+    """``(position, total_rows, failed_rows)`` of any checks as one lazy plan."""
+    frames = []
+    for positions in group_checks(checks):
+        first = checks[positions[0]]
+        if first.failed is not None:
+            frames.append(_fused({p: checks[p] for p in positions}, registry))
             continue
-        source = check.source(registry)
-        if check.keys:
-            counts = count_duplicates(source, check.keys)
+        source = first.source(registry)
+        if first.keys:
+            counts = count_duplicates(source, first.keys)
         else:
-            parent = registry.resolve(check.rule.params["ref_table"])
-            counts = count_orphans(source, check._column, parent, check.parent[1])
-        frames.append(counts.select(F.lit(position).alias("position"), "total_rows", "failed_rows"))
-    for group in scans.values():
-        for start in range(0, len(group), MAX_FUSED):
-            frames.append(_fused(group[start:start + MAX_FUSED], registry))
+            parent = registry.resolve(first.rule.params["ref_table"])
+            counts = count_orphans(source, first._column, parent, first.parent[1])
+        frames.append(counts.select(F.lit(positions[0]).alias("position"), "total_rows", "failed_rows"))
     whole = frames[0]
     for frame in frames[1:]:
         whole = whole.unionByName(frame)
     return whole
 
 
-def _fused(group: list[tuple[int, Check]], registry: Registry) -> DataFrame:
+def _fused(group: Mapping[int, Check], registry: Registry) -> DataFrame:
     measured = ", ".join(
         f"named_struct('position', {position}, 'total_rows', CAST({check.total} AS BIGINT), "
         f"'failed_rows', CAST({check.failed} AS BIGINT))"
-        for position, check in group
+        for position, check in group.items()
     )
-    return group[0][1].source(registry).agg(F.expr(f"array({measured})").alias("m")).select(F.inline("m"))
+    return next(iter(group.values())).source(registry).agg(F.expr(f"array({measured})").alias("m")).select(F.inline("m"))
 
 
 def run_checks(
@@ -96,92 +110,92 @@ def run_checks(
     run_id = run_id or str(uuid.uuid4())
 
     checks: dict[int, Check] = {}
-    counts: dict[int, tuple[int, int]] = {}
-    errors: dict[int, str] = {}
-    took: dict[int, int] = defaultdict(int)
+    outcomes: dict[int, Outcome] = {}
     for position, rule in enumerate(chosen):
-        started = time.monotonic()
         try:
             checks[position] = compile_rule(rule, as_of)
         except Exception as problem:  # noqa: BLE001 - any bad rule is reported, not raised
-            errors[position] = _message(problem)
-            took[position] = _ms(started)
-
-    # Rules of one table are neighbours, so that splitting after a failure keeps scans shared.
-    order = sorted(checks, key=lambda p: (checks[p].fqn.upper(), checks[p].row_filter or "", p))
-    order, plan = _analysable(spark, order, checks, registry, errors)
-    if fuse and order:
-        _evaluate(order, checks, registry, counts, errors, took, plan)
-    elif not fuse:
-        for position in order:
-            _evaluate([position], checks, registry, counts, errors, took)
+            outcomes[position] = Outcome(error=_message(problem))
+
+    groups = group_checks(checks) if fuse else [[p] for p in checks]
+    jobs = CONCURRENT_JOBS if fuse else 1
+    for found in side_by_side(spark, lambda g: _evaluate({p: checks[p] for p in g}, registry), groups, jobs):
+        outcomes.update(found)
 
     trigger = (triggered_by or "MANUAL").upper()
     rows = []
     for position, rule in enumerate(chosen):
-        check = checks.get(position)
-        total, failed = counts.get(position, (None, None))
+        check, outcome = checks.get(position), outcomes[position]
         rows.append((
             run_id, as_of, rule.rule_id, rule.rule_name, rule.fqn.upper(), rule.column_name, rule.rule_type,
-            rule.dimension, rule.severity, total, failed, _float(rule.threshold_pct), errors.get(position),
-            took[position], check.check_sql() if check else None, check.sample_sql() if check else None, trigger,
+            rule.dimension, rule.severity, outcome.total, outcome.failed, _float(rule.threshold_pct), outcome.error,
+            outcome.took_ms, check.check_sql() if check else None, check.sample_sql() if check else None, trigger,
         ))
     return judge(spark.createDataFrame(rows, _MEASURED))
 
 
-def _analysable(spark, batch, checks, registry, errors) -> tuple[list[int], DataFrame | None]:
-    """The rules Spark can plan, and their plan. Unknown tables and columns, type mismatches, broken
-    predicates and bad patterns are found here, on the driver, before any data is read."""
-    sound = []
-    for position in batch:
-        try:
-            if checks[position].probe:
-                spark.sql(f"SELECT {checks[position].probe}").collect()  # folded, starts no job
-            sound.append(position)
-        except Exception as problem:  # noqa: BLE001
-            errors[position] = _message(problem)
-    return _plannable(sound, checks, registry, errors)
+@dataclass(frozen=True)
+class Outcome:
+    total: int | None = None
+    failed: int | None = None
+    error: str | None = None
+    took_ms: int = 0
 
 
-def _plannable(batch, checks, registry, errors) -> tuple[list[int], DataFrame | None]:
-    if not batch:
-        return [], None
-    try:
-        plan = measure([(p, checks[p]) for p in batch], registry)
-        plan.schema
-        return batch, plan
-    except Exception as problem:  # noqa: BLE001
-        if len(batch) == 1:
-            errors[batch[0]] = _message(problem)
-            return [], None
-    middle = len(batch) // 2
-    first, _ = _plannable(batch[:middle], checks, registry, errors)
-    second, _ = _plannable(batch[middle:], checks, registry, errors)
-    whole = first + second
-    return whole, measure([(p, checks[p]) for p in whole], registry) if whole else None
-
-
-def _evaluate(batch, checks, registry, counts, errors, took, plan: DataFrame | None = None) -> None:
-    """Run a batch as one job. When it fails, halve it until the rules to blame are alone: one bad
-    rule among n costs about 2 log n further jobs, not n."""
+def _evaluate(checks: dict[int, Check], registry: Registry) -> dict[int, Outcome]:
+    """Count one group. Rules Spark cannot plan are set aside first, without reading data. When the
+    job itself fails, the group is halved until the rules to blame are alone: one bad rule among n
+    costs about 2 log n further jobs of this group, not n."""
     started = time.monotonic()
+    outcomes: dict[int, Outcome] = {}
+    plan = _plan(checks, registry)
+    if plan is None:
+        for position, check in checks.items():
+            problem = _planning_problem(check, registry)
+            if problem:
+                outcomes[position] = Outcome(error=problem, took_ms=_ms(started))
+        checks = {p: c for p, c in checks.items() if p not in outcomes}
+        if not checks:
+            return outcomes
+        plan = measure(checks, registry)
     try:
-        if plan is None:
-            plan = measure([(p, checks[p]) for p in batch], registry)
         measured = plan.collect()
     except Exception as problem:  # noqa: BLE001
-        if len(batch) == 1:
-            errors[batch[0]] = _message(problem)
-            took[batch[0]] += _ms(started)
-            return
-        middle = len(batch) // 2
-        _evaluate(batch[:middle], checks, registry, counts, errors, took)
-        _evaluate(batch[middle:], checks, registry, counts, errors, took)
-        return
-    share = _ms(started) // len(batch)
+        positions = list(checks)
+        if len(positions) == 1:
+            return {**outcomes, positions[0]: Outcome(error=_message(problem), took_ms=_ms(started))}
+        middle = len(positions) // 2
+        for half in (positions[:middle], positions[middle:]):
+            outcomes.update(_evaluate({p: checks[p] for p in half}, registry))
+        return outcomes
+    share = _ms(started) // len(checks)
     for row in measured:
-        counts[row["position"]] = (int(row["total_rows"] or 0), int(row["failed_rows"] or 0))
-        took[row["position"]] += share
+        outcomes[row["position"]] = Outcome(int(row["total_rows"] or 0), int(row["failed_rows"] or 0), None, share)
+    return outcomes
+
+
+def _plan(checks: dict[int, Check], registry: Registry) -> DataFrame | None:
+    try:
+        if any(check.probe for check in checks.values()):
+            probes = ", ".join(check.probe for check in checks.values() if check.probe)
+            registry.spark.sql(f"SELECT {probes}").collect()  # folded to constants, starts no job
+        plan = measure(checks, registry)
+        plan.schema
+        return plan
+    except Exception:  # noqa: BLE001 - some rule is to blame; the caller asks them one by one
+        return None
+
+
+def _planning_problem(check: Check, registry: Registry) -> str | None:
+    """Why Spark cannot plan a rule: unknown table or column, type mismatch, broken predicate or
+    pattern."""
+    try:
+        if check.probe:
+            registry.spark.sql(f"SELECT {check.probe}").collect()
+        measure({0: check}, registry).schema
+        return None
+    except Exception as problem:  # noqa: BLE001
+        return _message(problem)
 
 
 def failed_pct(places: int = 4) -> Column:

@@ -13,6 +13,7 @@ from plumbline.operators.scoring import latest_results
 from plumbline.operators.suggest import to_catalog_rows
 from plumbline.operators.synth import DATABASE, SCHEMA, sample_rules, simulate_history, synth_tables
 from plumbline.plans.engine import run_checks
+from plumbline.sources.parallel import side_by_side
 from plumbline.sources.registry import Registry
 from plumbline.sources.tables import ALERT_HISTORY, POLICIES, RESULTS, RULES, Store
 
@@ -58,9 +59,10 @@ def build_sample(spark: SparkSession, store: Store, *, as_of: datetime, scale: f
                  days: int = 30) -> Registry:
     """Write the sample tables, register their rules, run them, and backfill a history."""
     registry = Registry(spark)
-    for name, frame in synth_tables(spark, as_of, scale).items():
-        path = f"{store.root}/sample/{name.lower()}"
-        frame.write.mode("overwrite").parquet(path)
+    tables = synth_tables(spark, as_of, scale)
+    paths = {name: f"{store.root}/sample/{name.lower()}" for name in tables}
+    side_by_side(spark, lambda name: tables[name].write.mode("overwrite").parquet(paths[name]), tables)
+    for name, path in paths.items():
         registry.register(f"{DATABASE}.{SCHEMA}.{name}", spark.read.parquet(path))
     store.insert(RULES, [_catalog_row(r) for r in sample_rules(as_of)], as_of=as_of)
     run_and_record(store, registry, as_of=as_of)

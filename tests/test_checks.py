@@ -20,7 +20,7 @@ def counts(spark, frame, checked, **others):
     known = Registry(spark).register("DB.SCH.T", frame)
     for name, other in others.items():
         known.register(f"db.sch.{name}", other)
-    row = measure([(0, compile_rule(checked, NOW))], known).first()
+    row = measure({0: compile_rule(checked, NOW)}, known).first()
     return row["total_rows"], row["failed_rows"]
 
 

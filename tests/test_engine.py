@@ -7,7 +7,7 @@ import pytest
 from plumbline.model import RESULTS_SCHEMA, RULES_SCHEMA, Rule
 from plumbline.operators.checks import compile_rule
 from plumbline.plans.engine import (
-    MAX_FUSED, judge, measure, preview_rules, preview_totals, run_checks, select_rules, stored_sample, summarize,
+    MAX_FUSED, group_checks, judge, measure, preview_rules, preview_totals, run_checks, select_rules, stored_sample, summarize,
 )
 from plumbline.sources.registry import Registry
 from workload.check_queries import BROKEN_RULES, RUN_RULES, inputs
@@ -56,6 +56,17 @@ def test_run_time_failure_blames_only_its_rule(spark):
     assert got.pop(99) == "ERROR" and set(got.values()) == {"PASS"}
 
 
+def test_a_failing_group_does_not_touch_the_others(spark):
+    """The rule that fails at run time shares a job only with rules on its table and filter."""
+    known = table(spark).register("db.sch.u", spark.range(3).toDF("c"))
+    rules = [rule(1, "CUSTOM_SQL", None, {"failure_condition": "CAST(concat('x', s) AS INT) > 1"}), rule(2, "NOT_NULL"),
+             Rule(3, "r", "db", "sch", "u", "NOT_NULL", "c"), rule(4, "NOT_NULL", row_filter="c > 1"), rule(5, "UNIQUE")]
+    compiled = {r.rule_id: compile_rule(r, NOW) for r in rules}
+    assert sorted(group_checks(compiled)) == [[1, 2], [3], [4], [5]]
+    got = {r.rule_id: (r.status, r.total_rows) for r in run_checks(spark, rules, known, as_of=NOW).collect()}
+    assert got == {1: ("ERROR", None), 2: ("PASS", 10), 3: ("PASS", 3), 4: ("PASS", 8), 5: ("PASS", 10)}
+
+
 def test_more_rules_than_one_aggregate_holds(spark):
     many = [rule(i, "RANGE", params={"max": i - 1}) for i in range(1, MAX_FUSED + 30)]
     got = {r.rule_id: r.failed_rows for r in run_checks(spark, many, table(spark, 50), as_of=NOW).collect()}
@@ -65,7 +76,7 @@ def test_more_rules_than_one_aggregate_holds(spark):
 def test_one_scan_per_table_and_filter(spark):
     known = inputs(spark, SF)
     rules = [Rule(i, "r", "LAKE", "RETAIL", "orders", "RANGE", "o_totalprice", {"min": i}) for i in range(20)]
-    plan = measure([(i, compile_rule(r, NOW)) for i, r in enumerate(rules)], known)._jdf.queryExecution().toString()
+    plan = measure({i: compile_rule(r, NOW) for i, r in enumerate(rules)}, known)._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("FileScan parquet") == 1
 
 

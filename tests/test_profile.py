@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from plumbline.functions.text import significant
-from plumbline.operators.profile import family, profile_table, sampling_pct, sensitive_columns
+from plumbline.operators.profile import family, profile_table, profile_tables, sampling_pct, sensitive_columns
 from plumbline.operators.suggest import find_parents, suggest_rules, to_catalog_rows
 
 NOW = datetime(2024, 1, 31)
@@ -62,6 +62,17 @@ def test_wide_tables_take_several_passes(spark):
     assert [got[f"c{i}"].ordinal_position for i in range(60)] == list(range(1, 61))
 
 
+def test_many_tables_and_a_broken_one(spark):
+    broken = spark.range(3).selectExpr("CAST(concat('x', id) AS INT) AS c")
+    frames = {"a": spark.range(5).toDF("n"), "b": broken, "c": spark.range(7).toDF("n"), "none": spark.range(0).toDF("n")}
+    failures = {}
+    got = profile_tables(frames, as_of=NOW, row_counts={"a": 5, "none": 0}, failures=failures).collect()
+    assert {(r.table_name, r.distinct_count) for r in got} == {("a", 5), ("c", 7)}
+    assert list(failures) == ["b"]
+    with pytest.raises(Exception):
+        profile_tables(frames, as_of=NOW)
+
+
 def test_categorical_limit(spark):
     frame = spark.range(100).selectExpr("id % 25 AS yes", "id % 26 AS no", "CAST(id % 9 AS STRING) AS txt")
     got = by_column(profile_table(frame, "t", as_of=NOW))
