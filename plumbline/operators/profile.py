@@ -25,6 +25,9 @@ MAX_CATEGORICAL = 25
 SAMPLE_VALUES = 5
 HIGH_NULLS_PCT = 5
 
+# A sample is small in bytes; cutting it by rows keeps the passes over it parallel.
+SAMPLE_ROWS_PER_FILE = 20_000
+
 # Name fragments that mark a column as sensitive, and the metadata tags that do.
 SENSITIVE_HINTS = (
     "EMAIL", "PHONE", "MOBILE", "SSN", "SOCIAL_SEC", "TAX_ID", "TIN", "NATIONAL_ID", "PASSPORT",
@@ -134,7 +137,8 @@ def _figures(frame: DataFrame, table: str, as_of: datetime, row_count: int | Non
              sensitive: Mapping[str, str] | None) -> DataFrame:
     """The measured part of a profile: counts, bounds, age, distinct count, smallest values."""
     guarded = dict(sensitive_columns(frame.schema) if sensitive is None else sensitive)
-    pct = sampling_pct(frame.count() if row_count is None else row_count, max_rows)
+    row_count = frame.count() if row_count is None else row_count
+    pct = sampling_pct(row_count, max_rows)
     if pct is None:
         figures = _read_figures(frame, table, guarded, as_of)
         return figures.withColumn("values_list", F.when(_categorical(), F.col("smallest")))
@@ -144,12 +148,18 @@ def _figures(frame: DataFrame, table: str, as_of: datetime, row_count: int | Non
     spark = frame.sparkSession
     folder = work_folder(spark, "profile-sample")
     try:
-        frame.sample(fraction=pct / 100, seed=seed).hint("rebalance").write.parquet(folder)
+        files = math.ceil(row_count * pct / 100 / SAMPLE_ROWS_PER_FILE)
+        frame.sample(fraction=pct / 100, seed=seed).repartition(files).write.parquet(folder)
         sampled = _read_figures(spark.read.schema(frame.schema).parquet(folder), table, guarded, as_of)
-        figures = spark.createDataFrame(sampled.collect(), sampled.schema)
+        rows = [row.asDict() for row in sampled.collect()]
     finally:
         remove_folder(spark, folder)
-    return figures.join(_verified_values(frame, figures), "column_name", "left")
+    candidates = {row["column_name"] for row in rows if 1 <= (row["distinct_count"] or 0) <= MAX_CATEGORICAL
+                  and row["family"] in ("text", "numeric") and row["sensitive"] is None}
+    verified = _verified_values(frame, candidates)
+    for row in rows:
+        row["values_list"] = verified.get(row["column_name"])
+    return spark.createDataFrame([tuple(row[name] for name in FIGURES.names) for row in rows], FIGURES)
 
 
 def _read_figures(source: DataFrame, table: str, guarded: Mapping[str, str], as_of: datetime) -> DataFrame:
@@ -250,17 +260,16 @@ def _categorical() -> Column:
     )
 
 
-def _verified_values(frame: DataFrame, profile: DataFrame) -> DataFrame:
-    """Value lists of the columns that look categorical in the sample, from the whole table. More
-    than 25 values in full means no list. Only the names of the candidates reach the driver."""
-    names = {r["column_name"] for r in profile.where(_categorical()).select("column_name").collect()}
+def _verified_values(frame: DataFrame, names: set[str]) -> dict[str, list[str]]:
+    """Value lists of the columns that look categorical in the sample, from the whole table: at
+    most 26 values per column come back, and more than 25 mean that there is no list."""
     fields = [f for f in frame.schema.fields if f.name in names]
-    empty = profile.sparkSession.createDataFrame([], "column_name string, values_list array<string>")
     if not fields:
-        return empty
+        return {}
     groups = [fields[i:i + COLUMNS_PER_PASS] for i in range(0, len(fields), COLUMNS_PER_PASS)]
     full = _union([smallest_values(distinct_values(frame, g)) for g in groups])
-    return full.select("column_name", F.when(F.size("smallest") <= MAX_CATEGORICAL, F.col("smallest")).alias("values_list"))
+    found = full.where(F.size("smallest") <= MAX_CATEGORICAL).collect()
+    return {row["column_name"]: row["smallest"] for row in found}
 
 
 def signals() -> Column:

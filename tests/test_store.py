@@ -124,6 +124,17 @@ def test_csv_import_defaults_and_rejections(spark, tmp_path):
         import_rules(spark, write(tmp_path / "c.csv", "RULE_NAME,DATABASE_NAME,SCHEMA_NAME\nn,D,S\n"))
 
 
+def test_table_sizes_are_the_file_sizes(spark):
+    import os
+
+    from workload.base import TABLES, registry
+
+    got = {r.table_fqn.split(".")[-1]: r.bytes for r in registry(spark, "/root/testdata/sf0.001").sizes().collect()}
+    assert got == {t: os.path.getsize(f"/root/testdata/sf0.001/{t}.parquet") for t in TABLES}
+    derived = Registry(spark).register("a.b.c", spark.range(3).toDF("n")).sizes().first()
+    assert derived.bytes is None and derived.last_altered is None
+
+
 def test_profile_suggest_apply_run(store):
     frame_ = store.spark.range(200).selectExpr("id AS user_id", "CASE WHEN id % 2 = 0 THEN 'on' ELSE 'off' END AS status",
                                                "CAST(id - 1 AS DOUBLE) AS amount")
