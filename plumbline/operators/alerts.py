@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 
 from plumbline.functions.scores import severity_rank
 from plumbline.functions.text import fixed, in_scope, timestamp_literal
-from plumbline.functions.time import recent
 from plumbline.model import (
     ALERT_HISTORY_SCHEMA, ALERT_POLICIES_SCHEMA, CHANNELS, DEFAULT_RETENTION_DAYS, DEFAULT_SEVERITY_FILTER,
 )
@@ -229,10 +228,6 @@ def retained_history(history: DataFrame, settings: DataFrame, as_of: datetime) -
     return history.where(F.col("sent_at") >= cutoff)
 
 
-def recent_notifications(history: DataFrame, as_of: datetime, days: int) -> DataFrame:
-    return recent(history, "sent_at", as_of, days)
-
-
 # -- policies -----------------------------------------------------------------------------------
 
 

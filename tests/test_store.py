@@ -1,6 +1,6 @@
 """The store: catalog edits, history, retention, CSV, and whole workflows."""
 
-from datetime import date, datetime, timedelta
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
