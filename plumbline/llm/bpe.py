@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, packed, unpacked, with_text_columns
+from plumbline.llm.common import documents, packed, share, unpacked, with_text_columns
 
 
 def byte_symbols() -> list[str]:
@@ -213,7 +213,7 @@ def with_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text", texts_
     """``df`` with ``token_ids`` (array<int>) and, if asked for, ``decoded``. ``tokenizer`` is the path of a
     word-end BPE file; it is read once, on the driver, and the compiled automaton is broadcast (its size
     is the vocabulary's). Null and empty texts have no tokens and decode to the empty string."""
-    shared = df.sparkSession.sparkContext.broadcast(Encoder(compiled(tokenizer)))
+    shared = share(df.sparkSession, Encoder(compiled(tokenizer)))
 
     def make():
         encoder = shared.value
@@ -242,7 +242,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def digested(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """``df`` with the number of tokens and the digests of ids and decoded text."""
-    shared = df.sparkSession.sparkContext.broadcast(Encoder(compiled(tokenizer)))
+    shared = share(df.sparkSession, Encoder(compiled(tokenizer)))
 
     def make():
         encoder = shared.value

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import pickle
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -117,6 +120,21 @@ def merged_vectors(df: DataFrame, salts: int = 16) -> DataFrame:
     return arrow_map(first.repartition("name", "part"), total, schema)
 
 
+class _ByValue:
+    """Unpickles to ``value``, whose classes travel with it: executors need not have this package."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def __reduce__(self):
+        return pickle.loads, (cloudpickle.dumps(self.value),)
+
+
+def share(spark: SparkSession, value):
+    """``value`` as a broadcast variable for tasks. A Python worker keeps it for its later tasks."""
+    return spark.sparkContext.broadcast(_ByValue(value))
+
+
 class Hashes(dict):
     """64-bit hashes of words, remembered up to ``limit`` words."""
 
@@ -161,3 +179,56 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark, path = df.sparkSession, work_path(df.sparkSession, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: it does so when the driver's objects for
+    them are collected, which on an idle driver may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Bitmap:
+    """A fixed-size set of hashed ids that may contain more than was put in."""
+
+    def __init__(self, bits: int = 22):
+        self.bits, self.cells = bits, np.zeros(1 << (bits - 3), np.uint8)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)
+
+    def add(self, ids: np.ndarray) -> None:
+        at = self.places(ids)
+        np.bitwise_or.at(self.cells, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = self.places(ids)
+        return (self.cells[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def id_bitmap(ids: DataFrame, bits: int = 22) -> Bitmap:
+    """The first column's values as a bitmap of fixed size (512 KB). With very many ids it lets every row
+    pass, which costs time only."""
+    def task(batches):
+        own = Bitmap(bits)
+        for batch in batches:
+            own.add(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        yield {"name": ["bits"], "part": [0], "counts": [own.cells.tobytes()]}
+
+    def united(batches):
+        total = None
+        for batch in batches:
+            for cells in batch.column(2).to_pylist():
+                cells = np.frombuffer(cells, np.uint8)
+                total = cells.copy() if total is None else total | cells
+        if total is not None:
+            yield {"name": ["bits"], "part": [0], "counts": [total.tobytes()]}
+
+    schema = "name string, part int, counts binary"
+    partial = arrow_map(ids, task, schema)
+    merged = arrow_map(arrow_map(partial.repartition(16), united, schema).coalesce(1), united, schema)
+    out = Bitmap(bits)
+    for row in merged.collect():
+        out.cells |= np.frombuffer(bytes(row.counts), np.uint8)
+    return out

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, packed, unpacked, with_text_columns
+from plumbline.llm.common import documents, packed, share, unpacked, with_text_columns
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -100,7 +100,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text"
     """
     spark, out = df.sparkSession, df
     for k, block in enumerate(blocks(benchmark, item_col, item_text_col, block_bytes)):
-        shared = spark.sparkContext.broadcast(compile_windows(block, width))
+        shared = share(spark, compile_windows(block, width))
 
         def make(shared=shared):
             windows = shared.value

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, documents, id_text, merged_vectors, packed, remainder, unpacked, with_text_columns
+from plumbline.llm.common import arrow_map, documents, id_text, merged_vectors, packed, remainder, share, unpacked, with_text_columns
 
 ORDERS = (1, 2, 3)
 PARTS = 8
@@ -101,7 +101,7 @@ def predict(df: DataFrame, model: LanguageModel, *, text_col: str = "text") -> D
     ``und`` with score 0 for null texts and texts without a letter. Equal posteriors: the language
     first in sorted order. Repeated rows are scored alike; an empty table stays empty.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df.sparkSession, model)
 
     def make():
         model, table = shared.value, letters_table()

@@ -1,9 +1,10 @@
 """The registered queries of this package. None of them has SQL that could run over whole tables: the
 tests hold each against brute force, an exact round trip or held-out accuracy."""
 
-from plumbline.llm import bpe, decontam, language, quality, secrets, tokencount
+from plumbline.llm import bpe, decontam, jaccard, language, quality, secrets, tokencount
 
 QUERIES = {
+    "op3_jaccard_join": jaccard.query,
     "op4_language_id": language.query,
     "op6_decontamination": decontam.query,
     "op7_quality_rules": quality.query,

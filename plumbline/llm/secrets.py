@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.automata import compiled
-from plumbline.llm.common import documents, packed, unpacked, with_text_columns
+from plumbline.llm.common import documents, packed, share, unpacked, with_text_columns
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,7 @@ def scan(data: bytes, scanner: Scanner) -> list[tuple[int, int, int]]:
 def with_secrets(df: DataFrame, rules=BASE + MORE, *, text_col: str = "text") -> DataFrame:
     """``df`` with ``secret_kinds``, ``secret_starts`` and ``secret_ends`` (code points, end exclusive), by start
     and then in the order of ``rules``. Null and empty texts have none."""
-    shared = df.sparkSession.sparkContext.broadcast(compile_rules(rules))
+    shared = share(df.sparkSession, compile_rules(rules))
 
     def make():
         scanner = shared.value

@@ -17,7 +17,7 @@ import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import documents, with_text_columns
+from plumbline.llm.common import documents, share, with_text_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -108,7 +108,7 @@ class Counter:
 def with_counts(df: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text") -> DataFrame:
     """``df`` with ``n_words``, ``n_tokens``, ``n_unknown`` and ``score`` (the summed best scores). Null and empty
     texts, and texts of white space, have no tokens and score 0."""
-    shared = df.sparkSession.sparkContext.broadcast(Counter(vocabulary))
+    shared = share(df.sparkSession, Counter(vocabulary))
 
     def make():
         counter = shared.value
