@@ -232,3 +232,13 @@ def id_bitmap(ids: DataFrame, bits: int = 22) -> Bitmap:
     for row in merged.collect():
         out.cells |= np.frombuffer(bytes(row.counts), np.uint8)
     return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = df.inputFiles()
+    if path:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path[0].rpartition("/")[0])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    release(spark)
