@@ -1,12 +1,13 @@
 """The registered queries of this package. None of them has SQL that could run over whole tables: the
 tests hold each against brute force, an exact round trip or held-out accuracy."""
 
-from plumbline.llm import bpe, decontam, jaccard, language, quality, repeats, secrets, tokencount
+from plumbline.llm import bpe, decontam, jaccard, language, lm, quality, repeats, secrets, tokencount
 
 QUERIES = {
     "op2_suffix_dedup": repeats.query,
     "op3_jaccard_join": jaccard.query,
     "op4_language_id": language.query,
+    "op5_lm_scoring": lm.query,
     "op6_decontamination": decontam.query,
     "op7_quality_rules": quality.query,
     "op8_bpe": bpe.query,
