@@ -1,9 +1,11 @@
 """The registered queries of this package. None of them has SQL that could run over whole tables: the
 tests hold each against brute force, an exact round trip or held-out accuracy."""
 
-from plumbline.llm import bpe, decontam, jaccard, language, lm, quality, repeats, secrets, tokencount
+import corpus_pipeline
+from plumbline.llm import bpe, decontam, jaccard, language, lm, quality, repeats, secrets, tokencount, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_suffix_dedup": repeats.query,
     "op3_jaccard_join": jaccard.query,
     "op4_language_id": language.query,
@@ -13,5 +15,6 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_secrets": secrets.query,
     "op10_token_counts": tokencount.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {}
