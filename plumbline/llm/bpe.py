@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import regex
@@ -86,11 +85,19 @@ class Encoder:
         self.a, self.limit = automaton, limit
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, list[int]] = {}
+        self.pattern = None
         self.symbols = dict(enumerate(byte_symbols()))
         self.bytes_known = all(c in automaton.ids and c + automaton.end in automaton.ids for c in self.symbols.values())
         #: Strings that a longer vocabulary entry begins with: beyond any other no match can end.
         self.prefixes = {label[:k] for label in automaton.labels for k in range(1, len(label))}
 
+    def special_tokens(self, text: str):
+        if not self.a.special:
+            return ()
+        if self.pattern is None:
+            self.pattern = regex.compile("|".join(map(regex.escape, sorted(self.a.special, key=len, reverse=True))))
+        return self.pattern.finditer(text)
+
     def allows(self, state: int, label: int) -> bool:
         """Whether ``state`` has an arc ``label``. A state loses an arc by a gadget of its own label, or of
         a label it descends from while it did not exist yet; an arc that a merge made is there if the
@@ -185,15 +192,10 @@ def normalised(text: str) -> str:
     return text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
 
 
-@cache
-def splitter(special: tuple[str, ...]):
-    return regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-
-
 def encode(text: str, encoder: Encoder, words) -> list[int]:
     """Token ids of a whole text. Special tokens are found in the raw text first."""
-    ids, special, at = [], splitter(tuple(encoder.a.special)), 0
-    for match in special.finditer(text) if special else ():
+    ids, at = [], 0
+    for match in encoder.special_tokens(text):
         for word in words(normalised(text[at:match.start()])):
             ids += encoder.word(word)
         ids.append(encoder.a.special[match.group()])
