@@ -19,10 +19,10 @@ from workload import QUERIES  # noqa: E402
 HEADLINE = (
     "check_not_null", "check_unique", "check_unique_composite", "check_unique_text", "check_accepted_values", "check_range",
     "check_regex", "check_freshness", "check_row_count", "check_referential", "check_custom_sql", "run_all_rules",
-    "run_error_isolation", "sample_rules_run", "sample_predicate", "sample_unique", "sample_referential",
+    "run_error_isolation", "thirty_rules_run", "sample_predicate", "sample_unique", "sample_referential",
     "latest_results", "daily_table_score", "table_health", "overview_kpis", "open_issues", "run_history_kpis",
     "rule_listing", "schema_overview", "profile_orders", "profile_events", "profile_documents", "suggest_rules",
-    "alert_messages", "alert_retention", "metric_latest", "synth_customers", "synth_orders", "history_backfill",
+    "alert_messages", "alert_retention", "metric_latest", "metric_kpis", "executions_per_day",
 )
 
 

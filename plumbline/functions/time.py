@@ -19,13 +19,13 @@ def boundary_difference_sql(unit: str, later: str, earlier: str) -> str:
     return f"(({floor(later)} - {floor(earlier)}) div {seconds})"
 
 
-def recent(frame: DataFrame, moment: str, as_of: datetime, days: int) -> DataFrame:
-    """Rows of the last ``days`` days. Where the frame carries the physical ``run_date`` partition
-    column of the history, the same bound is put on it so that old partitions are never listed."""
+def recent(frame: DataFrame, moment: str, as_of: datetime, days: int, partition: str = "run_date") -> DataFrame:
+    """Rows of the last ``days`` days. Where the frame carries the partition column of its log, the same
+    bound is put on it so that old partitions are never listed."""
     cutoff = as_of - timedelta(days=days)
     frame = frame.where(F.col(moment) >= F.expr(timestamp_literal(cutoff)))
-    if moment == "run_ts" and "run_date" in frame.columns:
-        frame = frame.where(F.col("run_date") >= F.lit(cutoff.date()))
+    if partition in frame.columns:
+        frame = frame.where(F.col(partition) >= F.lit(cutoff.date()))
     return frame
 
 

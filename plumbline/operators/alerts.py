@@ -22,8 +22,6 @@ from plumbline.operators.scoring import latest_results, previous_results, table_
 # Limits and texts of the notifications.
 RECENT_HOURS = 6
 MESSAGE_LINES = 25
-PREVIEW_CHARS = 1000
-NEWEST_NOTIFICATIONS = 500
 LAST_EVALUATION_MINUTES = 5
 NO_MATCH = "No matching failures"
 NO_NEW = "No new failures since previous run"
@@ -166,7 +164,7 @@ def evaluate_alerts(
         "alert_id", "alert_name", "channel_type", "recipients",
         count.alias("failures_count"),
         F.when(~nothing, F.coalesce("tables_affected", F.lit(""))).alias("tables_affected"),
-        F.substring(F.when(nothing, skipped).otherwise(message), 1, PREVIEW_CHARS).alias("message_preview"),
+        F.when(nothing, skipped).otherwise(message).alias("message_preview"),
         F.when(nothing, "SKIPPED").when(known, "READY").otherwise("FAILED").alias("status"),
         F.when(~nothing & ~known, F.concat(F.lit("Unknown channel type: "), channel)).alias("error_message"),
         F.expr(clock).alias("sent_at"),
@@ -185,29 +183,30 @@ def evaluation_summary(evaluated: DataFrame) -> DataFrame:
 # -- history ------------------------------------------------------------------------------------
 
 
-def newest_notifications(history: DataFrame, limit: int = NEWEST_NOTIFICATIONS) -> DataFrame:
-    return history.orderBy(F.col("sent_at").desc(), F.col("history_id").desc()).limit(limit)
-
-
-def notification_history(newest: DataFrame, names: Sequence[str] = (), statuses: Sequence[str] = ()) -> DataFrame:
-    """Filters apply after the row limit."""
-    rows = newest
+def notification_history(history: DataFrame, names: Sequence[str] = (), statuses: Sequence[str] = (),
+                         limit: int | None = None) -> DataFrame:
+    """The notifications that match all given filters; a listing may ask for the newest ``limit`` of them."""
+    rows = history
     if names:
         rows = rows.where(F.col("alert_name").isin(list(names)))
     if statuses:
         rows = rows.where(F.col("status").isin(list(statuses)))
-    return rows
+    return rows if limit is None else rows.orderBy(F.col("sent_at").desc(), F.col("history_id").desc()).limit(limit)
 
 
-def notification_kpis(newest: DataFrame) -> DataFrame:
-    return newest.agg(
+def notification_kpis(history: DataFrame) -> DataFrame:
+    return history.agg(
         *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("READY", "SENT", "FAILED", "SKIPPED")],
         F.max("sent_at").alias("latest"),
     )
 
 
 def last_evaluation(history: DataFrame) -> DataFrame:
-    """Counts per status within five minutes of the newest notification."""
+    """Counts per status within five minutes of the newest notification. Over a store, the newest day is
+    found from the directories, and only it and the day before are read."""
+    if "sent_date" in history.columns:
+        day = history.agg(F.max("sent_date")).scalar()
+        history = history.where(F.col("sent_date") >= F.date_sub(day, 1))
     newest = history.agg(F.max("sent_at")).scalar()
     start = newest - F.expr(f"INTERVAL {LAST_EVALUATION_MINUTES} MINUTES")
     return history.where(F.col("sent_at") >= start).groupBy("status").agg(

@@ -1,7 +1,8 @@
 """Rule checks: what a rule counts, which rows it blames, and how both read as Spark SQL.
 
 A check is compiled once into SQL expression text. The engine evaluates that text inside fused
-aggregates and the history stores it, so what is displayed is what ran.
+aggregates and the history stores it. For uniqueness and references the stored SQL spells out the plan
+that the engine builds with the DataFrame API: keys are reduced before they are joined.
 """
 
 from __future__ import annotations
@@ -78,9 +79,11 @@ class Check:
                     f"ORDER BY {order} LIMIT {SAMPLE_ROWS}")
         if self.parent:
             table, column = self.parent
-            return (f"SELECT t.* FROM (SELECT * {self._from(self._column + ' IS NOT NULL')}) t "
-                    f"LEFT ANTI JOIN {table} p ON t.{self._column} = p.{column} "
-                    f"ORDER BY t.{self._column} LIMIT {SAMPLE_ROWS}")
+            fk = self._column
+            return (f"SELECT t.* FROM (SELECT * {self._from()}) t LEFT SEMI JOIN (SELECT c.fk FROM "
+                    f"(SELECT DISTINCT {fk} AS fk {self._from(fk + ' IS NOT NULL')}) c "
+                    f"LEFT ANTI JOIN (SELECT DISTINCT {column} AS ref FROM {table}) p ON c.fk = p.ref "
+                    f"ORDER BY c.fk LIMIT {SAMPLE_ROWS}) d ON t.{fk} = d.fk ORDER BY t.{fk} LIMIT {SAMPLE_ROWS}")
         if self.detail:
             return f"SELECT {', '.join(self.detail)} {self._from()}"
         return f"SELECT * {self._from(self.failing_row or 'TRUE')} LIMIT {SAMPLE_ROWS}"

@@ -11,7 +11,6 @@ from plumbline.functions.text import grouping_key, quote, timestamp_literal
 from plumbline.functions.time import boundary_difference_sql, recent
 from plumbline.model import MEASUREMENTS_SCHEMA
 
-NEWEST_MEASUREMENTS = 20_000
 SERIES = ("table_fqn", "metric", "arguments")
 
 
@@ -43,10 +42,9 @@ def measure_table(
     ).select(*MEASUREMENTS_SCHEMA.names)
 
 
-def newest_measurements(measurements: DataFrame, as_of: datetime, days: int = 7,
-                        limit: int = NEWEST_MEASUREMENTS) -> DataFrame:
-    rows = recent(measurements, "measured_at", as_of, days)
-    return rows.orderBy(F.col("measured_at").desc(), *[F.col(c) for c in SERIES]).limit(limit)
+def newest_measurements(measurements: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
+    """All measurements of the window; over a store only its days are read."""
+    return recent(measurements, "measured_at", as_of, days, "measured_date")
 
 
 def latest_metrics(newest: DataFrame) -> DataFrame:

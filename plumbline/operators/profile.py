@@ -1,9 +1,10 @@
 """Column profiles: counts, bounds, distinct values, samples, signals.
 
-Two passes over the (sampled) table: one aggregate for counts and bounds, and one grouping of the
-unpivoted ``(column, value)`` pairs that yields exact distinct counts, sample values and value
-lists together. Both collapse hot values before their shuffle. Large tables are sampled; value
-lists are then verified on the whole table, for the candidate columns only.
+Exact at every size, from three scans: one aggregate for counts and bounds; one deduplication of
+``(column, key)`` pairs for the distinct counts and the smallest values, where texts and complex values
+are keyed by a hash, so that whole documents are never shuffled; and, for tables with text columns, a
+scan that fetches the few texts to be shown. All collapse hot values before their shuffle. A caller
+who wants a sample asks for a fraction, and the profile then says so in ``sampled_pct``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from plumbline.functions.text import quote, string_literal, timestamp_literal
 from plumbline.functions.time import boundary_difference_sql
 from plumbline.sources.parallel import side_by_side
-from plumbline.sources.workspace import remove_folder, work_folder
 
 # Limits of the profiler.
 MAX_PROFILE_ROWS = 500_000
@@ -25,8 +25,8 @@ MAX_CATEGORICAL = 25
 SAMPLE_VALUES = 5
 HIGH_NULLS_PCT = 5
 
-# A sample is small in bytes; cutting it by rows keeps the passes over it parallel.
-SAMPLE_ROWS_PER_FILE = 20_000
+# Characters of a text that order it among the distinct texts before the texts themselves are read.
+ORDER_PREFIX = 64
 
 # Name fragments that mark a column as sensitive, and the metadata tags that do.
 SENSITIVE_HINTS = (
@@ -50,7 +50,7 @@ FIGURES = T.StructType([
         ("family", T.StringType()), ("ordinal_position", T.IntegerType()), ("sensitive", T.StringType()),
         ("total_rows", T.LongType()), ("null_count", T.LongType()), ("min_value", T.StringType()),
         ("max_value", T.StringType()), ("age_hours", T.DoubleType()), ("distinct_count", T.LongType()),
-        ("smallest", T.ArrayType(T.StringType())), ("values_list", T.ArrayType(T.StringType())))
+        ("smallest", T.ArrayType(T.StringType())), ("sampled_pct", T.DoubleType()))
 ])
 
 
@@ -84,7 +84,8 @@ def sensitive_columns(schema: T.StructType, hints: Iterable[str] = SENSITIVE_HIN
 
 
 def sampling_pct(row_count: int, max_rows: int = MAX_PROFILE_ROWS) -> float | None:
-    """Percentage to sample, in tenths rounded up and at least 0.1; ``None`` reads everything."""
+    """Percentage that samples about ``max_rows`` rows, in tenths rounded up and at least 0.1; ``None``
+    for tables that are not larger. Profiles never sample by themselves: pass it as ``sample_pct``."""
     if not row_count or row_count <= max_rows:
         return None
     return max(0.1, math.ceil(1000 * max_rows / row_count) / 10)
@@ -95,33 +96,31 @@ def profile_table(
     table: str,
     *,
     as_of: datetime,
-    row_count: int | None = None,
-    max_rows: int = MAX_PROFILE_ROWS,
+    sample_pct: float | None = None,
     seed: int = 42,
     sensitive: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per column. ``row_count`` (counted when not given) decides whether the table is
-    sampled. Sensitive columns only get null and distinct counts."""
-    return _finish(_figures(frame, table, as_of, row_count, max_rows, seed, sensitive))
+    """One row per column, over all rows unless ``sample_pct`` asks for a sample. Sensitive columns
+    only get null and distinct counts."""
+    return _finish(_figures(frame, table, as_of, sample_pct, seed, sensitive))
 
 
 def profile_tables(frames: Mapping[str, DataFrame], *, as_of: datetime,
-                   row_counts: Mapping[str, int] | None = None, max_rows: int = MAX_PROFILE_ROWS, seed: int = 42,
+                   row_counts: Mapping[str, int] | None = None, sample_pct: Mapping[str, float] | None = None, seed: int = 42,
                    sensitive: Mapping[str, str] | None = None, failures: dict[str, str] | None = None) -> DataFrame:
     """Profiles of many tables; tables known to be empty are left out.
 
-    Each table is profiled by jobs of its own, a few tables at a time, and what comes back is one
+    Each table is profiled by a job of its own, a few tables at a time, and what comes back is one
     row per column. With ``failures`` given, a table that cannot be profiled is noted there and
     does not stop the others.
     """
-    counts = row_counts or {}
+    counts, samples = row_counts or {}, sample_pct or {}
     chosen = [(name, frame) for name, frame in frames.items() if counts.get(name, 1) > 0]
 
-    def figures_of(item: tuple[str, DataFrame]):
+    def profile_of(item: tuple[str, DataFrame]):
         name, frame = item
         try:
-            figures = _figures(frame, name, as_of, counts.get(name), max_rows, seed, sensitive).select(*FIGURES.names)
-            return figures.collect()
+            return _finish(_figures(frame, name, as_of, samples.get(name), seed, sensitive)).collect()
         except Exception as problem:  # noqa: BLE001 - reported per table
             if failures is None:
                 raise
@@ -129,50 +128,25 @@ def profile_tables(frames: Mapping[str, DataFrame], *, as_of: datetime,
             return []
 
     spark = chosen[0][1].sparkSession
-    rows = [row for found in side_by_side(spark, figures_of, chosen) for row in found]
-    return _finish(spark.createDataFrame(rows, FIGURES))
+    rows = [row for found in side_by_side(spark, profile_of, chosen) for row in found]
+    return spark.createDataFrame(rows, _finish(spark.createDataFrame([], FIGURES)).schema)
 
 
-def _figures(frame: DataFrame, table: str, as_of: datetime, row_count: int | None, max_rows: int, seed: int,
+def _figures(frame: DataFrame, table: str, as_of: datetime, sample_pct: float | None, seed: int,
              sensitive: Mapping[str, str] | None) -> DataFrame:
     """The measured part of a profile: counts, bounds, age, distinct count, smallest values."""
     guarded = dict(sensitive_columns(frame.schema) if sensitive is None else sensitive)
-    row_count = frame.count() if row_count is None else row_count
-    pct = sampling_pct(row_count, max_rows)
-    if pct is None:
-        figures = _read_figures(frame, table, guarded, as_of)
-        return figures.withColumn("values_list", F.when(_categorical(), F.col("smallest")))
-
-    # The table is scanned once for the sample, which is then read once per pass. The figures are
-    # one row per column; what looks categorical in them is verified on all rows.
-    spark = frame.sparkSession
-    folder = work_folder(spark, "profile-sample")
-    try:
-        files = math.ceil(row_count * pct / 100 / SAMPLE_ROWS_PER_FILE)
-        frame.sample(fraction=pct / 100, seed=seed).repartition(files).write.parquet(folder)
-        sampled = _read_figures(spark.read.schema(frame.schema).parquet(folder), table, guarded, as_of)
-        rows = [row.asDict() for row in sampled.collect()]
-    finally:
-        remove_folder(spark, folder)
-    candidates = {row["column_name"] for row in rows if 1 <= (row["distinct_count"] or 0) <= MAX_CATEGORICAL
-                  and row["family"] in ("text", "numeric") and row["sensitive"] is None}
-    verified = _verified_values(frame, candidates)
-    for row in rows:
-        row["values_list"] = verified.get(row["column_name"])
-    return spark.createDataFrame([tuple(row[name] for name in FIGURES.names) for row in rows], FIGURES)
-
-
-def _read_figures(source: DataFrame, table: str, guarded: Mapping[str, str], as_of: datetime) -> DataFrame:
+    source = frame if sample_pct is None else frame.sample(fraction=sample_pct / 100, seed=seed)
     positioned = list(enumerate(source.schema.fields, start=1))
     groups = [positioned[i:i + COLUMNS_PER_PASS] for i in range(0, len(positioned), COLUMNS_PER_PASS)]
     measured = _union([_measure(source, table, g, guarded, as_of) for g in groups])
-    distinct = _union([d for g in groups for d in _distinct(source, [f for _, f in g], guarded)])
-    return measured.join(distinct, "column_name", "left")
+    figures = measured.join(_distinct(source, guarded), "column_name", "left")
+    return figures.withColumn("sampled_pct", F.lit(sample_pct).cast("double")).select(*FIGURES.names)
 
 
 def _finish(figures: DataFrame) -> DataFrame:
     total = "greatest(total_rows, 1)"
-    derived = figures.selectExpr(
+    derived = figures.withColumn("values_list", F.when(_categorical(), F.col("smallest"))).selectExpr(
         "*",
         "coalesce(distinct_count, 0) AS n_distinct",
         f"round(100.0D * null_count / {total}, 2) AS null_pct",
@@ -182,7 +156,7 @@ def _finish(figures: DataFrame) -> DataFrame:
     return derived.select(
         "table_name", "column_name", "data_type", "family", "ordinal_position", "total_rows", "null_count",
         F.col("n_distinct").alias("distinct_count"), "min_value", "max_value", "age_hours", "sample_values", "sensitive",
-        "null_pct", "uniqueness_pct", "values_list", signals().alias("signals"),
+        "null_pct", "uniqueness_pct", "values_list", signals().alias("signals"), "sampled_pct",
     )
 
 
@@ -207,41 +181,55 @@ def _measure(source: DataFrame, table: str, positioned: list[tuple[int, T.Struct
     return source.agg(F.expr(f"array({', '.join(rows)})").alias("m")).select(F.inline("m"))
 
 
-def _distinct(source: DataFrame, fields: list[T.StructField], guarded: Mapping[str, str]) -> list[DataFrame]:
-    """``(column_name, distinct_count, smallest)``: the up to 26 smallest distinct values as text,
-    for readable columns; complex columns are only counted."""
-    frames = []
-    plain = [f for f in fields if family(f.dataType) != "complex"]
-    if plain:
-        values = distinct_values(source, plain)
-        counted = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-        shown = values.where(~F.col("column_name").isin(list(guarded))) if guarded else values
-        frames.append(counted.join(smallest_values(shown), "column_name", "left"))
-    for field in fields:
-        if family(field.dataType) == "complex":
-            column = F.col(quote(field.name))
-            if isinstance(field.dataType, T.VariantType):
-                column = F.to_json(column)
-            frames.append(source.agg(F.count_distinct(column).alias("distinct_count")).select(
-                F.lit(field.name).alias("column_name"), "distinct_count",
-                F.lit(None).cast("array<string>").alias("smallest")))
-    return frames
-
-
-def distinct_values(source: DataFrame, fields: Iterable[T.StructField]) -> DataFrame:
-    """Distinct non-null ``(column_name, value)`` pairs of plain columns, values as text.
-
-    Columns of one type are unpivoted and deduplicated together in that type, so rows are shuffled
-    in their compact form and only the distinct values are turned into text."""
-    by_type: dict[str, list[str]] = {}
-    for field in fields:
-        by_type.setdefault(field.dataType.simpleString(), []).append(field.name)
-    frames = []
-    for names in by_type.values():
-        pairs = source.unpivot([], [F.col(quote(n)).alias(n) for n in names], "column_name", "value")
-        frames.append(pairs.where(F.col("value").isNotNull()).distinct().select(
-            "column_name", F.col("value").cast("string").alias("value")))
-    return _union(frames)
+def _distinct(source: DataFrame, guarded: Mapping[str, str]) -> DataFrame:
+    """``(column_name, distinct_count, smallest)``: the up to 26 smallest distinct values as text, for
+    readable columns; the others are only counted, from the same shuffled keys."""
+    fields = source.schema.fields
+    keys = distinct_keys(source, fields)
+    counted = keys.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    hidden = [f.name for f in fields if f.name in guarded or family(f.dataType) == "complex"]
+    texts = [f for f in fields if family(f.dataType) == "text"]
+    shown = keys.where(~F.col("column_name").isin(hidden)) if hidden else keys
+    short = shown.where(F.col("prefix").isNull()).select("column_name", F.col("key").cast("string").alias("value"))
+    values = short if not texts else short.unionByName(_shown_texts(source, texts, shown))
+    return counted.join(smallest_values(values), "column_name", "left")
+
+
+def distinct_keys(source: DataFrame, fields: Iterable[T.StructField]) -> DataFrame:
+    """Distinct non-null ``(column_name, key, prefix)`` of all columns, from one scan and one shuffle.
+
+    The key of a short value is its text, that of a text or complex value a 128-bit hash. Texts carry
+    their first characters, by which they are ordered until the texts themselves are read."""
+    entries = [F.struct(F.lit(f.name).alias("column_name"), _key(f).alias("key"), (
+        F.substring(quote(f.name), 1, ORDER_PREFIX) if family(f.dataType) == "text" else F.lit(None).cast("string")).alias("prefix"))
+        for f in fields]
+    return source.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("key").isNotNull()).distinct()
+
+
+def _key(field: T.StructField) -> Column:
+    column = F.col(quote(field.name))
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        column = column + F.lit(0).cast(field.dataType)          # one zero, without a sign
+    if family(field.dataType) == "text" or isinstance(field.dataType, T.BinaryType):
+        return F.unhex(F.md5(column))
+    if isinstance(field.dataType, T.MapType):
+        column = F.array_sort(F.map_entries(column))
+    if family(field.dataType) == "complex":
+        return F.when(F.col(quote(field.name)).isNotNull(), F.unhex(F.md5(F.to_json(column))))
+    return column.cast("string").cast("binary")
+
+
+def _shown_texts(source: DataFrame, texts: list[T.StructField], keys: DataFrame, keep: int = MAX_CATEGORICAL + 1) -> DataFrame:
+    """``(column_name, value)`` of the texts that may be among the smallest: those whose first characters
+    are not beyond those of the 26th key. Only they are read in full and shuffled."""
+    prefixed = keys.where(F.col("prefix").isNotNull())
+    in_order = Window.partitionBy("column_name").orderBy("prefix", "key")
+    first = prefixed.withColumn("__rn", F.row_number().over(in_order)).where(F.col("__rn") <= keep)
+    last = first.groupBy("column_name").agg(F.max("prefix").alias("last"))
+    entries = [F.struct(F.lit(f.name).alias("column_name"), F.col(quote(f.name)).alias("value")) for f in texts]
+    values = source.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("value").isNotNull())
+    near = values.join(last, "column_name").where(F.substring("value", 1, ORDER_PREFIX) <= F.col("last"))
+    return near.select("column_name", "value").distinct()
 
 
 def smallest_values(values: DataFrame, keep: int = MAX_CATEGORICAL + 1) -> DataFrame:
@@ -260,18 +248,6 @@ def _categorical() -> Column:
     )
 
 
-def _verified_values(frame: DataFrame, names: set[str]) -> dict[str, list[str]]:
-    """Value lists of the columns that look categorical in the sample, from the whole table: at
-    most 26 values per column come back, and more than 25 mean that there is no list."""
-    fields = [f for f in frame.schema.fields if f.name in names]
-    if not fields:
-        return {}
-    groups = [fields[i:i + COLUMNS_PER_PASS] for i in range(0, len(fields), COLUMNS_PER_PASS)]
-    full = _union([smallest_values(distinct_values(frame, g)) for g in groups])
-    found = full.where(F.size("smallest") <= MAX_CATEGORICAL).collect()
-    return {row["column_name"]: row["smallest"] for row in found}
-
-
 def signals() -> Column:
     """Short hints per column, in a fixed order."""
     key = "endswith(upper(column_name), '_ID')"
@@ -295,8 +271,12 @@ def profile_kpis(profile: DataFrame, suggestions: DataFrame | None = None) -> Da
     return kpis
 
 
-def with_rule_flag(profile: DataFrame, rules: DataFrame) -> DataFrame:
-    """Mark the columns an active rule of the same table names."""
+def with_rule_flag(profile: DataFrame, rules: DataFrame, database: str | None = None, schema: str | None = None) -> DataFrame:
+    """Mark the columns an active rule of the same table names. Profiles carry short names, so the rules
+    are restricted to the schema that was profiled."""
+    for column, wanted in (("database_name", database), ("schema_name", schema)):
+        if wanted is not None:
+            rules = rules.where(F.upper(column) == wanted.upper())
     covered = rules.where(F.col("is_active") & F.col("column_name").isNotNull()).select(
         F.upper("table_name").alias("__t"), F.upper("column_name").alias("__c"), F.lit(True).alias("__covered"),
     ).distinct()

@@ -12,7 +12,6 @@ from plumbline.functions.time import recent, recent_dates
 from plumbline.operators.scoring import daily_results, daily_table_score, latest_results, score_trend, table_health
 
 OPEN_ISSUES = 12
-NEWEST_RESULTS = 5000
 DETAIL_DAYS = 90
 
 
@@ -117,14 +116,17 @@ def rule_failure_history(daily: DataFrame, as_of: datetime, rule_id: int | None
 def run_history(
     results: DataFrame, as_of: datetime, *, days: int = 30, tables: Sequence[str] = (),
     statuses: Sequence[str] = (), severities: Sequence[str] = (), triggers: Sequence[str] = (),
-    limit: int = NEWEST_RESULTS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The newest executions that match all given filters (an empty filter matches everything)."""
+    """The executions of the window that match all given filters (an empty filter matches everything). A
+    listing may ask for the newest ``limit`` of them; figures and exports take all."""
     rows = recent(results, "run_ts", as_of, days)
     for column, wanted in (("table_fqn", tables), ("status", statuses), ("severity", severities),
                            ("triggered_by", triggers)):
         if wanted:
             rows = rows.where(F.col(column).isin(list(wanted)))
+    if limit is None:
+        return rows
     return rows.orderBy(F.col("run_ts").desc(), F.col("result_id").desc()).limit(limit)
 
 
@@ -191,33 +193,35 @@ def catalog_kpis(rules: DataFrame) -> DataFrame:
 
 
 def rule_coverage(rules: DataFrame, columns: DataFrame) -> DataFrame:
-    """Active rules, distinct covered columns and the covered share per table."""
-    widths = columns.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_cols"))
-    covered = rules.where(F.col("is_active")).groupBy("table_name").agg(
+    """Active rules, distinct covered columns and the covered share per table, by full name (in any case)."""
+    widths = columns.groupBy("table_fqn", "table_name").agg(F.count(F.lit(1)).alias("n_cols"))
+    covered = rules.where(F.col("is_active")).groupBy(F.upper(_fqn()).alias("__fqn")).agg(
         F.count(F.lit(1)).alias("rule_count"),
         F.count_distinct(F.upper("column_name")).alias("covered_cols"),
     )
     share = 100 * F.coalesce("covered_cols", F.lit(0)) / F.nullif(F.col("n_cols"), F.lit(0))
-    return widths.join(covered, "table_name", "left").select(
-        "table_name", F.coalesce("rule_count", F.lit(0)).alias("rule_count"), "n_cols",
+    return widths.join(covered, F.upper("table_fqn") == F.col("__fqn"), "left").select(
+        "table_fqn", "table_name", F.coalesce("rule_count", F.lit(0)).alias("rule_count"), "n_cols",
         F.coalesce("covered_cols", F.lit(0)).alias("covered_cols"), F.round(share, 0).alias("coverage_pct"),
     )
 
 
+def in_schema(rows: DataFrame, database: str, schema: str) -> DataFrame:
+    """The rows whose ``table_fqn`` lies in one schema, in any case."""
+    return rows.where(F.startswith(F.upper("table_fqn"), F.lit(f"{database}.{schema}.".upper())))
+
+
 def schema_overview(tables: DataFrame, columns: DataFrame, row_counts: DataFrame, rules: DataFrame,
                     health: DataFrame, database: str, schema: str, sizes: DataFrame | None = None) -> DataFrame:
     """Every table of a schema with size, coverage and score; the least covered come first."""
-    here = f"{database}.{schema}.".upper()
     of_schema = (F.upper("database_name") == database.upper()) & (F.upper("schema_name") == schema.upper())
-    cover = rule_coverage(rules.where(of_schema), columns).drop("covered_cols")
-    scores = health.where(F.startswith(F.upper("table_fqn"), F.lit(here))).select(
-        F.split_part(F.upper("table_fqn"), F.lit("."), F.lit(3)).alias("__table"), "dq_score")
-    listed = tables.where(F.startswith(F.upper("table_fqn"), F.lit(here)))
-    listed = listed.where(F.col("table_type").isin("BASE TABLE", "VIEW", "DYNAMIC TABLE"))
+    cover = rule_coverage(rules.where(of_schema), in_schema(columns, database, schema)).drop("covered_cols", "table_name")
+    scores = in_schema(health, database, schema).select(F.upper("table_fqn").alias("__fqn"), "dq_score")
+    listed = in_schema(tables, database, schema).where(F.col("table_type").isin("BASE TABLE", "VIEW", "DYNAMIC TABLE"))
     rows = (
-        listed.join(row_counts.select("table_name", "row_count"), "table_name", "left")
-        .join(cover, "table_name", "left")
-        .join(scores, F.upper("table_name") == F.col("__table"), "left").drop("__table")
+        listed.join(in_schema(row_counts, database, schema).select("table_fqn", "row_count"), "table_fqn", "left")
+        .join(cover, "table_fqn", "left")
+        .join(scores, F.upper("table_fqn") == F.col("__fqn"), "left").drop("__fqn")
     )
     shown = ["table_name", "table_type", "row_count", "rule_count", "n_cols", "coverage_pct", "dq_score"]
     if sizes is not None:
@@ -241,6 +245,16 @@ def existing_rules(rules: DataFrame, latest: DataFrame, database: str, schema: s
     ).orderBy("table_name", "rule_id")
 
 
+def result_tables(results: DataFrame) -> DataFrame:
+    """The tables that have results, in order: the choices of a history filter."""
+    return results.select("table_fqn").distinct().orderBy("table_fqn")
+
+
+def schema_choices(rules: DataFrame) -> DataFrame:
+    """The databases and schemas that have rules, in order."""
+    return rules.select("database_name", "schema_name").distinct().orderBy("database_name", "schema_name")
+
+
 def views(results: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
     """The scoring views by name, ready for ``createOrReplaceTempView``."""
     latest, daily = latest_results(results, rules), daily_results(results)

@@ -15,6 +15,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.model import RESULTS_SCHEMA, Rule
@@ -22,18 +23,19 @@ from plumbline.operators.checks import Check, compile_rule, count_duplicates, co
 from plumbline.sources.parallel import CONCURRENT_JOBS, side_by_side
 from plumbline.sources.registry import Registry
 
+# Error conditions that speak of the cluster rather than of data.
+CLUSTER_CONDITIONS = ("INTERNAL_ERROR", "UNABLE_TO_ACQUIRE_MEMORY", "JOB_CANCELLED", "OPERATION_CANCELED", "FAILED_READ_FILE",
+                      "CONNECT", "TASK_WRITE_FAILED")
+
 # Beyond 100 fields Spark gives up whole-stage code generation, so one aggregate stays below that.
 MAX_FUSED = 80
-ERROR_CHARS = 4000
-PREVIEW_RULES = 60
-PREVIEW_ERROR_CHARS = 300
 
 _MEASURED = T.StructType([
     *[f for f in RESULTS_SCHEMA.fields if f.name not in ("failed_pct", "status", "result_id")],
 ])
 
 
-def select_rules(rules: DataFrame, table: str | None = None, rule_id: int | None = None) -> list[Rule]:
+def active_rules(rules: DataFrame, table: str | None = None, rule_id: int | None = None) -> DataFrame:
     """Active rules, optionally of one table (any case) and with one id; both conditions apply."""
     chosen = rules.where(F.col("is_active"))
     if table:
@@ -41,7 +43,12 @@ def select_rules(rules: DataFrame, table: str | None = None, rule_id: int | None
         chosen = chosen.where(F.upper(fqn) == table.upper())
     if rule_id is not None:
         chosen = chosen.where(F.col("rule_id") == int(rule_id))
-    return [Rule.from_row(row) for row in chosen.orderBy("rule_id").collect()]
+    return chosen
+
+
+def select_rules(rules: DataFrame, table: str | None = None, rule_id: int | None = None) -> list[Rule]:
+    """The same as configuration, in id order: a plan is compiled from them on the driver."""
+    return [Rule.from_row(row) for row in active_rules(rules, table, rule_id).orderBy("rule_id").toLocalIterator()]
 
 
 def group_checks(checks: Mapping[int, Check]) -> list[list[int]]:
@@ -161,6 +168,8 @@ def _evaluate(checks: dict[int, Check], registry: Registry) -> dict[int, Outcome
     try:
         measured = plan.collect()
     except Exception as problem:  # noqa: BLE001
+        if not blames_data(problem):
+            raise
         positions = list(checks)
         if len(positions) == 1:
             return {**outcomes, positions[0]: Outcome(error=_message(problem), took_ms=_ms(started))}
@@ -174,6 +183,13 @@ def _evaluate(checks: dict[int, Check], registry: Registry) -> dict[int, Outcome
     return outcomes
 
 
+def blames_data(problem: Exception) -> bool:
+    """Whether a job failed over values or expressions: Spark then names an error condition for it. Lost
+    executors, exhausted memory and cancelled jobs name none, or one of the cluster's own."""
+    condition = problem.getCondition() if isinstance(problem, PySparkException) else None
+    return bool(condition) and not condition.startswith(CLUSTER_CONDITIONS)
+
+
 def _plan(checks: dict[int, Check], registry: Registry) -> DataFrame | None:
     try:
         if any(check.probe for check in checks.values()):
@@ -243,9 +259,8 @@ def preview_rules(
     spark: SparkSession, rules: Iterable[Rule], registry: Registry, *, as_of: datetime | None = None,
     round_to: int = 2,
 ) -> DataFrame:
-    """What the rules would report, without saving. At most the first 60 rules are previewed."""
-    rules = list(rules)[:PREVIEW_RULES]
-    measured = run_checks(spark, rules, registry, as_of=as_of, run_id="preview")
+    """What the rules would report, without saving."""
+    measured = run_checks(spark, list(rules), registry, as_of=as_of, run_id="preview")
     pct = failed_pct(round_to)
     return measured.select(
         "rule_id",
@@ -255,7 +270,7 @@ def preview_rules(
         pct.alias("failed_pct"),
         "threshold_pct",
         "failed_rows",
-        F.substring("error_message", 1, PREVIEW_ERROR_CHARS).alias("error"),
+        F.col("error_message").alias("error"),
     )
 
 
@@ -268,7 +283,7 @@ def preview_totals(preview: DataFrame) -> DataFrame:
 
 
 def _message(problem: Exception) -> str:
-    return str(problem)[:ERROR_CHARS]
+    return str(problem)
 
 
 def _ms(started: float) -> int:

@@ -1,19 +1,15 @@
-"""Jobs over a store: run and record, apply suggestions, evaluate alerts, build the sample."""
+"""Jobs over a store: run and record, import rules, apply suggestions, evaluate alerts."""
 
 from __future__ import annotations
 
-import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 
-from plumbline.model import Rule
 from plumbline.operators import alerts
-from plumbline.operators.scoring import latest_results
 from plumbline.operators.suggest import to_catalog_rows
-from plumbline.operators.synth import DATABASE, SCHEMA, sample_rules, simulate_history, synth_tables
 from plumbline.plans.engine import run_checks
-from plumbline.sources.parallel import side_by_side
+from plumbline.sources.csv import import_rules
 from plumbline.sources.registry import Registry
 from plumbline.sources.tables import ALERT_HISTORY, POLICIES, RESULTS, RULES, Store
 
@@ -27,6 +23,12 @@ def run_and_record(store: Store, registry: Registry, *, as_of: datetime, table:
     return results
 
 
+def import_into_catalog(store: Store, path: str, *, as_of: datetime) -> list[int]:
+    """Add the rules of CSV files to the catalog; nothing is added if any row is refused. Returns the
+    new ids. Imported rules are active."""
+    return store.insert(RULES, [r.asDict() for r in import_rules(store.spark, path).toLocalIterator()], as_of=as_of)
+
+
 def apply_suggestions(store: Store, registry: Registry, suggestions: DataFrame, database: str, schema: str, *,
                       as_of: datetime, owner: str | None = None, row_filter: str | None = None,
                       run: bool = True) -> dict[str, int]:
@@ -44,35 +46,14 @@ def apply_suggestions(store: Store, registry: Registry, suggestions: DataFrame,
 
 
 def notify(store: Store, *, as_of: datetime, alert_id: int | None = None, test: bool = False) -> DataFrame | None:
-    """Evaluate alert policies against the recorded results and log one row per policy."""
+    """Evaluate alert policies against the recorded results and log one row per policy. Returns the
+    rows that were logged: evaluated once, a row per policy, whatever the store does next."""
     policies = alerts.select_policies(store.rows(POLICIES), alert_id)
     if not policies:
         return None
     evaluated = alerts.evaluate_alerts(
         store.spark, store.read(RESULTS), store.rows(RULES), policies, as_of,
         app_url=(store.setting("APP_URL") or "").strip(), test=test)
-    store.append(ALERT_HISTORY, alerts.to_history(evaluated))
-    return evaluated
-
-
-def build_sample(spark: SparkSession, store: Store, *, as_of: datetime, scale: float = 1.0,
-                 days: int = 30) -> Registry:
-    """Write the sample tables, register their rules, run them, and backfill a history."""
-    registry = Registry(spark)
-    tables = synth_tables(spark, as_of, scale)
-    paths = {name: f"{store.root}/sample/{name.lower()}" for name in tables}
-    side_by_side(spark, lambda name: tables[name].write.mode("overwrite").parquet(paths[name]), tables)
-    for name, path in paths.items():
-        registry.register(f"{DATABASE}.{SCHEMA}.{name}", spark.read.parquet(path))
-    store.insert(RULES, [_catalog_row(r) for r in sample_rules(as_of)], as_of=as_of)
-    run_and_record(store, registry, as_of=as_of)
-    latest = latest_results(store.read(RESULTS), store.rows(RULES))
-    prefix = f"{DATABASE}.{SCHEMA}."
-    store.append(RESULTS, simulate_history(latest.where(F.startswith("table_fqn", F.lit(prefix))), days))
-    return registry
-
-
-def _catalog_row(rule: Rule) -> dict:
-    row = dict(rule.__dict__)
-    row["rule_params"] = json.dumps(rule.params)
-    return row
+    logged = store.spark.createDataFrame(evaluated.collect(), evaluated.schema)
+    store.append(ALERT_HISTORY, alerts.to_history(logged))
+    return logged

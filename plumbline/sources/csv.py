@@ -32,7 +32,7 @@ def import_rules(spark: SparkSession, path: str) -> DataFrame:
     ])
     kind = F.upper("rule_type")
     unknown = given.where(kind.isNotNull() & ~kind.isin(list(RULE_DIMENSIONS))).select(kind.alias("t")).distinct()
-    found = sorted(r["t"] for r in unknown.limit(20).collect())
+    found = sorted(r["t"] for r in unknown.toLocalIterator())
     if found:
         raise ValueError(f"unknown rule types: {found}")
     return normalise_rules(given)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -49,13 +50,20 @@ class Registry:
     def sql(self, text: str) -> DataFrame:
         """Run SQL that names registered datasets, such as the check and sample SQL of a stored
         result. Each dataset the text mentions becomes a temporary view for it."""
-        for number, fqn in enumerate(self.names()):
+        parts = re.split(r"('(?:[^'\\]|\\.)*')", text)          # literals are the odd parts
+        views = []
+        for fqn in self.names():
             mention = re.compile(re.escape(quote_fqn(fqn)), re.IGNORECASE)
-            if mention.search(text):
-                view = f"plumbline_view_{id(self)}_{number}"
-                self.resolve(fqn).createOrReplaceTempView(view)
-                text = mention.sub(view, text)
-        return self.spark.sql(text)
+            if any(mention.search(part) for part in parts[::2]):
+                view = f"plumbline_view_{uuid.uuid4().hex}"
+                self.resolve(fqn).createTempView(view)
+                views.append(view)
+                parts[::2] = [mention.sub(view, part) for part in parts[::2]]
+        try:
+            return self.spark.sql("".join(parts))                 # analysed now: the views are no longer needed
+        finally:
+            for view in views:
+                self.spark.catalog.dropTempView(view)
 
     def register_schema(self, database: str, schema: str) -> "Registry":
         """Register every table and view of one catalog schema (table discovery)."""
@@ -99,24 +107,19 @@ class Registry:
         return _union(frames)
 
     def sizes(self, names: Iterable[str] | None = None) -> DataFrame:
-        """Bytes and last change per table from the file metadata column, reduced per file before
-        the shuffle. Tables that are not read straight from files have neither."""
-        frames = []
+        """Bytes and last change per table, as the file system lists the files behind it; no row is read.
+        Tables that no files stand behind have neither."""
+        context = self.spark.sparkContext
+        rows = []
         for fqn in self.names() if names is None else names:
-            label = F.lit(fqn).alias("table_fqn")
-            try:
-                files = self.resolve(fqn).select(
-                    F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
-                    F.col("_metadata.file_modification_time").alias("changed"))
-            except Exception:  # no file source behind this dataset
-                frames.append(self.spark.range(1).select(
-                    label, F.lit(None).cast("long").alias("bytes"),
-                    F.lit(None).cast("timestamp").alias("last_altered")))
-                continue
-            per_file = files.groupBy("path").agg(F.max("size").alias("size"), F.max("changed").alias("changed"))
-            frames.append(per_file.agg(F.sum("size").alias("bytes"), F.max("changed").alias("last_altered"))
-                          .select(label, "bytes", "last_altered"))
-        return _union(frames)
+            total, newest = 0, 0
+            paths = [context._jvm.org.apache.hadoop.fs.Path(p) for p in self.resolve(fqn).inputFiles()]
+            for path in paths:
+                status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
+                total, newest = total + status.getLen(), max(newest, status.getModificationTime())
+            rows.append((fqn, total if paths else None, newest if paths else None))
+        sizes = self.spark.createDataFrame(rows, "table_fqn string, bytes long, changed long")
+        return sizes.select("table_fqn", "bytes", F.timestamp_millis("changed").alias("last_altered"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

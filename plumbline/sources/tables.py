@@ -8,6 +8,7 @@ failed job can never leave a half-changed table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -197,11 +198,13 @@ class Store:
     def update(self, table: Keyed, edited: DataFrame, *, as_of: datetime, columns: Sequence[str]) -> int:
         """Write the rows whose ``columns`` changed, with a new ``updated_at``; returns how many.
 
-        The edits are configuration rows and are taken over as values: an edit frame usually comes
-        from an earlier read of this very table, and Spark treats two scans of one path in a plan
-        as the same scan, whatever files were added between them."""
+        An edit frame usually comes from an earlier read of this very table, and Spark treats two scans
+        of one path in a plan as the same scan, whatever files were added between them. The edits are
+        therefore written aside first and read from there."""
+        aside = self._path(f"_edits_{uuid.uuid4().hex}")
         edited = edited.select(table.key, *columns)
-        edited = self.spark.createDataFrame(edited.collect(), edited.schema)
+        edited.write.parquet(aside)
+        edited = self.spark.read.schema(edited.schema).parquet(aside)
         current = self.rows(table)
         changed = changed_rows(current, edited, table.key, columns).select(table.key, *columns)
         changed = changed.withColumn("updated_at", F.expr(timestamp_literal(as_of)))
@@ -209,8 +212,24 @@ class Store:
         count = merged.count()
         if count:
             self._write(table, merged, deleted=False)
+        self._remove(aside)
         return count
 
+    def compact(self, table: Keyed) -> None:
+        """Rewrite a keyed table as one version: a copy is staged, and replaces the table's folder by a
+        rename. Ids of deleted rows stay known through their markers."""
+        path, staged, old = self._path(table.name), self._path(f"_staged_{table.name}"), self._path(f"_old_{table.name}")
+        if not self._exists(path):
+            return
+        newest = Window.partitionBy(table.key).orderBy(F.col("__version").desc())
+        kept = self._versions(table).withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") == 1).drop("__rn")
+        kept.coalesce(1).write.mode("overwrite").parquet(staged)
+        fs, target = self._fs(path)
+        hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs.rename(target, hadoop_path(old))
+        fs.rename(hadoop_path(staged), target)
+        self._remove(old)
+
     def delete(self, table: Keyed, keys: Iterable) -> None:
         field = table.schema[table.key]
         doomed = self.spark.createDataFrame([(k,) for k in keys], T.StructType([field]))

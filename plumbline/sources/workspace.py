@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,12 +9,12 @@ from pyspark.sql import SparkSession
 
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder the session names in ``spark.checkpoint.dir``. Only a
-    local session without one, such as a test, falls back to a temporary folder."""
+    local session without one, such as a test, uses its own folder, which goes when the session ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="plumbline-")
+        shared = spark.sparkContext._temp_dir
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

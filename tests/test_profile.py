@@ -80,17 +80,40 @@ def test_categorical_limit(spark):
     assert got["txt"].values_list == [str(i) for i in range(9)]
 
 
-def test_sampled_profile_verifies_values_on_the_whole_table(spark):
-    frame = spark.range(20_000).selectExpr(
-        "id", "id % 5 AS few", "CASE WHEN id < 19990 THEN 'usual' ELSE concat('rare', id % 3) END AS mostly",
+def test_large_tables_are_profiled_exactly(spark):
+    frame = spark.range(700_000).selectExpr(
+        "id", "id % 5 AS few", "CASE WHEN id < 699990 THEN 'usual' ELSE concat('rare', id % 3) END AS mostly",
         "CASE WHEN id % 40 = 7 THEN id ELSE 0 END AS hidden")
-    got = by_column(profile_table(frame, "t", as_of=NOW, max_rows=1000, seed=1))
-    assert 700 < got["id"].total_rows < 1300
+    got = by_column(profile_table(frame, "t", as_of=NOW))
+    assert got["id"].total_rows == got["id"].distinct_count == 700_000 and got["id"].sampled_pct is None
     assert got["few"].values_list == ["0", "1", "2", "3", "4"]
     assert got["mostly"].values_list == ["rare0", "rare1", "rare2", "usual"]
     assert got["hidden"].values_list is None
 
 
+def test_a_sample_is_asked_for_and_named(spark):
+    got = by_column(profile_table(spark.range(20_000).toDF("id"), "t", as_of=NOW, sample_pct=5.0, seed=1))
+    assert 700 < got["id"].total_rows < 1300 and got["id"].sampled_pct == 5.0
+
+
+def test_texts_that_begin_alike(spark):
+    frame = spark.range(60).selectExpr("concat(repeat('x', 80), lpad(id, 3, '0')) AS t", "concat('y', repeat('z', 70), id % 3) AS u")
+    got = by_column(profile_table(frame, "t", as_of=NOW))
+    assert got["t"].sample_values == ", ".join("x" * 80 + f"{i:03}" for i in range(5))
+    assert got["u"].values_list == ["y" + "z" * 70 + str(i) for i in range(3)] and got["t"].distinct_count == 60
+
+
+def test_guarded_profiles_scan_no_more(spark, tmp_path):
+    spark.range(10).selectExpr("id", "cast(id AS string) AS t", "id * 1.5D AS v", "array(id) AS a").write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+
+    def scans(sensitive):
+        plan = profile_table(frame, "t", as_of=NOW, sensitive=sensitive)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("FileScan parquet")
+
+    assert scans({}) == scans({"t": "x"}) == scans({"v": "x", "a": "x"}) <= 6
+
+
 def test_sensitive_values_are_never_read(spark):
     schema = T.StructType([
         T.StructField("id", T.IntegerType()), T.StructField("Email_Work", T.StringType()),

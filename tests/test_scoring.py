@@ -86,11 +86,12 @@ def test_open_issues_order_and_remainder(spark):
     assert tuple(reports.open_issue_counts(latest, top=2).first()) == (5, 3)
 
 
-def test_run_history_limits_before_it_counts(spark):
+def test_run_history_counts_everything(spark):
     results = frame(spark, *[result(i, "PASS" if i % 2 else "FAIL", i / 10) for i in range(1, 21)])
-    newest = reports.run_history(results, NOW, days=30, limit=10)
+    newest = reports.run_history(results, NOW, days=30)
     kpis = reports.run_history_kpis(newest).first()
-    assert (kpis.executions, kpis.pass_rate, kpis.failures, kpis.avg_duration_s) == (10, 50.0, 5, 1.5)
+    assert (kpis.executions, kpis.pass_rate, kpis.failures, kpis.avg_duration_s) == (20, 50.0, 10, 1.5)
+    assert [r.rule_id for r in reports.run_history(results, NOW, days=30, limit=3).collect()] == [1, 2, 3]
     assert reports.run_history(results, NOW, statuses=("FAIL",), days=1).count() == 5
     assert reports.run_history_kpis(newest.where("false")).first().pass_rate is None
 

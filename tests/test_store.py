@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.scoring import latest_results
-from plumbline.plans.workflow import apply_suggestions, build_sample, notify, run_and_record
+from plumbline.plans.workflow import apply_suggestions, notify, run_and_record
 from plumbline.operators.suggest import by_confidence, suggest_rules
 from plumbline.operators.profile import profile_table
 from plumbline.sources.csv import export_rules, import_rules
@@ -151,14 +151,38 @@ def test_profile_suggest_apply_run(store):
     assert by_confidence(covered, "medium").count() == 0
 
 
-def test_sample_end_to_end(store):
-    registry = build_sample(store.spark, store, as_of=NOW, scale=0.01)
-    results = store.read(RESULTS)
-    assert results.where("triggered_by = 'MANUAL'").count() == 30
-    assert results.where("triggered_by = 'BACKFILL'").count() == 900
-    again = run_and_record(store, registry, as_of=NOW + timedelta(hours=1), table="demo.retail.orders")
-    assert again.count() == 10 and again.where("status = 'ERROR'").count() == 0
-    assert store.read(RESULTS).count() == 940
+def test_run_notify_and_return_what_was_logged(store):
+    known = Registry(store.spark).register("D.S.T", store.spark.range(10).toDF("n"))
+    store.insert(RULES, [dict(rule_name="r", database_name="D", schema_name="S", table_name="T", column_name="n",
+                              rule_type="RANGE", rule_params='{"max": 5}', severity="CRITICAL")], as_of=NOW)
+    assert run_and_record(store, known, as_of=NOW).first().status == "FAIL"
+    assert run_and_record(store, known, as_of=NOW + timedelta(hours=1), table="d.s.t").count() == 1
     store.insert(POLICIES, [dict(alert_name="p", channel_type="EMAIL", recipients="a@b.c", min_score=99.0)], as_of=NOW)
-    row = notify(store, as_of=NOW + timedelta(hours=2)).first()
+    logged = notify(store, as_of=NOW + timedelta(hours=2))
+    run_and_record(store, known.register("D.S.T", store.spark.range(3).toDF("n")), as_of=NOW + timedelta(hours=1, minutes=30))
+    row = logged.first()
     assert row.status == "READY" and "Tables below score 99" in row.message
+    assert store.read(ALERT_HISTORY).first().message_preview == row.message_preview
+
+
+def test_compaction_keeps_rows_and_used_ids(store):
+    ids = store.insert(RULES, [dict(rule_name=f"r{k}", rule_type="UNIQUE") for k in range(4)], as_of=NOW)
+    store.delete(RULES, ids[2:])
+    before = sorted(map(tuple, store.rows(RULES).collect()))
+    store.compact(RULES)
+    assert sorted(map(tuple, store.rows(RULES).collect())) == before and len(store.rows(RULES).inputFiles()) == 1
+    assert store.insert(RULES, [dict(rule_name="new", rule_type="UNIQUE")], as_of=NOW) == [5]
+
+
+def test_logs_are_pruned_by_day(store):
+    """Windows over the three logs read the days they need, by a filter on the partition column."""
+    from plumbline.operators import alerts, metrics, reports
+    from plumbline.sources.tables import MEASUREMENTS
+
+    for log in (RESULTS, ALERT_HISTORY, MEASUREMENTS):
+        moment = [None if f.name != log.moment else NOW for f in log.schema.fields]
+        store.append(log, store.spark.createDataFrame([tuple(moment)], log.schema))
+    for rows in (reports.run_history(store.read(RESULTS), NOW), metrics.newest_measurements(store.read(MEASUREMENTS), NOW),
+                 alerts.last_evaluation(store.read(ALERT_HISTORY))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(" in plan

@@ -174,22 +174,15 @@ _NOTIFICATIONS = (
     "(SELECT lpad(event_id::VARCHAR, 12, '0') AS history_id, user_id % 10 AS alert_id, 'policy ' || user_id % 10 AS alert_name, "
     "event_id % 7 AS failures_count, props AS message_preview, CASE event_type WHEN 'error' THEN 'FAILED' "
     "WHEN 'view' THEN 'SKIPPED' WHEN 'click' THEN 'READY' ELSE 'SENT' END AS status, ts AS sent_at FROM events)")
-_NEWEST = f"(SELECT * FROM {_NOTIFICATIONS} ORDER BY sent_at DESC, history_id DESC LIMIT 500)"
-
-
-def _newest(spark, sf_dir):
-    return alerts.newest_notifications(notifications(spark, sf_dir))
-
-
 _register("notification_history",
-          lambda s, d: alerts.notification_history(_newest(s, d), ("policy 1", "policy 2", "policy 3"), ("SENT", "FAILED")).select(
+          lambda s, d: alerts.notification_history(notifications(s, d), ("policy 1", "policy 2", "policy 3"), ("SENT", "FAILED")).select(
               "history_id", "sent_at", "alert_id", "status", "failures_count", "message_preview"),
-          f"SELECT history_id, sent_at, alert_id, status, failures_count, message_preview FROM {_NEWEST} "
+          f"SELECT history_id, sent_at, alert_id, status, failures_count, message_preview FROM {_NOTIFICATIONS} "
           "WHERE alert_name IN ('policy 1', 'policy 2', 'policy 3') AND status IN ('SENT', 'FAILED')")
-_register("notification_kpis", lambda s, d: alerts.notification_kpis(_newest(s, d)),
+_register("notification_kpis", lambda s, d: alerts.notification_kpis(notifications(s, d)),
           "SELECT count(*) FILTER (status = 'READY') AS ready, count(*) FILTER (status = 'SENT') AS sent, "
           "count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'SKIPPED') AS skipped, "
-          f"max(sent_at) AS latest FROM {_NEWEST}")
+          f"max(sent_at) AS latest FROM {_NOTIFICATIONS}")
 _register("last_evaluation", lambda s, d: alerts.last_evaluation(notifications(s, d)),
           f"SELECT status, count(*) AS n, max(sent_at) AS at FROM {_NOTIFICATIONS} "
           "WHERE sent_at >= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events) GROUP BY status")
@@ -293,7 +286,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEASURED = (
     f"(SELECT ts AS measured_at, '{DATABASE}.{SCHEMA}.' || {_pick_sql(MONITORED, 'user_id % 8')} AS table_fqn, "
     "'CORE.' || upper(event_type) AS metric, CASE WHEN user_id % 3 > 0 THEN 'C' || user_id % 3 END AS arguments, value "
-    f"FROM events WHERE ts >= TIMESTAMP '2024-01-24' ORDER BY ts DESC LIMIT 20000)")
+    "FROM events WHERE ts >= TIMESTAMP '2024-01-24')")
 
 
 def _recent(spark, sf_dir):

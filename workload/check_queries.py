@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.model import Rule
 from plumbline.operators.checks import compile_rule, failing_rows
-from plumbline.plans.engine import preview_rules, preview_totals, run_checks, select_rules, summarize
+from plumbline.plans.engine import active_rules, preview_rules, preview_totals, run_checks, stored_sample, summarize
 from plumbline.sources.registry import Registry
 from workload.base import AS_OF, AS_OF_SQL, DATABASE, SCHEMA, TABLES, catalog, read, registry, with_inputs
 
@@ -163,6 +163,49 @@ _register("run_summary",
           f"SELECT count(*) AS rules_executed, count(*) FILTER (status = 'PASS') AS passed, "
           f"count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'ERROR') AS errors FROM ({_RUN_SQL})")
 
+_EVENT_TYPES = ("click", "purchase", "signup", "view")
+THIRTY_RULES = RUN_RULES + (
+    rule(13, "customer", "NOT_NULL", "c_name"),
+    rule(14, "customer", "UNIQUE", "c_custkey"),
+    rule(15, "customer", "ACCEPTED_VALUES", "c_mktsegment", {"values": ["BUILDING", "MACHINERY"]}),
+    rule(16, "supplier", "RANGE", "s_acctbal", {"min": 0}, threshold=20.0),
+    rule(17, "part", "NOT_NULL", "p_name"),
+    rule(18, "part", "UNIQUE", "p_partkey"),
+    rule(19, "part", "RANGE", "p_size", {"min": 1, "max": 40}, threshold=25.0),
+    rule(20, "part", "RANGE", "p_retailprice", {"min": 950}),
+    rule(21, "lineitem", "RANGE", "l_quantity", {"min": 1, "max": 45}, threshold=15.0),
+    rule(22, "lineitem", "RANGE", "l_discount", {"max": 0.08}),
+    rule(23, "lineitem", "ACCEPTED_VALUES", "l_returnflag", {"values": ["A", "N", "R"]}),
+    rule(24, "lineitem", "REFERENTIAL", "l_partkey", {"ref_table": f"{DATABASE}.{SCHEMA}.part", "ref_column": "p_partkey"}),
+    rule(25, "lineitem", "REFERENTIAL", "l_suppkey", {"ref_table": f"{DATABASE}.{SCHEMA}.supplier", "ref_column": "s_suppkey"}),
+    rule(26, "orders", "RANGE", "o_totalprice", {"min": 1000}),
+    rule(27, "orders", "FRESHNESS", "o_orderdate"),
+    rule(28, "nation", "REFERENTIAL", "n_regionkey", {"ref_table": f"{DATABASE}.{SCHEMA}.region", "ref_column": "r_regionkey"}),
+    rule(29, "events", "ACCEPTED_VALUES", "event_type", {"values": list(_EVENT_TYPES)}),
+    rule(30, "events", "UNIQUE", "event_id"),
+)
+_THIRTY_SQL = _RUN_SQL + " UNION ALL " + " UNION ALL ".join([
+    rows_where(13, "NOT_NULL", "c_name IS NULL", "customer"),
+    repeated(14, "c_custkey", "customer"),
+    rows_where(15, "ACCEPTED_VALUES", "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')", "customer"),
+    rows_where(16, "RANGE", "s_acctbal < 0", "supplier", 20.0),
+    rows_where(17, "NOT_NULL", "p_name IS NULL", "part"),
+    repeated(18, "p_partkey", "part"),
+    rows_where(19, "RANGE", "p_size < 1 OR p_size > 40", "part", 25.0),
+    rows_where(20, "RANGE", "p_retailprice < 950", "part"),
+    rows_where(21, "RANGE", "l_quantity < 1 OR l_quantity > 45", "lineitem", 15.0),
+    rows_where(22, "RANGE", "l_discount > 0.08::DOUBLE", "lineitem"),
+    rows_where(23, "ACCEPTED_VALUES", "l_returnflag NOT IN ('A', 'N', 'R')", "lineitem"),
+    orphaned(24, "l_partkey", "lineitem", "part", "p_partkey"),
+    orphaned(25, "l_suppkey", "lineitem", "supplier", "s_suppkey"),
+    rows_where(26, "RANGE", "o_totalprice < 1000", "orders"),
+    verdict(27, "FRESHNESS", "1", f"CASE WHEN {FRESH_SQL.replace('ts', 'o_orderdate')} > 1440 THEN 1 ELSE 0 END", "orders"),
+    orphaned(28, "n_regionkey", "nation", "region", "r_regionkey"),
+    rows_where(29, "ACCEPTED_VALUES", "event_type NOT IN " + str(_EVENT_TYPES), "events"),
+    repeated(30, "event_id", "events"),
+])
+_register("thirty_rules_run", _check(*THIRTY_RULES), _THIRTY_SQL)
+
 BROKEN_RULES = (
     rule(1, "lineitem", "NOT_NULL", "no_such_column"),
     rule(2, "pages", "REGEX", "url", {"pattern": "(["}),
@@ -201,9 +244,8 @@ _register("preview_totals", lambda spark, sf_dir: preview_totals(_preview(spark,
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = select_rules(catalog(spark, sf_dir), table="lake.retail.orders")
-    return spark.createDataFrame([(r.rule_id, r.fqn, r.type) for r in chosen],
-                                 "rule_id long, table_fqn string, rule_type string")
+    return active_rules(catalog(spark, sf_dir), table="lake.retail.orders").select(
+        "rule_id", F.concat_ws(".", "database_name", "schema_name", "table_name").alias("table_fqn"), "rule_type")
 
 
 _register("rule_selection", _selected, with_inputs(
@@ -233,6 +275,24 @@ _register("sample_unique_hot_key", _sample(rule(2, "orders_open", "UNIQUE", "o_o
           "ORDER BY o_orderpriority NULLS LAST, o_orderkey LIMIT 100")
 _register("sample_referential", _sample(rule(3, "orders", "REFERENTIAL", "o_custkey", _REF), "o_orderkey"),
           f"SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM {BUILDERS}) ORDER BY o_custkey, o_orderkey LIMIT 100")
+
+
+def _stored_sample(checked: Rule, *keys: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The rows behind a recorded result, from the SQL stored with it. Which rows of the last key are shown
+    is not fixed, so the query lists the keys."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known = inputs(spark, sf_dir)
+        results = run_checks(spark, [checked], known, as_of=AS_OF, run_id="run")
+        return stored_sample(results, f"run:{checked.rule_id}", known).select(*keys)
+    return query
+
+
+_register("stored_sample_unique",
+          _stored_sample(rule(6, "lineitem", "UNIQUE", "l_orderkey,l_linenumber"), "l_orderkey", "l_linenumber"),
+          "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 "
+          "ORDER BY l_orderkey, l_linenumber LIMIT 100")
+_register("stored_sample_referential", _stored_sample(rule(7, "orders", "REFERENTIAL", "o_custkey", _REF), "o_custkey"),
+          f"SELECT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM {BUILDERS}) ORDER BY o_custkey LIMIT 100")
 _register("sample_freshness", _sample(rule(4, "events", "FRESHNESS", "ts", {"max_age_hours": 36})),
           f"SELECT max(ts) AS latest_value, date_diff('hour', max(ts), {AS_OF_SQL}) AS age_hours, "
           "36.0::DOUBLE AS max_age_hours FROM events")

@@ -8,8 +8,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators import reports, scoring
+from plumbline.plans.workflow import import_into_catalog
 from plumbline.sources.csv import export_results, export_rules, import_rules, normalise_rules
-from plumbline.sources.tables import RESULTS, Store, changed_rows, delete_rows, merge_rows
+from plumbline.sources.registry import Registry
+from plumbline.sources.tables import POLICIES, RESULTS, RULES, Store, changed_rows, delete_rows, merge_rows
 from plumbline.sources.workspace import work_folder
 from workload.base import (
     AS_OF, BAND_SQL, DATABASE, SCHEMA, SCORE_SQL, TABLES, catalog, history, read, registry, with_inputs,
@@ -117,7 +119,7 @@ def _history(spark, sf_dir, **filters):
     return reports.run_history(history(spark, sf_dir), AS_OF, **filters)
 
 
-_NEWEST = ("(SELECT * FROM results WHERE run_ts >= TIMESTAMP '{0}' {1} ORDER BY run_ts DESC, result_id DESC LIMIT 5000)")
+_NEWEST = "(SELECT * FROM results WHERE run_ts >= TIMESTAMP '{0}' {1})"
 _register("run_history", lambda s, d: _history(s, d, days=14, severities=("CRITICAL", "HIGH"), statuses=("FAIL", "ERROR"),
                                                triggers=("MANUAL", "SCHEDULE")),
           "SELECT * FROM " + _NEWEST.format("2024-01-17", "AND severity IN ('CRITICAL', 'HIGH') AND status IN "
@@ -214,7 +216,7 @@ _COVERAGE = (
     ", " + _GIVEN + ", widths AS (SELECT table_name, count(*) AS n_cols FROM information_schema.columns "
     f"WHERE table_name IN ({_NAMES}) GROUP BY 1), covered AS (SELECT table_name, count(*) AS rule_count, "
     "count(DISTINCT upper(column_name)) AS covered_cols FROM given WHERE is_active GROUP BY 1), coverage AS ("
-    "SELECT table_name, coalesce(rule_count, 0) AS rule_count, n_cols, coalesce(covered_cols, 0) AS covered_cols, "
+    f"SELECT '{DATABASE}.{SCHEMA}.' || table_name AS table_fqn, table_name, coalesce(rule_count, 0) AS rule_count, n_cols, coalesce(covered_cols, 0) AS covered_cols, "
     "round(100 * coalesce(covered_cols, 0)::DOUBLE / nullif(n_cols, 0), 0) AS coverage_pct "
     "FROM widths LEFT JOIN covered USING (table_name))")
 _register("rule_coverage", lambda s, d: reports.rule_coverage(_given_rules(s, d), registry(s, d).columns()), None)
@@ -227,6 +229,30 @@ def _overview(spark, sf_dir):
                                    _given_health(spark, sf_dir), DATABASE, SCHEMA)
 
 
+def _two_schemas(spark, sf_dir):
+    """Two schemas that hold a table of the same name: only the one asked for may count."""
+    known = Registry(spark)
+    for schema, table in (("A", "orders"), ("B", "nation"), ("A", "region")):
+        known.register(f"LAKE.{schema}.{'T' if table != 'region' else 'R'}", read(spark, sf_dir, table))
+    rules = catalog(spark, sf_dir).withColumns({
+        "schema_name": F.when(F.col("rule_id") % 3 == 0, "b").otherwise("A"), "database_name": F.lit("Lake"),
+        "table_name": F.when(F.col("rule_id") % 5 == 0, "R").otherwise("t"),
+        "column_name": F.when(F.col("rule_id") % 2 == 0, "O_ORDERKEY").otherwise("n_name")})
+    named = rules.select("rule_id", F.concat_ws(".", "database_name", "schema_name", "table_name").alias("table_fqn"))
+    health = scoring.table_health(_latest(spark, sf_dir).drop("table_fqn").join(named, "rule_id"))
+    return reports.schema_overview(known.tables(), known.columns(), known.row_counts(), rules, health, "lake", "A")
+
+
+_register("schema_overview_two_schemas", _two_schemas,
+          f"SELECT table_name, 'BASE TABLE' AS table_type, row_count, rule_count, n_cols, "
+          f"round(100 * covered::DOUBLE / n_cols, 0) AS coverage_pct, dq_score FROM ("
+          "SELECT 'T' AS table_name, (SELECT count(*) FROM orders) AS row_count, 6::BIGINT AS n_cols UNION ALL "
+          "SELECT 'R', (SELECT count(*) FROM region), 2) LEFT JOIN (SELECT CASE WHEN rule_id % 5 = 0 THEN 'R' ELSE 'T' END AS table_name, "
+          "count(*) AS rule_count, count(DISTINCT rule_id % 2) AS covered FROM rules WHERE is_active AND rule_id % 3 <> 0 GROUP BY 1) "
+          f"USING (table_name) LEFT JOIN (SELECT CASE WHEN rule_id % 5 = 0 THEN 'R' ELSE 'T' END AS table_name, {SCORE_SQL} AS dq_score "
+          "FROM latest WHERE rule_id % 3 <> 0 GROUP BY 1) USING (table_name)", "latest", "rules")
+_register("result_tables", _of(history, reports.result_tables), "SELECT DISTINCT table_fqn FROM results", "results")
+_register("schema_choices", _of(catalog, reports.schema_choices), "SELECT DISTINCT database_name, schema_name FROM rules", "rules")
 _ROW_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
 _register("schema_overview", _overview, None)
 ORACLE["schema_overview"] = with_inputs("", "latest").rstrip() + _COVERAGE + (
@@ -296,3 +322,67 @@ _register("rule_import_defaults",
                                        .withColumn("threshold_pct", F.nullif("threshold_pct", F.lit(1.0)))),
           _IMPORTED + "(SELECT * REPLACE (lower(nullif(severity, 'LOW')) AS severity, NULL::VARCHAR AS rule_params, "
           "nullif(threshold_pct, 1) AS threshold_pct) FROM rules)", "rules")
+
+
+# -- the catalog in a store: configuration rows, so a bounded set of them is inserted -------------------
+
+_STAMP = AS_OF.replace(hour=9)
+_CONFIGURED = "c_nationkey = 7 AND c_acctbal > 0"
+
+
+def _inserted(spark, sf_dir):
+    """Rules of one nation's customers, inserted in key order: they get the ids 1, 2, 3, ..."""
+    store = Store(spark, work_folder(spark, "catalog"))
+    keys = read(spark, sf_dir, "customer").where(_CONFIGURED).select(F.col("c_custkey").alias("rule_id"))
+    rows = catalog(spark, sf_dir).join(keys, "rule_id").orderBy("rule_id").drop("rule_id", "is_active")
+    store.insert(RULES, [r.asDict() for r in rows.collect()], as_of=AS_OF)
+    return store
+
+
+def _edited_store(spark, sf_dir):
+    store = _inserted(spark, sf_dir)
+    before = store.rows(RULES)
+    store.update(RULES, before.where("rule_id % 3 = 0").withColumn("threshold_pct", F.lit(2.0)), as_of=_STAMP, columns=("threshold_pct",))
+    store.update(RULES, store.rows(RULES).where("rule_id % 4 = 0").withColumn("is_active", F.lit(False)), as_of=_STAMP, columns=("is_active",))
+    store.delete(RULES, [r.rule_id for r in store.rows(RULES).where("rule_id % 5 = 0").select("rule_id").collect()])
+    store.compact(RULES)
+    return store.rows(RULES).select("rule_id", "rule_name", "threshold_pct", "is_active", (F.col("updated_at") > F.lit(AS_OF)).alias("edited"))
+
+
+_NUMBERED = ("(SELECT row_number() OVER (ORDER BY c_custkey) AS rule_id, 'rule ' || c_custkey AS rule_name, "
+             f"(c_custkey % 3)::DOUBLE AS threshold_pct FROM customer WHERE {_CONFIGURED})")
+_register("rule_store_edits", _edited_store,
+          "SELECT rule_id, rule_name, CASE WHEN rule_id % 3 = 0 THEN 2.0::DOUBLE ELSE threshold_pct END AS threshold_pct, "
+          "rule_id % 4 <> 0 AS is_active, (rule_id % 3 = 0 AND threshold_pct <> 2) OR rule_id % 4 = 0 AS edited "
+          f"FROM {_NUMBERED} WHERE rule_id % 5 <> 0")
+
+
+def _policy_store(spark, sf_dir):
+    """One policy per supplier of a nation: inserted, some toggled off, edited and deleted."""
+    store = Store(spark, work_folder(spark, "policies"))
+    rows = read(spark, sf_dir, "supplier").where("s_nationkey < 6").orderBy("s_suppkey").select(
+        F.col("s_name").alias("alert_name"), F.lit("EMAIL").alias("channel_type"), F.lit("team@example.com").alias("recipients"),
+        F.col("s_acctbal").alias("min_score"))
+    store.insert(POLICIES, [r.asDict() for r in rows.collect()], as_of=AS_OF)
+    store.update(POLICIES, store.rows(POLICIES).where("min_score < 0").withColumn("is_enabled", F.lit(False)), as_of=_STAMP, columns=("is_enabled",))
+    store.update(POLICIES, store.rows(POLICIES).where("min_score > 100").withColumn("min_score", F.lit(100.0)), as_of=_STAMP, columns=("min_score",))
+    store.delete(POLICIES, [r.alert_id for r in store.rows(POLICIES).where("alert_id % 4 = 0").select("alert_id").collect()])
+    return store.rows(POLICIES).select("alert_id", "alert_name", "is_enabled", F.col("min_score").cast("double").alias("min_score"))
+
+
+_register("policy_store_edits", _policy_store,
+          "SELECT alert_id, s_name AS alert_name, s_acctbal >= 0 AS is_enabled, least(s_acctbal, 100.0::DOUBLE) AS min_score FROM ("
+          "SELECT row_number() OVER (ORDER BY s_suppkey) AS alert_id, * FROM supplier WHERE s_nationkey < 6) WHERE alert_id % 4 <> 0")
+
+
+def _imported_catalog(spark, sf_dir):
+    path = work_folder(spark, "rules-in")
+    export_rules(_inserted(spark, sf_dir).rows(RULES), path)
+    store = Store(spark, work_folder(spark, "catalog"))
+    import_into_catalog(store, path, as_of=AS_OF)
+    return store.rows(RULES).select("rule_name", "rule_type", "threshold_pct", "is_active")
+
+
+_register("rules_csv_import", _imported_catalog,
+          f"SELECT rule_name, rule_type, threshold_pct, true AS is_active FROM (SELECT * FROM rules WHERE rule_id IN "
+          f"(SELECT c_custkey FROM customer WHERE {_CONFIGURED}))", "rules")

@@ -67,10 +67,17 @@ def shop_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_tables({view: known.resolve(f"{DATABASE}.{SCHEMA}.{view}") for view, _, _ in SHOP}, as_of=AS_OF)
 
 
-def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def suggestions(spark: SparkSession, sf_dir: str, profile: DataFrame | None = None) -> DataFrame:
     known = shop(spark, sf_dir)
     existing = spark.createDataFrame(list(EXISTING), "table_name string, column_name string, rule_type string")
-    return suggest_rules(shop_profile(spark, sf_dir), existing, known.columns(), known.row_counts(), DATABASE, SCHEMA)
+    profile = shop_profile(spark, sf_dir) if profile is None else profile
+    counts = profile.groupBy("table_name").agg(F.max("total_rows").alias("row_count"))      # the profile knows them
+    return suggest_rules(profile, existing, known.columns(), counts, DATABASE, SCHEMA)
+
+
+def _kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = shop_profile(spark, sf_dir)
+    return profile_kpis(profile, suggestions(spark, sf_dir, profile))
 
 
 # -- the same as SQL ------------------------------------------------------------------------------
@@ -234,7 +241,7 @@ ORACLE["suggest_confident"] = (
     "'Completeness' WHEN 'UNIQUE' THEN 'Uniqueness' WHEN 'FRESHNESS' THEN 'Timeliness' WHEN 'ROW_COUNT' THEN 'Volume' "
     "WHEN 'REFERENTIAL' THEN 'Consistency' ELSE 'Validity' END AS dimension, 'Data Engineering' AS owner "
     f"FROM ({SUGGEST_SQL}) WHERE confidence IN ('high', 'medium')")
-QUERIES["profile_kpis"] = lambda spark, sf_dir: profile_kpis(shop_profile(spark, sf_dir), suggestions(spark, sf_dir))
+QUERIES["profile_kpis"] = _kpis
 ORACLE["profile_kpis"] = (
     "SELECT count(DISTINCT table_name) AS tables_profiled, count(*) AS columns, "
     f"count(*) FILTER (null_pct > 5) AS high_null_columns, (SELECT count(*) FROM ({SUGGEST_SQL})) AS suggestions "
