@@ -81,7 +81,7 @@ class Encoder:
 
     It is broadcast with empty tables. Tasks that reuse a Python worker reuse its tables."""
 
-    def __init__(self, automaton: Automaton, limit: int = 200_000):
+    def __init__(self, automaton: Automaton, limit: int = 150_000):
         self.a, self.limit = automaton, limit
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, list[int]] = {}
@@ -117,7 +117,7 @@ class Encoder:
                     y = halves[y][1]
                 until = min(until, made[x])
                 x = halves[x][0]
-            if len(self.arcs) >= 5 * self.limit:
+            if len(self.arcs) >= 2 * self.limit:
                 self.arcs.clear()
             self.arcs[state, label] = found
         return found

@@ -49,6 +49,13 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def slices(batches, rows: int = 512):
+    """The same rows in small batches: what a task holds as Python objects stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def with_text_columns(df: DataFrame, make, added: str, text_col: str = "text") -> DataFrame:
     """``df`` with columns computed from its texts, in place: no shuffle, no join.
 
@@ -61,7 +68,7 @@ def with_text_columns(df: DataFrame, make, added: str, text_col: str = "text") -
 
     def task(batches):
         function, kinds = make(), [(n, _ARROW[t]) for n, t in (c.split() for c in added.split(", "))]
-        for batch in batches:
+        for batch in slices(batches):
             columns = function(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(columns[n], kind) for n, kind in kinds)],

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, packed, share, unpacked, with_text_columns
+from plumbline.llm.common import documents, packed, share, slices, unpacked, with_text_columns
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -93,12 +93,14 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 def contamination(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", width: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """``df`` with ``n_words``, ``hit_words`` (positions of the hit words), ``hit_spans`` (start, end, start,
-    end, ... in bytes of the UTF-8 text, first to last hit word of a run) and ``items``.
+    end, ... in bytes of the UTF-8 text, first to last hit word of a run), ``items`` and ``clean_text``, the text without
+    the spans.
 
     Null and empty texts have no words. An empty benchmark, or one without words, hits nothing. A
     null item id is the empty string; items that share an id count once.
     """
-    spark, out = df.sparkSession, df
+    spark, out, names = df.sparkSession, df, ("n_words", "hit_words", "hit_spans", "items", "clean_text")
+    added = "n_words long, hit_words array<long>, hit_spans array<long>, items array<string>, clean_text string"
     for k, block in enumerate(blocks(benchmark, item_col, item_text_col, block_bytes)):
         shared = share(spark, compile_windows(block, width))
 
@@ -119,26 +121,38 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text"
                     else:
                         spans += places[p]
                     last = p
-                return len(words), positions, spans, sorted(items)
+                return len(words), positions, spans, sorted(items), cut(text, spans) if spans else text
 
             def columns(texts):
                 rows = [judged(text) for text in texts]
-                return {name: [r[i] for r in rows] for i, name in enumerate(("n_words", "hit_words", "hit_spans", "items"))}
+                return {name: [r[i] for r in rows] for i, name in enumerate(names)}
 
             return columns
 
-        found = with_text_columns(out, make, "n_words long, hit_words array<long>, hit_spans array<long>, items array<string>", text_col)
-        if k:  # a further block: hits add up
-            found = with_text_columns(
-                out.withColumnsRenamed({c: f"{c}_before" for c in ("n_words", "hit_words", "hit_spans", "items")}), make,
-                "n_words long, hit_words array<long>, hit_spans array<long>, items array<string>", text_col)
-            found = found.withColumns({c: F.array_sort(F.array_union(c, f"{c}_before")) for c in ("hit_words", "items")}).withColumn(
-                "hit_spans", F.concat("hit_spans_before", "hit_spans")).drop(
-                *(f"{c}_before" for c in ("n_words", "hit_words", "hit_spans", "items")))
-        out = found
+        if not k:
+            out = with_text_columns(out, make, added, text_col)
+            continue
+        # a further block of a large benchmark: hits add up, and the text is cut by the spans of all
+        found = with_text_columns(out.withColumnsRenamed({c: f"{c}_before" for c in names}), make, added, text_col)
+        out = found.withColumns({c: F.array_sort(F.array_union(c, f"{c}_before")) for c in ("hit_words", "items")}).withColumn(
+            "hit_spans", F.concat("hit_spans_before", "hit_spans")).drop(*(f"{c}_before" for c in names))
+        out = with_cut_text(out, text_col)
     return out
 
 
+def with_cut_text(df: DataFrame, text_col: str) -> DataFrame:
+    text_at, spans_at, clean_at = (df.columns.index(c) for c in (text_col, "hit_spans", "clean_text"))
+
+    def task(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            pairs = zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist())
+            yield batch.set_column(clean_at, "clean_text", pa.array([cut(t, s) if s else t for t, s in pairs], pa.string()))
+
+    return df.mapInArrow(task, df.schema)
+
+
 def query(spark, sf_dir):
     """op6: every document against every benchmark item."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -162,14 +176,5 @@ def remove_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     goes. ``n_chars`` follows the new text; texts without a hit stay as they are."""
     found = contamination(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     kept = found.where((F.size("hit_words") == 0) | (F.size("hit_words") < F.col("n_words")))
-    text_at, spans_at = kept.columns.index("text"), kept.columns.index("hit_spans")
-
-    def task(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            pairs = zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist())
-            yield batch.set_column(text_at, "text", pa.array([cut(t, s) if s else t for t, s in pairs], pa.string()))
-
-    clean = kept.mapInArrow(task, kept.schema)
+    clean = kept.withColumn("text", F.col("clean_text"))
     return unpacked(clean, docs, n_chars=F.when(F.size("hit_words") > 0, F.length("text")).otherwise(F.col("other.n_chars")))

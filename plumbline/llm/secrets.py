@@ -8,7 +8,6 @@ not overlap; those below the rule's least length are dropped after they have con
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -135,9 +134,10 @@ def scan(data: bytes, scanner: Scanner) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def with_secrets(df: DataFrame, rules=BASE + MORE, *, text_col: str = "text") -> DataFrame:
+def with_secrets(df: DataFrame, rules=BASE + MORE, *, text_col: str = "text", clean: bool = False) -> DataFrame:
     """``df`` with ``secret_kinds``, ``secret_starts`` and ``secret_ends`` (code points, end exclusive), by start
-    and then in the order of ``rules``. Null and empty texts have none."""
+    and then in the order of ``rules``. Null and empty texts have none. With ``clean`` also ``redacted``, the texts
+    with every span replaced by ``[KIND]``."""
     shared = share(df.sparkSession, compile_rules(rules))
 
     def make():
@@ -157,11 +157,15 @@ def with_secrets(df: DataFrame, rules=BASE + MORE, *, text_col: str = "text") ->
                 kinds.append([scanner.rules[r].kind for _, _, r in found])
                 starts.append([place(a) for a, _, _ in found])
                 ends.append([place(b) for _, b, _ in found])
-            return {"secret_kinds": kinds, "secret_starts": starts, "secret_ends": ends}
+            out = {"secret_kinds": kinds, "secret_starts": starts, "secret_ends": ends}
+            if clean:
+                out["redacted"] = [redacted(t, *s) if s[0] else t for t, *s in zip(texts, kinds, starts, ends)]
+            return out
 
         return columns
 
-    return with_text_columns(df, make, "secret_kinds array<string>, secret_starts array<long>, secret_ends array<long>", text_col)
+    added = "secret_kinds array<string>, secret_starts array<long>, secret_ends array<long>" + ", redacted string" * clean
+    return with_text_columns(df, make, added, text_col)
 
 
 def query(spark, sf_dir):
@@ -195,19 +199,5 @@ def redacted(text: str, kinds, starts, ends) -> str:
 
 def redact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace the secrets in the texts. No document goes; ``n_chars`` follows the new text."""
-    found = with_secrets(packed(docs))
-    at = [found.columns.index(c) for c in ("text", "secret_kinds", "secret_starts", "secret_ends")]
-
-    def task(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in at))
-            yield batch.set_column(at[0], "text", pa.array([redacted(t, *s) if s[0] else t for t, *s in rows], pa.string()))
-
-    clean = found.mapInArrow(task, found.schema)
-    return unpacked(clean, docs, n_chars=F.when(F.size("secret_kinds") > 0, F.length("text")).otherwise(F.col("other.n_chars")))
-
-
-def digest(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
+    found = with_secrets(packed(docs), clean=True).withColumn("text", F.col("redacted"))
+    return unpacked(found, docs, n_chars=F.when(F.size("secret_kinds") > 0, F.length("text")).otherwise(F.col("other.n_chars")))
