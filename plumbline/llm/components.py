@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import release, written
 
 
+def digest(edges: DataFrame) -> tuple:
+    """Count and hash sums of distinct edges: equal for equal sets of edges, in any order."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of (a, b) edges; a component's name is its smallest node.
 
@@ -17,6 +22,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     edges = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    after = digest(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -26,10 +32,10 @@ def connected(edges: DataFrame) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             joined.select("u", F.col("m").alias("v"))).distinct()
         following = written(small, "edges")
-        same = following.count() == edges.count() and following.join(edges, ["u", "v"], "left_anti").isEmpty()
+        before, after = after, digest(following)
         edges = following
         release(edges.sparkSession)
-        if same:
+        if before == after:
             break
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
