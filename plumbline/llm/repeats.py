@@ -18,11 +18,13 @@ grouped by a 128-bit hash with partial aggregation, so that no task holds the gr
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, discard, documents, id_text, release, share, text_bytes, written
+from plumbline.llm.common import arrow_map, discard, documents, id_text, release, share, slices, text_bytes, written
 from plumbline.llm.suffixarray import common_prefixes, suffix_array
 
 LENGTH = 100
@@ -180,7 +182,7 @@ def by_document(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
 def context_rows(joined: DataFrame) -> DataFrame:
     """(gram, id, position, bytes) for the positions that ``marked`` asks for."""
     def task(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for number, data, positions, grams in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)),
                                                       batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if not positions:
@@ -218,15 +220,16 @@ def compared(rows: DataFrame, chunk: int = 20_000) -> DataFrame:
     return arrow_map(dealt, task, "id long, start int, end int")
 
 
-def pieces(gram: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the contexts of a gram part, as sorted (group, column) pairs: column c begins a new piece.
+def pieces(gram: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the contexts of a gram part, as sorted (group, column) pairs: column c begins a new piece. And how
+    far each context agrees with some other one before the anchor and from the anchor on.
 
     Outward from the anchor, contexts part at the common prefixes of neighbours in sorted order, for the
     bytes behind it and, reversed, for those before it.
     """
     group = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1])))
     key = np.ascontiguousarray(group.astype(">u4")).view(np.uint8).reshape(-1, 4)
-    cuts = []
+    cuts, reach = [], []
     for part, place in ((matrix[:, REACH:], lambda c: REACH + c), (matrix[:, REACH - 1::-1], lambda c: REACH - c)):
         keyed = np.ascontiguousarray(np.concatenate([key, part], axis=1))
         order = np.argsort(keyed.view(f"S{keyed.shape[1]}").ravel(), kind="stable")
@@ -235,9 +238,15 @@ def pieces(gram: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray
         alike = ~differ[:, :4].any(axis=1) & differ[:, 4:].any(axis=1)
         where = differ[alike, 4:].argmax(axis=1)
         cuts.append(group[order][1:][alike] * (CONTEXT + 1) + place(where))
+        agree = np.where(differ[:, :4].any(axis=1), 0, part.shape[1])
+        agree[alike] = where
+        agree = np.concatenate(([0], agree, [0]))
+        own = np.empty(len(order), np.int64)
+        own[order] = np.maximum(agree[:-1], agree[1:])
+        reach.append(own)
     groups = np.arange(group[-1] + 1) * (CONTEXT + 1)
     cuts = np.unique(np.concatenate([*cuts, groups, groups + REACH, groups + CONTEXT]))
-    return group, cuts
+    return group, cuts, reach[1], reach[0]
 
 
 def repeated_strings(grams: list[int], numbers: list[int], positions: list[int], rows: list[bytes]):
@@ -245,18 +254,24 @@ def repeated_strings(grams: list[int], numbers: list[int], positions: list[int],
     contexts ordered by gram, id and position."""
     gram, number, position = np.array(grams, np.int64), np.array(numbers, np.int64), np.array(positions, np.int64)
     matrix = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), CONTEXT)
-    group, cuts = pieces(gram, matrix)
+    _, _, left, right = pieces(gram, matrix)
+    keep = left + right >= LENGTH                             # others share no whole string
+    if not keep.any():
+        return number[:0], position[:0], position[:0]
+    gram, number, position, matrix = gram[keep], number[keep], position[keep], matrix[keep]
+    group, cuts, left, right = pieces(gram, matrix)
     cut_group, column = cuts // (CONTEXT + 1), cuts % (CONTEXT + 1)
     first_cut = np.searchsorted(cut_group, np.arange(group[-1] + 2))
-    n_pieces = np.diff(first_cut) - 1                         # per group
-    # the string of integers: the pieces of every context, one context after the other
-    size = n_pieces[group]
+    # the string of integers: the pieces of every context as far as it agrees with another one, one
+    # context after the other
+    begins = np.searchsorted(cuts, group * (CONTEXT + 1) + REACH - left)
+    size = np.searchsorted(cuts, group * (CONTEXT + 1) + REACH + right) - begins
     offset = np.concatenate(([0], np.cumsum(size)))
-    row = np.repeat(np.arange(len(rows)), size)
-    piece = np.arange(offset[-1]) - offset[row]
-    at = first_cut[group[row]] + piece
+    row = np.repeat(np.arange(len(gram)), size)
+    at = begins[row] + np.arange(offset[-1]) - offset[row]
+    skipped = begins - first_cut[group]
     begin, end = column[at], column[at + 1]
-    running = np.zeros((len(rows), CONTEXT + 1), np.uint64)   # polynomial hashes of the columns before
+    running = np.zeros((len(gram), CONTEXT + 1), np.uint64)   # polynomial hashes of the columns before
     factor = np.uint64(0xD6E8FEB86659FD93)
     powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(CONTEXT, factor))), dtype=np.uint64)
     for c in range(CONTEXT):
@@ -269,19 +284,23 @@ def repeated_strings(grams: list[int], numbers: list[int], positions: list[int],
     shared = np.array(common_prefixes(text, order), np.int64)
     order = np.array(order, np.int64)
     # what is asked: per group, stretches of pieces (a, b) and the strings that lie in them
-    asked = [stretches(column[first_cut[g]:first_cut[g + 1]]) for g in range(group[-1] + 1)]
+    bounds, columns = first_cut.tolist(), column.tolist()
+    asked = [stretches(columns[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
     counts = np.array([len(s) for s in asked])
     table = np.array([s for g in asked for s in g], np.int64).reshape(-1, 4)      # a, pieces, least d, most d
     first_ask = np.concatenate(([0], np.cumsum(counts)))
-    q_row = np.repeat(np.arange(len(rows)), counts[group])
+    q_row = np.repeat(np.arange(len(gram)), counts[group])
     q = first_ask[group[q_row]] + np.arange(len(q_row)) - np.repeat(np.cumsum(counts[group]) - counts[group], counts[group])
     inside = matrix != PAD
     before, after = inside[:, :REACH].sum(axis=1), inside[:, REACH:].sum(axis=1)
-    low = np.maximum(table[q, 2], LENGTH - after[q_row])      # the string must lie in the text
-    high = np.minimum(table[q, 3], before[q_row])
+    # the string must lie in the text, and in what the context shares with another one
+    low = np.maximum(table[q, 2], LENGTH - np.minimum(after, right)[q_row])
+    high = np.minimum(table[q, 3], np.minimum(before, left)[q_row])
     valid = low <= high
     q_row, q, low, high = q_row[valid], q[valid], low[valid], high[valid]
-    suffix, need = offset[q_row] + table[q, 0], table[q, 1]
+    suffix, need = offset[q_row] + table[q, 0] - skipped[q_row], table[q, 1]
+    if not len(q):
+        return number[:0], position[:0], position[:0]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     earliest = np.zeros(len(q), np.int64)
@@ -294,19 +313,23 @@ def repeated_strings(grams: list[int], numbers: list[int], positions: list[int],
     first = earliest
     again = (first != q_row) & ((number[first] != number[q_row]) | (position[first] != position[q_row]))
     q_row, low, high = q_row[again], low[again], high[again]
-    return number[q_row], (position[q_row] - high).astype(np.int32), (position[q_row] - low + LENGTH).astype(np.int32)
+    if not len(q_row):
+        return number[:0], position[:0], position[:0]
+    # strings around one anchor overlap: of each context, one span
+    edges = np.flatnonzero(np.concatenate(([True], q_row[1:] != q_row[:-1])))
+    at = q_row[edges]
+    start, end = position[at] - np.maximum.reduceat(high, edges), position[at] - np.minimum.reduceat(low, edges) + LENGTH
+    return number[at], start.astype(np.int32), end.astype(np.int32)
 
 
-def stretches(columns: np.ndarray) -> list[tuple[int, int, int, int]]:
+def stretches(columns: list[int]) -> list[tuple[int, int, int, int]]:
     """(first piece, pieces, least d, most d) for the strings that begin d bytes before the anchor, d from 0 to
     ``REACH``: strings that begin and end in the same pieces are asked for together."""
-    bounds = np.unique(np.concatenate([[0, REACH + 1], *(
-        v[(v > 0) & (v <= REACH)] for v in (REACH - columns + 1, CONTEXT - columns))]))
+    bounds = sorted({0, REACH + 1, *(v for c in columns for v in (REACH - c + 1, CONTEXT - c) if 0 < v <= REACH)})
     out = []
-    for least, most in zip(bounds[:-1].tolist(), (bounds[1:] - 1).tolist()):
-        a = int(np.searchsorted(columns, REACH - least, "right")) - 1
-        b = int(np.searchsorted(columns, REACH - least + LENGTH, "left"))
-        out.append((a, b - a, least, most))
+    for least, beyond in zip(bounds, bounds[1:]):
+        a = bisect_right(columns, REACH - least) - 1
+        out.append((a, bisect_left(columns, REACH - least + LENGTH) - a, least, beyond - 1))
     return out
 
 
@@ -318,7 +341,7 @@ def hot_windows(docs: DataFrame, cells: list[int]) -> DataFrame:
 
     def task(batches):
         hot = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             for number, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 data = np.frombuffer(data, np.uint8)
                 if number is None or len(data) < LENGTH:
@@ -386,7 +409,7 @@ def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     release(df.sparkSession)
 
     def task(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {"id": batch.column(0), "n_bytes": [], "spans": [], "kept": []}
             for data, starts, ends in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 removed, kept, at = united(starts, ends), [], 0
