@@ -16,6 +16,7 @@ number); all others are joined by their hash.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -30,6 +31,8 @@ BITS = 1 << 27
 SHARDS = 16
 PROBES = 4
 BASE = 1.4
+TOKENS = 2_000_000                             # counted together before they are shuffled
+GROUP = 200                                    # texts scored together
 FILL = 8                                       # bits for each entry
 
 
@@ -65,15 +68,20 @@ def levels_of(counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(gram, n) over all texts of the column ``text``: words, and pairs that occur at least twice."""
     def task(batches):
-        words = Hashes()
+        words, held = Hashes(), 0
         start = words[START]
         for batch in batches:
-            tokens = [hashes_of(data, words) for data in text_bytes(batch.column(0))]
-            if not tokens:
-                continue
-            for part in ([unigrams(t) for t in tokens], [bigrams(t, start) for t in tokens]):
-                grams, n = np.unique(np.concatenate(part), return_counts=True)
-                yield {"gram": grams.astype(np.int64), "n": n}
+            tokens = []
+            for k, data in enumerate(texts := text_bytes(batch.column(0)), 1):
+                tokens.append(hashes_of(data, words))
+                held += len(tokens[-1])
+                if held < TOKENS and k < len(texts):
+                    continue
+                held = 0
+                for part in ([unigrams(t) for t in tokens], [bigrams(t, start) for t in tokens]):
+                    grams, n = np.unique(np.concatenate(part), return_counts=True)
+                    yield {"gram": grams.astype(np.int64), "n": n}
+                tokens = []
 
     counted = arrow_map(docs.select("text"), task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return counted.where("n > 1 or gram & 1 = 0")
@@ -88,17 +96,21 @@ class Filter:
             np.bitwise_or.at(self.shards[shard], at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
 
     def places(self, grams: np.ndarray, level):
-        size = np.uint64(self.shards.shape[1] * 8)
+        """Bit positions within a shard, one array for each probe. A shard's bits are a power of two."""
+        last = np.uint64(self.shards.shape[1] * 8 - 1)
         mixed = (grams ^ (np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
         step = (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20) | np.uint64(1)
         for k in range(PROBES):
-            yield ((mixed + np.uint64(k) * step) % size).astype(np.int64)
+            yield ((mixed + np.uint64(k) * step) & last).astype(np.int64)
 
     def has(self, grams: np.ndarray, level: int) -> np.ndarray:
-        shard, found = shard_of(grams), np.ones(len(grams), bool)
-        for at in self.places(grams, np.uint64(level)):
-            found &= (self.shards[shard, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        """Positions of the grams that seem to be there at a level; a miss ends a gram's probes."""
+        found = np.arange(len(grams))
+        for k in range(PROBES):
+            here = grams[found]
+            at = next(islice(self.places(here, np.uint64(level)), k, None))
+            found = found[(self.shards[shard_of(here), at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
         return found
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
@@ -189,70 +201,55 @@ def score(df: DataFrame, model: LanguageModel, words: DataFrame, *, id_col: str
     the end token alone. Repeated rows are scored alike; ids may repeat or be null."""
     docs = id_text(df, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     shared = share(df.sparkSession, model)
-
-    def split(tokens, model):
-        grams, places = np.unique(unigrams(tokens), return_inverse=True)
-        times = np.bincount(places.ravel(), minlength=len(grams))
-        exact = np.fromiter((model.top.get(g, -1) for g in grams.tolist()), np.int64, len(grams))
-        return grams, times, exact, places.ravel()
-
-    def rare(batches):
-        """Words without a broadcast count, and one marker row (null gram) per text."""
-        words, model = Hashes(), shared.value
-        for batch in batches:
-            ids, keys, grams_out, times_out = [], [], [], []
-            for number, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                grams, times, exact, _ = split(hashes_of(data, words), model)
-                grams, times = grams[exact < 0].astype(np.int64).tolist(), times[exact < 0].tolist()
-                ids += [number] * (len(grams) + 1)
-                keys += [key_of(data)] * (len(grams) + 1)
-                grams_out += [*grams, None]
-                times_out += [*times, 1]
-            yield {"id": ids, "key": keys, "gram": grams_out, "times": times_out}
+    total = model.tokens + model.distinct + 1.0
 
     def scored(batches):
+        """A row for each text, with what is known here, and one for each of its words without a broadcast
+        count. The gram of a text's own row is odd and thus no word's."""
         words, model = Hashes(), shared.value
-        total, start = model.tokens + model.distinct + 1.0, words[START]
+        start = words[START]
+        top = np.array(sorted(model.top), np.uint64)
+        top_counts = np.array([model.top[g] for g in top.tolist()], np.int64)
         for batch in batches:
-            out = {name: [] for name in ("id", "key", "n_tokens", "known", "base", "score")}
-            texts = text_bytes(batch.column(1))
-            for first in range(0, len(texts), 200):
-                part = texts[first:first + 200]
+            ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            for first in range(0, len(texts), GROUP):
+                part, numbers = texts[first:first + GROUP], ids[first:first + GROUP]
                 tokens = [hashes_of(data, words) for data in part]
-                pairs = model.filter.counts(np.concatenate([bigrams(t, start) for t in tokens]))
+                n = np.array([len(t) for t in tokens])
+                of, edges = np.repeat(np.arange(len(part)), n), np.concatenate(([0], np.cumsum(n)[:-1]))
                 grams, places = np.unique(unigrams(np.concatenate(tokens)), return_inverse=True)
-                own = model.filter.counts(grams)[places.ravel()]
-                at = 0
-                for data, t in zip(part, tokens):
-                    c, joint = own[at:at + len(t)], pairs[at:at + len(t)]
-                    at += len(t)
-                    before = np.concatenate(([float(model.texts)], c[:-1]))
-                    joint = np.minimum(joint, np.minimum(before, c))     # a pair is no more frequent than its words
-                    p = model.share * joint / np.maximum(before, 1) + (1 - model.share) * (c + 1) / total
-                    _, times, exact, _ = split(t, model)
-                    seen = exact >= 0
-                    out["key"].append(key_of(data))
-                    out["n_tokens"].append(len(t))
-                    out["known"].append(int(times[exact > 0].sum()))
-                    out["base"].append(float((times[seen] * np.log10((exact[seen] + 1) / total)).sum()))
-                    out["score"].append(float(np.log10(p).sum()))
-            out["id"] = batch.column(0)
-            yield out
-
-    rows = arrow_map(docs, rare, "id long, key long, gram long, times long")
-    total = model.tokens + model.distinct + 1.0
+                places = places.ravel()
+                at = np.minimum(np.searchsorted(top, grams), len(top) - 1)
+                exact = np.where(top[at] == grams, top_counts[at], -1)[places]
+                seen = exact >= 0
+                base = np.bincount(of[seen], np.log10((exact[seen] + 1) / total), len(part))
+                known = np.bincount(of[exact > 0], minlength=len(part))
+                c = model.filter.counts(grams)[places]
+                joint = model.filter.counts(np.concatenate([bigrams(t, start) for t in tokens]))
+                before = np.concatenate(([0.0], c[:-1]))
+                before[edges] = model.texts
+                joint = np.minimum(joint, np.minimum(before, c))     # a pair is no more frequent than its words
+                p = model.share * joint / np.maximum(before, 1) + (1 - model.share) * (c + 1) / total
+                score = np.bincount(of, np.log10(p), len(part))
+                keys = np.array([key_of(data) for data in part], np.int64)
+                rare, times = np.unique(of[~seen] * len(grams) + places[~seen], return_counts=True)
+                text = rare // len(grams)
+                none, zero = [None] * len(rare), np.zeros(len(part), np.int64)
+                yield {
+                    "id": [*numbers, *(numbers[i] for i in text.tolist())], "key": np.concatenate((keys, keys[text])),
+                    "gram": np.concatenate((keys | 1, grams[rare % len(grams)].astype(np.int64))), "times": np.concatenate((zero, times)),
+                    "n_tokens": [*n.tolist(), *none], "known": [*known.tolist(), *none], "base": [*base.tolist(), *none],
+                    "score": [*score.tolist(), *none]}
+
+    rows = arrow_map(docs, scored, "id long, key long, gram long, times long, n_tokens long, known long, base double, score double")
     joined = rows.join(words.select("gram", F.col("n").alias("c")), "gram", "left")
-    c = F.coalesce("c", F.lit(0))
-    word = F.col("gram").isNotNull()
-    rest = joined.groupBy("id", "key").agg(
-        F.sum(F.when(~word, 1)).alias("copies"),
-        F.sum(F.when(word & (c > 0), F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.when(word, F.col("times") * F.log10((c + 1) / F.lit(total))).otherwise(0.0)).alias("rare_base"))
-    main = arrow_map(docs, scored, "id long, key long, n_tokens long, known long, base double, score double")
-    rest = rest.withColumnsRenamed({"id": "rid", "key": "rkey"})
-    return main.join(rest, F.col("id").eqNullSafe(F.col("rid")) & (F.col("key") == F.col("rkey")), "left").select(
-        "id", "n_tokens", (F.col("known") + (F.col("rare_known") / F.col("copies")).cast("long")).alias("n_known"),
-        (F.col("base") + F.col("rare_base") / F.col("copies")).alias("base_score"), "score")
+    c, copies = F.coalesce("c", F.lit(0)), F.count("n_tokens")
+    found = joined.groupBy("id", "key").agg(
+        copies.alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"),
+        (F.max("known") + F.sum(F.when(c > 0, F.col("times")).otherwise(0)) / copies).cast("long").alias("n_known"),
+        (F.max("base") + F.sum(F.col("times") * F.log10((c + 1) / F.lit(total))) / copies).alias("base_score"))
+    each = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))      # equal rows were scored as one
+    return found.select("id", "n_tokens", "n_known", "base_score", "score", each.alias("each")).drop("each")
 
 
 def key_of(data: bytes) -> int:
