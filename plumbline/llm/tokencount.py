@@ -43,7 +43,7 @@ class Counter:
     """Counts for words, remembered up to ``limit`` words. Broadcast as its vocabulary; a worker builds
     the automaton when it first needs it and keeps it for later tasks."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
         self.vocabulary, self.limit, self.words, self.automaton = vocabulary, limit, {}, None
 
     def build(self):
@@ -75,6 +75,25 @@ class Counter:
             return sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts)
         text = word if word[0] == MARK else MARK + word
         n = len(text)
+        # matches come by end, and at one end the longest first
+        best, count, at, alone = [0.0] * (n + 1), [0] * (n + 1), 0, 0
+        for last, (size, score) in self.automaton.iter(text):
+            end = last + 1
+            start = end - size
+            total = best[start] + score
+            if end != at or total > best[end]:
+                at, best[end], count[end] = end, total, count[start] + 1
+            if size == 1:
+                alone += 1
+        found = (count[n], 0, best[n]) if alone == n else self.with_unknown(text)
+        if len(self.words) >= self.limit:
+            self.words.clear()
+        self.words[word] = found
+        return found
+
+    def with_unknown(self, text: str) -> tuple[int, int, float]:
+        """The same for a text with characters that are no piece of their own."""
+        n = len(text)
         ending = [[] for _ in range(n + 1)]
         for last, (size, score) in self.automaton.iter(text):
             ending[last + 1].append((last + 1 - size, score))
@@ -98,11 +117,7 @@ class Counter:
             data = text[start:end].encode()
             tokens = len(data) if all(self.bytes_known[b] for b in data) else 1
             count[end], unknown[end] = count[start] + tokens, unknown[start] + tokens
-        found = count[n], unknown[n], best[n]
-        if len(self.words) >= self.limit:
-            self.words.clear()
-        self.words[word] = found
-        return found
+        return count[n], unknown[n], best[n]
 
 
 def with_counts(df: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text") -> DataFrame:
