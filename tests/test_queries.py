@@ -24,6 +24,20 @@ def test_query(spark, connection, name):
         assert frame.count() >= 0
 
 
+# Queries that once behaved differently on larger tables, at the size at which they did.
+LARGER = "/root/testdata/sf0.1"
+SIZE_SENSITIVE = (
+    "sensitive_guard", "suggest_rules", "suggest_confident", "profile_has_rule", "profile_kpis", "executions_per_day",
+    "run_history_kpis", "results_csv", "notification_history", "notification_kpis", "metric_latest", "metric_kpis",
+    "metric_series_of_latest",
+)
+
+
+@pytest.mark.parametrize("name", SIZE_SENSITIVE)
+def test_query_at_a_larger_size(spark, name):
+    assert differences(QUERIES[name](spark, LARGER), database(LARGER), ORACLE[name]) == []
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 12
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
