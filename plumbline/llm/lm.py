@@ -2,9 +2,10 @@
 
 Word and word-pair counts of the training texts are aggregated by hash over the cluster. Their logarithms
 are quantised, and an n-gram of level q is put into a Bloom filter q times, as (n-gram, 1) to (n-gram, q):
-its count is read back by probing levels until one is missing. The filter has a fixed number of bits, is
-built in shards by the tasks that hold an n-gram, and is broadcast. Words, and pairs seen twice, go in if they
-fit; otherwise n-grams seen at least ``least`` times, the smallest count that fits, and smoothing does the rest.
+its count is read back by probing levels until one is missing. The filter's bits follow from the counted
+entries; it is built in shards by the tasks that hold an n-gram. Words, and pairs seen twice, all go in. Up to
+``BITS`` it is broadcast; a larger one stays a table of shards: the distinct n-grams of a group of texts are
+sent to their shards, and the levels found there are joined back to the group. Both ways read the same bits.
 
 The probability of a word after another mixes that of the pair with the word's own:
 share * c(u, w) / c(u) + (1 - share) * p(w), p(w) = (c(w) + 1) / (N + V + 1).
@@ -15,24 +16,30 @@ number); all others are joined by their hash.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import islice
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Hashes, arrow_map, documents, id_text, release, remainder, share, text_bytes, written
+from plumbline.llm.common import (
+    Hashes, arrow_map, discard, documents, id_text, release, remainder, share, slices, text_bytes, written,
+)
 
 START, END = b"\x01 start", b"\x02 end"      # no word holds a space
 TOP = 65_536
-BITS = 1 << 27
-SHARDS = 16
+BITS = 1 << 27                                 # of a filter that is broadcast
+SHARDS = 16                                    # at least
+SHARD_BITS = 1 << 23                           # at most
 PROBES = 4
 BASE = 1.4
 TOKENS = 2_000_000                             # counted together before they are shuffled
 GROUP = 200                                    # texts scored together
+ROUTED = 200_000                               # tokens of texts that ask a stored filter together
 FILL = 8                                       # bits for each entry
 
 
@@ -47,7 +54,10 @@ def unigrams(tokens: np.ndarray) -> np.ndarray:
 
 def bigrams(tokens: np.ndarray, start: int) -> np.ndarray:
     """Hashes of (previous, token); the first token follows the start. The last bit tells pairs from words."""
-    before = np.concatenate((np.array([start], np.uint64), tokens[:-1]))
+    return pairs(np.concatenate((np.array([start], np.uint64), tokens[:-1])), tokens)
+
+
+def pairs(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (tokens >> np.uint64(1))
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return mixed ^ (mixed >> np.uint64(29)) | np.uint64(1)
@@ -89,7 +99,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    shards: np.ndarray       # SHARDS x bytes
+    shards: np.ndarray       # shards x bytes, both powers of two
 
     def add(self, shard: int, grams: np.ndarray, level: np.ndarray) -> None:
         for at in self.places(grams, level):
@@ -110,45 +120,73 @@ class Filter:
         for k in range(PROBES):
             here = grams[found]
             at = next(islice(self.places(here, np.uint64(level)), k, None))
-            found = found[(self.shards[shard_of(here), at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+            found = found[(self.shards[shard_of(here, len(self.shards)), at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
         return found
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the highest level reached; 0 if the first is missing."""
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """The highest level reached by each gram; 0 if the first is missing."""
         level, active = np.zeros(len(grams), np.int64), np.arange(len(grams))
         for q in range(1, len(level_bounds())):
             active = active[self.has(grams[active], q)]
             if not len(active):
                 break
             level[active] = q
-        bounds = np.concatenate(([0.0], level_bounds().astype(float)))
-        return np.where(level > 0, (bounds[level] + bounds[np.minimum(level + 1, len(bounds) - 1)] - 1) / 2, 0.0)
+        return level
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        return estimates(self.levels(grams))
+
+
+@dataclass
+class StoredFilter:
+    """A filter beyond the bound of a broadcast. Shards without an n-gram have no row."""
+    table: DataFrame         # shard int, bits binary
+    shards: int
+    size: int                # bytes of a shard
+
+
+def estimates(level: np.ndarray) -> np.ndarray:
+    """Estimated counts: the middle of a level; 0 for none."""
+    bounds = np.concatenate(([0.0], level_bounds().astype(float)))
+    return np.where(level > 0, (bounds[level] + bounds[np.minimum(level + 1, len(bounds) - 1)] - 1) / 2, 0.0)
 
 
-def shard_of(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(60)).astype(np.int64)
+def shard_of(grams: np.ndarray, shards: int = SHARDS) -> np.ndarray:
+    """The first bits of a gram: sorted grams are sorted by shard. ``shards`` is a power of two."""
+    return (grams >> np.uint64(1) >> np.uint64(64 - shards.bit_length())).astype(np.int64)
 
 
 @dataclass
 class LanguageModel:
-    filter: Filter
+    filter: Filter | StoredFilter | None
     tokens: int              # N
     distinct: int            # V
     texts: int
-    least: int
     top: dict[int, int]      # word hash to exact count
     share: float
 
 
-def least_count(counts: DataFrame, bits: int) -> int:
-    """The smallest count from which on all n-grams fit into the filter."""
+def entries_of(counts: DataFrame) -> list:
+    """Rows (from_n, entries): the filter's entries by count, the highest first."""
     bounds = F.array(*(F.lit(int(b)) for b in level_bounds()))
     level = F.size(F.filter(bounds, lambda bound: bound <= F.col("n")))
     # counts over a thousand are taken together, so that the driver gets a thousand rows at most
     entries = counts.groupBy("n").count().select(F.least("n", F.lit(1000)).alias("from_n"), (F.col("count") * level).alias("entries"))
-    rows = entries.groupBy("from_n").agg(F.sum("entries").alias("entries")).orderBy(F.desc("from_n")).collect()
+    return entries.groupBy("from_n").agg(F.sum("entries").alias("entries")).orderBy(F.desc("from_n")).collect()
+
+
+def shape_of(entries: int) -> tuple[int, int]:
+    """(shards, bytes of each) of a filter: at least ``FILL`` bits for each entry, at most twice as many."""
+    bits = max(SHARDS * 64, 1 << (entries * FILL - 1).bit_length())
+    shards = max(SHARDS, bits // SHARD_BITS)
+    return shards, bits // 8 // shards
+
+
+def least_count(counts: DataFrame, bits: int) -> int:
+    """The smallest count from which on all n-grams fit into a filter of so many bits. For information: the
+    model leaves none out."""
     total, least = 0, 1001
-    for row in rows:
+    for row in entries_of(counts):
         total += row.entries
         if total > bits // FILL:
             return least
@@ -160,88 +198,196 @@ def train(docs: DataFrame, *, bits: int = BITS, top: int = TOP, share_of_pairs:
     """The model of the texts (column ``text``), and their exact word counts (gram, n).
 
     Null and empty texts count as one end token. Without any text there are no counts: every token
-    has probability 1 / (0 + 0 + 1).
+    has probability 1 / (0 + 0 + 1). ``bits`` bounds what is broadcast, not what the model holds.
     """
     counts = written(count_ngrams(docs), "counts")
     release(docs.sparkSession)
     words = counts.where("gram & 1 = 0")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    least = least_count(counts, bits)
-    size = bits // 8 // SHARDS
+    shards, size = shape_of(sum(row.entries for row in entries_of(counts)))
 
     def build(batches):
-        shards, bounds = {}, level_bounds()
+        """A row for each shard: all of a shard's n-grams are in one task."""
+        own, bounds = {}, level_bounds()
         for batch in batches:
             grams = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             level = levels_of(batch.column(1).to_numpy(zero_copy_only=False), bounds)
-            for shard in np.unique(shard_of(grams)).tolist():
-                own = shards.setdefault(shard, Filter(np.zeros((1, size), np.uint8)))
-                at = shard_of(grams) == shard
-                repeats = level[at]
-                each = np.concatenate([np.arange(1, k + 1) for k in repeats.tolist()])
-                own.add(0, np.repeat(grams[at], repeats), each)
-        yield {"shard": list(shards), "bits": [f.shards[0].tobytes() for f in shards.values()]}
-
-    kept = counts.where(F.col("n") >= least)
-    dealt = kept.repartition(SHARDS, F.shiftrightunsigned("gram", 60))
-    table = np.zeros((SHARDS, size), np.uint8)
-    for row in arrow_map(dealt, build, "shard int, bits binary").toLocalIterator():
-        table[row.shard] |= np.frombuffer(bytes(row.bits), np.uint8)
+            of = shard_of(grams, shards)
+            order = np.argsort(of, kind="stable")
+            each, first = np.unique(of[order], return_index=True)
+            for shard, at in zip(each.tolist(), np.split(order, first[1:])):
+                table = own.setdefault(shard, Filter(np.zeros((1, size), np.uint8)))
+                for q in range(1, level[at].max() + 1):
+                    at = at[level[at] >= q]
+                    table.add(0, grams[at], q)
+        for shard, table in own.items():
+            yield {"shard": [shard], "bits": [table.shards[0].tobytes()]}
+
+    dealt = counts.repartition(shards, F.shiftrightunsigned("gram", 65 - shards.bit_length()))
+    built = arrow_map(dealt, build, "shard int, bits binary")
+    if shards * size * 8 > bits:
+        stored = StoredFilter(written(built, "shards"), shards, size)
+        words = written(words, "words")
+        discard(counts)
+    else:
+        stored = Filter(np.zeros((shards, size), np.uint8))
+        for row in built.toLocalIterator():
+            stored.shards[row.shard] = np.frombuffer(bytes(row.bits), np.uint8)
     frequent = words.orderBy(F.desc("n"), "gram").limit(top).collect()
     end = xxhash.xxh3_64_intdigest(END) & ~1
     exact = {row.gram & (1 << 64) - 1: row.n for row in frequent}
     ends = words.where(F.col("gram") == int(np.uint64(end).astype(np.int64))).select("n").first()
     exact[end] = ends.n if ends else 0
-    model = LanguageModel(Filter(table), totals.tokens, totals.distinct, exact[end], least, exact, share_of_pairs)
+    model = LanguageModel(stored, totals.tokens, totals.distinct, exact[end], exact, share_of_pairs)
     return model, words
 
 
-def score(df: DataFrame, model: LanguageModel, words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score), one row per row of ``df``. Null texts are empty: they have
-    the end token alone. Repeated rows are scored alike; ids may repeat or be null."""
-    docs = id_text(df, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    shared = share(df.sparkSession, model)
+SCORED = "id long, key long, gram long, times long, n_tokens long, known long, base double, score double"
+
+
+def scored(model: LanguageModel, ids: list, keys: np.ndarray, n: np.ndarray, grams: np.ndarray, places: np.ndarray,
+           c: np.ndarray, joint: np.ndarray) -> dict:
+    """A row for each text, with what is known here, and one for each of its words without a broadcast
+    count. The gram of a text's own row is odd and thus no word's.
+
+    ``n`` has the tokens of each text; ``grams`` their distinct words, ``places`` and the counts ``c`` and
+    ``joint`` are those of each token."""
     total = model.tokens + model.distinct + 1.0
+    top = np.array(sorted(model.top), np.uint64)
+    top_counts = np.array([model.top[g] for g in top.tolist()], np.int64)
+    of, edges = np.repeat(np.arange(len(n)), n), np.concatenate(([0], np.cumsum(n)[:-1]))
+    at = np.minimum(np.searchsorted(top, grams), len(top) - 1)
+    exact = np.where(top[at] == grams, top_counts[at], -1)[places]
+    seen = exact >= 0
+    base = np.bincount(of[seen], np.log10((exact[seen] + 1) / total), len(n))
+    known = np.bincount(of[exact > 0], minlength=len(n))
+    before = np.concatenate(([0.0], c[:-1]))
+    before[edges] = model.texts
+    joint = np.minimum(joint, np.minimum(before, c))     # a pair is no more frequent than its words
+    p = model.share * joint / np.maximum(before, 1) + (1 - model.share) * (c + 1) / total
+    score = np.bincount(of, np.log10(p), len(n))
+    rare, times = np.unique(of[~seen] * len(grams) + places[~seen], return_counts=True)
+    text = rare // len(grams)
+    none, zero = [None] * len(rare), np.zeros(len(n), np.int64)
+    return {
+        "id": [*ids, *(ids[i] for i in text.tolist())], "key": np.concatenate((keys, keys[text])),
+        "gram": np.concatenate((keys | 1, grams[rare % len(grams)].astype(np.int64))), "times": np.concatenate((zero, times)),
+        "n_tokens": [*n.tolist(), *none], "known": [*known.tolist(), *none], "base": [*base.tolist(), *none],
+        "score": [*score.tolist(), *none]}
+
+
+def by_broadcast(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    shared = share(docs.sparkSession, model)
 
-    def scored(batches):
-        """A row for each text, with what is known here, and one for each of its words without a broadcast
-        count. The gram of a text's own row is odd and thus no word's."""
+    def task(batches):
         words, model = Hashes(), shared.value
         start = words[START]
-        top = np.array(sorted(model.top), np.uint64)
-        top_counts = np.array([model.top[g] for g in top.tolist()], np.int64)
+        for batch in slices(batches, GROUP):
+            texts = text_bytes(batch.column(1))
+            tokens = [hashes_of(data, words) for data in texts]
+            grams, places = np.unique(unigrams(np.concatenate(tokens)), return_inverse=True)
+            places = places.ravel()
+            yield scored(
+                model, batch.column(0).to_pylist(), np.array([key_of(data) for data in texts], np.int64),
+                np.array([len(t) for t in tokens]), grams, places, model.filter.counts(grams)[places],
+                model.filter.counts(np.concatenate([bigrams(t, start) for t in tokens])))
+
+    return arrow_map(docs, task, SCORED)
+
+
+def by_shards(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The same rows with a stored filter. Groups of texts are written as hashes, so that a group keeps its
+    number when a task runs again, and texts are split into words once."""
+    stored, spark = model.filter, docs.sparkSession
+    table, shards, size = stored.table, stored.shards, stored.size
+    shared = share(spark, replace(model, filter=None))
+
+    def kind(n):
+        return np.uint16 if n <= 1 << 16 else np.uint32
+
+    def grouped(batches):
+        words, number = Hashes(), TaskContext.get().partitionId() << 32
+        ids, keys, tokens, held = [], [], [], 0
+
+        def row():
+            hashes, places = np.unique(np.concatenate(tokens), return_inverse=True)
+            return {"part": [number], "ids": [ids], "keys": [keys], "n": [[len(t) for t in tokens]],
+                    "hashes": [hashes.astype(np.int64)], "places": [places.ravel().astype(kind(len(hashes))).tobytes()]}
+
+        for batch in slices(batches):
+            for id, data in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                ids.append(id)
+                keys.append(key_of(data))
+                tokens.append(hashes_of(data, words))
+                held += len(tokens[-1])
+                if held >= ROUTED:
+                    yield row()
+                    ids, keys, tokens, held, number = [], [], [], 0, number + 1
+        if ids:
+            yield row()
+
+    def unpacked(n, hashes, places):
+        """(n, words, pairs) of each token of a group."""
+        n, hashes = (c.values.to_numpy(zero_copy_only=False) for c in (n, hashes))
+        tokens = hashes.astype(np.int64).view(np.uint64)[np.frombuffer(places.as_py(), kind(len(hashes)))]
+        before = np.concatenate((tokens[:1], tokens[:-1]))
+        before[np.concatenate(([0], np.cumsum(n)[:-1]))] = xxhash.xxh3_64_intdigest(START)
+        return n, unigrams(tokens), pairs(before, tokens)
+
+    def asked(batches):
+        for batch in batches:
+            for part, *group in zip(*batch.columns):
+                grams = np.unique(np.concatenate(unpacked(*group)[1:]))
+                shard, first = np.unique(shard_of(grams, shards), return_index=True)
+                yield {"shard": shard, "part": [part.as_py()] * len(shard), "grams": np.split(grams.astype(np.int64), first[1:])}
+
+    def answered(batches):
+        """Rows come sorted by shard, the shard's bits first."""
+        current, own = None, None
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            for at in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                run = batch.slice(at[0], len(at))
+                if shard[at[0]] != current:
+                    current, bits = shard[at[0]], run.column(3)[0].as_py()
+                    own = Filter(np.frombuffer(bits or bytes(size), np.uint8).reshape(1, size))
+                levels = own.levels(run.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(run.column(2)), 0).to_numpy(zero_copy_only=False))
+                found = [a.astype(np.uint8).tobytes() for a in np.split(levels, ends[:-1])]
+                rows = [(p, f) for p, f in zip(run.column(1).to_pylist(), found) if p is not None]
+                yield {"part": [p for p, _ in rows], "shard": [current] * len(rows), "levels": [f for _, f in rows]}
+
+    def task(batches):
+        model = shared.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for first in range(0, len(texts), GROUP):
-                part, numbers = texts[first:first + GROUP], ids[first:first + GROUP]
-                tokens = [hashes_of(data, words) for data in part]
-                n = np.array([len(t) for t in tokens])
-                of, edges = np.repeat(np.arange(len(part)), n), np.concatenate(([0], np.cumsum(n)[:-1]))
-                grams, places = np.unique(unigrams(np.concatenate(tokens)), return_inverse=True)
-                places = places.ravel()
-                at = np.minimum(np.searchsorted(top, grams), len(top) - 1)
-                exact = np.where(top[at] == grams, top_counts[at], -1)[places]
-                seen = exact >= 0
-                base = np.bincount(of[seen], np.log10((exact[seen] + 1) / total), len(part))
-                known = np.bincount(of[exact > 0], minlength=len(part))
-                c = model.filter.counts(grams)[places]
-                joint = model.filter.counts(np.concatenate([bigrams(t, start) for t in tokens]))
-                before = np.concatenate(([0.0], c[:-1]))
-                before[edges] = model.texts
-                joint = np.minimum(joint, np.minimum(before, c))     # a pair is no more frequent than its words
-                p = model.share * joint / np.maximum(before, 1) + (1 - model.share) * (c + 1) / total
-                score = np.bincount(of, np.log10(p), len(part))
-                keys = np.array([key_of(data) for data in part], np.int64)
-                rare, times = np.unique(of[~seen] * len(grams) + places[~seen], return_counts=True)
-                text = rare // len(grams)
-                none, zero = [None] * len(rare), np.zeros(len(part), np.int64)
-                yield {
-                    "id": [*numbers, *(numbers[i] for i in text.tolist())], "key": np.concatenate((keys, keys[text])),
-                    "gram": np.concatenate((keys | 1, grams[rare % len(grams)].astype(np.int64))), "times": np.concatenate((zero, times)),
-                    "n_tokens": [*n.tolist(), *none], "known": [*known.tolist(), *none], "base": [*base.tolist(), *none],
-                    "score": [*score.tolist(), *none]}
-
-    rows = arrow_map(docs, scored, "id long, key long, gram long, times long, n_tokens long, known long, base double, score double")
+            for ids, keys, *group, levels in zip(*batch.columns):
+                n, words, joint = unpacked(*group)
+                grams, at = np.unique(np.concatenate((words, joint)), return_inverse=True)
+                found = estimates(np.frombuffer(b"".join(levels.as_py()), np.uint8).astype(np.int64))[at.ravel()]
+                unique, places = np.unique(words, return_inverse=True)
+                yield scored(model, ids.as_py(), keys.values.to_numpy(zero_copy_only=False), n, unique, places.ravel(),
+                             found[:len(words)], found[len(words):])
+
+    groups = written(arrow_map(
+        docs, grouped, "part long, ids array<long>, keys array<long>, n array<long>, hashes array<long>, places binary"), "groups")
+    asking = arrow_map(groups.select("part", "n", "hashes", "places"), asked, "shard int, part long, grams array<long>")
+    null = F.lit(None)
+    both = asking.withColumn("bits", null.cast("binary")).unionByName(
+        table.select("shard", null.cast("long").alias("part"), null.cast("array<bigint>").alias("grams"), "bits"))
+    dealt = both.repartition("shard").sortWithinPartitions("shard", F.col("part").asc_nulls_first())
+    answers = written(arrow_map(dealt, answered, "part long, shard int, levels binary"), "levels")
+    release(spark)
+    levels = answers.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("shard", "levels"))).alias("found"))
+    joined = groups.join(levels, "part").select("ids", "keys", "n", "hashes", "places", F.col("found.levels").alias("levels"))
+    return arrow_map(joined, task, SCORED)
+
+
+def score(df: DataFrame, model: LanguageModel, words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score), one row per row of ``df``. Null texts are empty: they have
+    the end token alone. Repeated rows are scored alike; ids may repeat or be null."""
+    docs = id_text(df, id_col, text_col).withColumn("id", F.col("id").cast("long"))
+    total = model.tokens + model.distinct + 1.0
+    rows = by_shards(docs, model) if isinstance(model.filter, StoredFilter) else by_broadcast(docs, model)
     joined = rows.join(words.select("gram", F.col("n").alias("c")), "gram", "left")
     c, copies = F.coalesce("c", F.lit(0)), F.count("n_tokens")
     found = joined.groupBy("id", "key").agg(

@@ -266,6 +266,31 @@ def test_lm_drops_rare_grams_only_when_full(spark):
     assert lm.least_count(spark.createDataFrame([], "gram long, n long"), 64) in (1, 1001)
 
 
+def test_lm_keeps_every_gram_at_any_size(spark, small):
+    """A filter beyond the broadcast bound loses nothing: the same scores as from a broadcast one."""
+    docs = spark.createDataFrame([*small, *((r[0] + 10_000, r[1]) for r in frames.edge_rows()), small[0]], "doc_id long, text string")
+    model, words = lm.train(docs, top=50)
+    routed, routed_words = lm.train(docs, bits=1 << 12, top=50)
+    assert isinstance(model.filter, lm.Filter) and isinstance(routed.filter, lm.StoredFilter)
+    expected = sorted(map(tuple, lm.score(docs, model, words).collect()))
+    got = sorted(map(tuple, lm.score(docs, routed, routed_words).collect()))
+    assert len(got) == len(small) + 19
+    for a, b in zip(expected, got):
+        assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], rtol=1e-9)
+    assert sum(np.unpackbits(model.filter.shards[k]).sum() for k in range(len(model.filter.shards))) > 0
+
+
+def test_lm_filter_follows_the_entries():
+    for entries in (0, 1, 1000, 2_000_000, 16_777_216, 16_777_217, 10 ** 9):
+        shards, size = lm.shape_of(entries)
+        assert max(entries * lm.FILL, lm.SHARDS * 64) <= shards * size * 8 <= max(2 * entries * lm.FILL, lm.SHARDS * 64)
+        assert size * 8 <= lm.SHARD_BITS
+    grams = np.random.default_rng(2).integers(0, 1 << 64, 1000, dtype=np.uint64)
+    for shards in (1, 16, 64, 4096):
+        of = lm.shard_of(np.sort(grams), shards)
+        assert of.min() >= 0 and of.max() < shards and (np.diff(of) >= 0).all()
+
+
 def test_lm_empty(spark):
     model, words = lm.train(frames.empty_frame(spark), bits=1 << 16)
     rows = lm.score(frames.edge_frame(spark), model, words).collect()
