@@ -3,7 +3,7 @@
 Word and word-pair counts of the training texts are aggregated by hash over the cluster. Their logarithms
 are quantised, and an n-gram of level q is put into a Bloom filter q times, as (n-gram, 1) to (n-gram, q):
 its count is read back by probing levels until one is missing. The filter's bits follow from the counted
-entries; it is built in shards by the tasks that hold an n-gram. Words, and pairs seen twice, all go in. Up to
+entries; it is built in shards by the tasks that hold an n-gram. All words and pairs go in. Up to
 ``BITS`` it is broadcast; a larger one stays a table of shards: the distinct n-grams of a group of texts are
 sent to their shards, and the levels found there are joined back to the group. Both ways read the same bits.
 
@@ -76,7 +76,7 @@ def levels_of(counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(gram, n) over all texts of the column ``text``: words, and pairs that occur at least twice."""
+    """(gram, n) over all texts of the column ``text``: words and pairs."""
     def task(batches):
         words, held = Hashes(), 0
         start = words[START]
@@ -93,8 +93,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                     yield {"gram": grams.astype(np.int64), "n": n}
                 tokens = []
 
-    counted = arrow_map(docs.select("text"), task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return counted.where("n > 1 or gram & 1 = 0")
+    return arrow_map(docs.select("text"), task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass

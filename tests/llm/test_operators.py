@@ -280,6 +280,22 @@ def test_lm_keeps_every_gram_at_any_size(spark, small):
     assert sum(np.unpackbits(model.filter.shards[k]).sum() for k in range(len(model.filter.shards))) > 0
 
 
+def test_lm_counts_pairs_seen_once(spark, small):
+    counted = {r.gram: r.n for r in lm.count_ngrams(spark.createDataFrame(small, "doc_id long, text string")).collect()}
+    words, pairs = Counter(), Counter()
+    for _, text in small:
+        tokens = [*(text or "").encode().lower().split(), b"\0end"]
+        words.update(tokens)
+        pairs.update(zip([None, *tokens], tokens))
+    assert sum(1 for g in counted if g & 1) == len(pairs) and 1 in pairs.values()
+    assert Counter(n for g, n in counted.items() if g & 1) == Counter(pairs.values())
+    assert Counter(n for g, n in counted.items() if not g & 1) == Counter(words.values())
+    one = spark.createDataFrame([(1, "only here")], "doc_id long, text string")
+    model, _ = lm.train(one)
+    tokens = lm.hashes_of(b"only here", start := lm.Hashes())
+    assert (model.filter.counts(lm.bigrams(tokens, start[lm.START])) >= 1).all()
+
+
 def test_lm_filter_follows_the_entries():
     for entries in (0, 1, 1000, 2_000_000, 16_777_216, 16_777_217, 10 ** 9):
         shards, size = lm.shape_of(entries)
