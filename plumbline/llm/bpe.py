@@ -211,8 +211,8 @@ def decode(ids, labels: list[str], special: dict[int, str]) -> str:
     return " ".join(special.get(i) or labels[i] for i in ids if i in special or 0 <= i < len(labels))
 
 
-def with_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text", texts_out: bool = True) -> DataFrame:
-    """``df`` with ``token_ids`` (array<int>) and, if asked for, ``decoded``. ``tokenizer`` is the path of a
+def with_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text", texts_out: bool = True, digests: bool = False) -> DataFrame:
+    """``df`` with ``token_ids`` (array<int>) and, if asked for, ``decoded`` and its ``decoded_sha256``. ``tokenizer`` is the path of a
     word-end BPE file; it is read once, on the driver, and the compiled automaton is broadcast (its size
     is the vocabulary's). Null and empty texts have no tokens and decode to the empty string."""
     shared = share(df.sparkSession, Encoder(compiled(tokenizer)))
@@ -224,11 +224,17 @@ def with_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text", texts_
 
         def columns(texts):
             ids = [encode(text or "", encoder, words) for text in texts]
-            return {"token_ids": ids, "decoded": [decode(i, encoder.a.labels, special) for i in ids] if texts_out else None}
+            found = {"token_ids": ids}
+            if texts_out or digests:
+                found["decoded"] = [decode(i, encoder.a.labels, special) for i in ids]
+            if digests:
+                found["decoded_sha256"] = [hashlib.sha256(text.encode()).hexdigest() for text in found["decoded"]]
+            return found
 
         return columns
 
-    return with_text_columns(df, make, "token_ids array<int>" + ", decoded string" * texts_out, text_col)
+    return with_text_columns(
+        df, make, "token_ids array<int>" + ", decoded string" * texts_out + ", decoded_sha256 string" * digests, text_col)
 
 
 def compiled(tokenizer: str) -> Automaton:
@@ -270,10 +276,18 @@ def query(spark, sf_dir):
     return digested(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of the documents with ``token_ids`` and ``n_tokens``. A text whose ids decode to nothing
-    has none; no row is lost."""
-    tokens = with_tokens(packed(docs), tokenizer_path(), texts_out=False)
-    kept = unpacked(tokens.withColumn("other", F.col("other").withField("pl_token_ids", F.col("token_ids"))),
-                    docs.withColumn("pl_token_ids", F.lit(None).cast("array<int>")))
-    return kept.withColumnRenamed("pl_token_ids", "token_ids").withColumn("n_tokens", F.size("token_ids").cast("long"))
+def encode_stage(spark, docs: DataFrame, sf_dir: str, *, digests: bool = False) -> DataFrame:
+    """The columns of the documents with ``token_ids`` and ``n_tokens`` and, if asked for, ``decoded_sha256``,
+    the digest of what the ids decode to. A text without tokens decodes to the empty string; no row is lost."""
+    tokens = with_tokens(packed(docs), tokenizer_path(), texts_out=False, digests=digests)
+    other, frame = F.col("other").withField("pl_token_ids", F.col("token_ids")), docs.withColumn("pl_token_ids", F.lit(None).cast("array<int>"))
+    if digests:
+        other, frame = other.withField("pl_decoded", F.col("decoded_sha256")), frame.withColumn("pl_decoded", F.lit(None).cast("string"))
+    kept = unpacked(tokens.withColumn("other", other), frame)
+    kept = kept.withColumnRenamed("pl_token_ids", "token_ids").withColumnRenamed("pl_decoded", "decoded_sha256")
+    return kept.withColumn("n_tokens", F.size("token_ids").cast("long"))
+
+
+def round_trip_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``encode_stage`` with every document's ids decoded again."""
+    return encode_stage(spark, docs, sf_dir, digests=True)

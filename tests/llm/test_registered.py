@@ -50,6 +50,18 @@ def test_pipeline_against_brute_force(spark):
     assert set(result) <= set(single) and untouched > 0.5 * len(single)
 
 
+def test_pipeline_decodes(spark):
+    import hashlib
+
+    rows = corpus_pipeline.run(spark, SMALL).collect()
+    encoder = bpe.Encoder(bpe.compiled(bpe.tokenizer_path()))
+    special = {number: token for token, number in encoder.a.special.items()}
+    assert rows
+    for row in rows:
+        decoded = bpe.decode(row.token_ids, encoder.a.labels, special)
+        assert decoded and row.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def test_only_the_entry_point_guards_the_import():
     import pathlib
 
