@@ -178,6 +178,14 @@ def test_jaccard_edges_and_stage(spark):
     assert {r.doc_id for r in kept.collect()} == expected
 
 
+def test_dedup_stage_keeps_one_of_repeated_rows(spark):
+    rows = [*frames.edge_rows(), *[frames.edge_rows()[7]] * 3, (4, "another text of this id", "en", None, 3), *[(None, "no id", "en", "a", 5)] * 2]
+    kept = jaccard.dedup_stage(spark, spark.createDataFrame(rows, frames.DOCUMENTS), SMALL)
+    expected = {n for n, (_, c) in frames.component_of([r[:2] for r in frames.edge_rows()]).items() if n == c}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*expected, 4, None, None])
+    assert [r.text for r in kept.where("doc_id = 8").collect()] == [frames.edge_rows()[7][1]]
+
+
 def test_blocks_skip_nothing_that_links():
     pick = random.Random(8)
     sizes = np.sort(np.array([pick.randrange(4, 30) for _ in range(60)]))
