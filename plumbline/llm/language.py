@@ -137,13 +137,13 @@ def query(spark, sf_dir):
         F.col("lang_score").alias("score"))
 
 
-def filter_stage(spark, docs: DataFrame, sf_dir: str, *, least_score: float = 0.0) -> DataFrame:
-    """Keep the documents whose language is recognised: texts with a letter whose posterior is at
-    least ``least_score``. ``lang`` becomes the prediction; the columns stay as they were. Without any labelled row, all
+def filter_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is determined: all texts with a letter, however low the posterior.
+    ``lang`` becomes the prediction; the columns stay as they were. Without any labelled row, all
     texts with a letter stay as they are."""
     model = train(docs.where(training_rows()))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = predict(packed(docs), model)
-    kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least_score))
+    kept = judged.where(F.col("lang_pred") != UNDETERMINED)
     return unpacked(kept, docs, lang=F.col("lang_pred"))

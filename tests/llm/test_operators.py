@@ -232,6 +232,15 @@ def test_language_stage(spark):
     assert unlabelled.count() == 15
 
 
+def test_language_stage_rejects_undetermined_texts_only(spark):
+    import inspect
+
+    assert list(inspect.signature(language.filter_stage).parameters) == ["spark", "docs", "sf_dir"]
+    frame = spark.createDataFrame([*frames.edge_rows(), (90, "%% 7 q ##", "en", "a", 9), (91, "%% 7 ##", "en", "a", 7)], frames.DOCUMENTS)
+    kept = {r.doc_id for r in language.filter_stage(spark, frame, SMALL).collect()}
+    assert 90 in kept and 91 not in kept
+
+
 # --- 5 LM scoring
 
 def test_lm(spark, small):
