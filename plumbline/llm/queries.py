@@ -1,8 +1,10 @@
-"""The registered queries of this package. None of them has SQL that could run over whole tables: the
-tests hold each against brute force, an exact round trip or held-out accuracy."""
+"""The registered queries of this package. Vector codes have SQL; the tests hold the others against brute
+force, an exact round trip or held-out accuracy."""
 
 import corpus_pipeline
-from plumbline.llm import bpe, decontam, jaccard, language, lm, quality, repeats, secrets, tokencount, toxicity
+from plumbline.llm import (
+    bpe, decontam, jaccard, language, lm, partcodes, quality, repeats, secrets, simhash, tokencount, toxicity, whitening,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_secrets": secrets.query,
     "op10_token_counts": tokencount.query,
+    "op11_whitening": whitening.query,
+    "op12_vector_codes": partcodes.query,
+    "op13_simhash": simhash.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {}
+ORACLE = {"op12_vector_codes": partcodes.oracle()}
