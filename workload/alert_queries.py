@@ -124,8 +124,8 @@ shown AS (SELECT p.*, coalesce(n, 0) AS n, tables, low, n IS NULL AND low IS NUL
           FROM policies p LEFT JOIN told USING (alert_id) LEFT JOIN lows USING (alert_id))
 SELECT alert_id, 'policy ' || alert_id AS alert_name, channel AS channel_type, 'team@example.com' AS recipients,
        n AS failures_count, CASE WHEN NOT nothing THEN coalesce(tables, '') END AS tables_affected,
-       left(CASE WHEN NOT nothing THEN message WHEN new_only THEN 'No new failures since previous run'
-            ELSE 'No matching failures' END, 1000) AS message_preview,
+       CASE WHEN NOT nothing THEN message WHEN new_only THEN 'No new failures since previous run'
+            ELSE 'No matching failures' END AS message_preview,
        CASE WHEN nothing THEN 'SKIPPED' WHEN channel IN ('EMAIL', 'WEBHOOK') THEN 'READY' ELSE 'FAILED' END AS status,
        CASE WHEN NOT nothing AND channel NOT IN ('EMAIL', 'WEBHOOK') THEN 'Unknown channel type: ' || channel END AS error_message,
        {AS_OF_SQL} AS sent_at, CASE WHEN NOT nothing THEN message END AS message
