@@ -202,8 +202,8 @@ def notification_kpis(history: DataFrame) -> DataFrame:
 
 
 def last_evaluation(history: DataFrame) -> DataFrame:
-    """Counts per status within five minutes of the newest notification. Over a store, the newest day is
-    found from the directories, and only it and the day before are read."""
+    """Counts per status within five minutes of the newest notification. Of a log with day folders, only the
+    newest day and the one before are read; which one is the newest, ``Store.newest_days`` knows without a scan."""
     if "sent_date" in history.columns:
         day = history.agg(F.max("sent_date")).scalar()
         history = history.where(F.col("sent_date") >= F.date_sub(day, 1))

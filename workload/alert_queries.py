@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from plumbline.model import ALERT_POLICIES_SCHEMA, SETTINGS_SCHEMA
 from plumbline.operators import alerts, metrics, scoring
+from plumbline.plans.workflow import last_evaluation
 from plumbline.sources.tables import ALERT_HISTORY, Store
 from plumbline.sources.workspace import work_folder
 from workload.base import (
     AS_OF, AS_OF_SQL, DATABASE, MONITORED, SCHEMA, _pick, _pick_sql, catalog, history, read, with_inputs,
 )
 from workload.check_queries import O_OPEN
+from workload.history_queries import results_in_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,6 +140,16 @@ _register("alert_new_failures", _matched(False), _with_matched(_MATCHED, False))
 _register("alert_low_score", _low, _with_matched("SELECT alert_id, table_fqn, dq_score FROM low", False))
 _register("alert_messages", _evaluate(False, "https://dq.example.com"), _messages(False, "https://dq.example.com"))
 _register("alert_messages_test", _evaluate(True), _messages(True))
+
+
+def _evaluate_store(spark, sf_dir):
+    """Evaluated over a store: the newest results of every rule, no day of the history."""
+    store = results_in_batches(spark, sf_dir)
+    return alerts.evaluate_alerts(spark, store.newest_results(), catalog(spark, sf_dir), policies(spark), AS_OF,
+                                  app_url="https://dq.example.com").drop("history_id")
+
+
+_register("alert_messages_store", _evaluate_store, _messages(False, "https://dq.example.com"))
 _register("alert_summary", lambda s, d: alerts.evaluation_summary(_evaluate(False)(s, d)),
           f"SELECT status, count(*) AS n FROM ({_messages(False)}) GROUP BY status")
 
@@ -202,7 +214,7 @@ _register("alert_retention_default",
 
 
 def _retained_store(spark, sf_dir):
-    """The same retention as files: expired days are dropped, the boundary day is rewritten."""
+    """The same retention as files: expired days are dropped, the rest of the boundary day stays out."""
     store = Store(spark, work_folder(spark, "alerts"))
     clock = AS_OF.replace(hour=6, minute=30)
     store.set_settings({"ALERT_HISTORY_RETENTION_DAYS": "5"}, as_of=clock)
@@ -211,6 +223,13 @@ def _retained_store(spark, sf_dir):
     return store.read(ALERT_HISTORY).select("history_id", "status", "sent_date")
 
 
+def _last_of_store(spark, sf_dir):
+    store = Store(spark, work_folder(spark, "alerts"))
+    store.append(ALERT_HISTORY, notifications(spark, sf_dir))
+    return last_evaluation(store)
+
+
+_register("last_evaluation_store", _last_of_store, ORACLE["last_evaluation"])
 _register("alert_retention_store", _retained_store,
           f"SELECT history_id, status, sent_at::DATE AS sent_date FROM {_NOTIFICATIONS} "
           "WHERE sent_at >= TIMESTAMP '2024-01-26 06:30:00'")

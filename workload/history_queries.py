@@ -324,18 +324,15 @@ _register("rule_import_defaults",
           "nullif(threshold_pct, 1) AS threshold_pct) FROM rules)", "rules")
 
 
-# -- the catalog in a store: configuration rows, so a bounded set of them is inserted -------------------
+# -- the catalog in a store ------------------------------------------------------------------------------
 
 _STAMP = AS_OF.replace(hour=9)
-_CONFIGURED = "c_nationkey = 7 AND c_acctbal > 0"
 
 
 def _inserted(spark, sf_dir):
-    """Rules of one nation's customers, inserted in key order: they get the ids 1, 2, 3, ..."""
+    """The rules of all customers, inserted in key order: they get the ids 1, 2, 3, ..."""
     store = Store(spark, work_folder(spark, "catalog"))
-    keys = read(spark, sf_dir, "customer").where(_CONFIGURED).select(F.col("c_custkey").alias("rule_id"))
-    rows = catalog(spark, sf_dir).join(keys, "rule_id").orderBy("rule_id").drop("rule_id", "is_active")
-    store.insert(RULES, [r.asDict() for r in rows.collect()], as_of=AS_OF)
+    store.insert(RULES, catalog(spark, sf_dir).orderBy("rule_id").drop("is_active"), as_of=AS_OF)
     return store
 
 
@@ -344,13 +341,13 @@ def _edited_store(spark, sf_dir):
     before = store.rows(RULES)
     store.update(RULES, before.where("rule_id % 3 = 0").withColumn("threshold_pct", F.lit(2.0)), as_of=_STAMP, columns=("threshold_pct",))
     store.update(RULES, store.rows(RULES).where("rule_id % 4 = 0").withColumn("is_active", F.lit(False)), as_of=_STAMP, columns=("is_active",))
-    store.delete(RULES, [r.rule_id for r in store.rows(RULES).where("rule_id % 5 = 0").select("rule_id").collect()])
+    store.delete(RULES, store.rows(RULES).where("rule_id % 5 = 0"))
     store.compact(RULES)
     return store.rows(RULES).select("rule_id", "rule_name", "threshold_pct", "is_active", (F.col("updated_at") > F.lit(AS_OF)).alias("edited"))
 
 
 _NUMBERED = ("(SELECT row_number() OVER (ORDER BY c_custkey) AS rule_id, 'rule ' || c_custkey AS rule_name, "
-             f"(c_custkey % 3)::DOUBLE AS threshold_pct FROM customer WHERE {_CONFIGURED})")
+             "(c_custkey % 3)::DOUBLE AS threshold_pct FROM customer)")
 _register("rule_store_edits", _edited_store,
           "SELECT rule_id, rule_name, CASE WHEN rule_id % 3 = 0 THEN 2.0::DOUBLE ELSE threshold_pct END AS threshold_pct, "
           "rule_id % 4 <> 0 AS is_active, (rule_id % 3 = 0 AND threshold_pct <> 2) OR rule_id % 4 = 0 AS edited "
@@ -358,21 +355,21 @@ _register("rule_store_edits", _edited_store,
 
 
 def _policy_store(spark, sf_dir):
-    """One policy per supplier of a nation: inserted, some toggled off, edited and deleted."""
+    """One policy per supplier: inserted, some toggled off, edited and deleted."""
     store = Store(spark, work_folder(spark, "policies"))
-    rows = read(spark, sf_dir, "supplier").where("s_nationkey < 6").orderBy("s_suppkey").select(
+    rows = read(spark, sf_dir, "supplier").orderBy("s_suppkey").select(
         F.col("s_name").alias("alert_name"), F.lit("EMAIL").alias("channel_type"), F.lit("team@example.com").alias("recipients"),
         F.col("s_acctbal").alias("min_score"))
-    store.insert(POLICIES, [r.asDict() for r in rows.collect()], as_of=AS_OF)
+    store.insert(POLICIES, rows, as_of=AS_OF)
     store.update(POLICIES, store.rows(POLICIES).where("min_score < 0").withColumn("is_enabled", F.lit(False)), as_of=_STAMP, columns=("is_enabled",))
     store.update(POLICIES, store.rows(POLICIES).where("min_score > 100").withColumn("min_score", F.lit(100.0)), as_of=_STAMP, columns=("min_score",))
-    store.delete(POLICIES, [r.alert_id for r in store.rows(POLICIES).where("alert_id % 4 = 0").select("alert_id").collect()])
+    store.delete(POLICIES, store.rows(POLICIES).where("alert_id % 4 = 0"))
     return store.rows(POLICIES).select("alert_id", "alert_name", "is_enabled", F.col("min_score").cast("double").alias("min_score"))
 
 
 _register("policy_store_edits", _policy_store,
           "SELECT alert_id, s_name AS alert_name, s_acctbal >= 0 AS is_enabled, least(s_acctbal, 100.0::DOUBLE) AS min_score FROM ("
-          "SELECT row_number() OVER (ORDER BY s_suppkey) AS alert_id, * FROM supplier WHERE s_nationkey < 6) WHERE alert_id % 4 <> 0")
+          "SELECT row_number() OVER (ORDER BY s_suppkey) AS alert_id, * FROM supplier) WHERE alert_id % 4 <> 0")
 
 
 def _imported_catalog(spark, sf_dir):
@@ -383,6 +380,66 @@ def _imported_catalog(spark, sf_dir):
     return store.rows(RULES).select("rule_name", "rule_type", "threshold_pct", "is_active")
 
 
-_register("rules_csv_import", _imported_catalog,
-          f"SELECT rule_name, rule_type, threshold_pct, true AS is_active FROM (SELECT * FROM rules WHERE rule_id IN "
-          f"(SELECT c_custkey FROM customer WHERE {_CONFIGURED}))", "rules")
+_register("rules_csv_import", _imported_catalog, "SELECT rule_name, rule_type, threshold_pct, true AS is_active FROM rules", "rules")
+
+
+def _two_writers(spark, sf_dir):
+    """Two sessions insert halves of the customers' rules and edit the same rows, each from what it read
+    before the other wrote."""
+    first, second = Store(spark, work_folder(spark, "catalog")), None
+    second = Store(spark, first.root)
+    rules = catalog(spark, sf_dir).orderBy("rule_id").drop("is_active")
+    first.insert(RULES, rules.where("rule_id % 2 = 0"), as_of=AS_OF)
+    seen = second.rows(RULES)
+    first.insert(RULES, rules.where("rule_id % 2 = 1"), as_of=AS_OF)
+    first.update(RULES, seen.withColumn("severity", F.lit("LOW")), as_of=_STAMP, columns=("severity",))
+    second.update(RULES, seen.withColumn("threshold_pct", F.lit(7.0)), as_of=_STAMP, columns=("threshold_pct",))
+    second.delete(RULES, first.rows(RULES).where("rule_id % 10 = 0"))
+    return second.rows(RULES).select("rule_id", "rule_name", "severity", "threshold_pct")
+
+
+_register("two_writers", _two_writers,
+          "SELECT rule_id, rule_name, CASE WHEN half = 0 THEN 'LOW' ELSE severity END AS severity, "
+          "CASE WHEN half = 0 THEN 7.0::DOUBLE ELSE threshold_pct END AS threshold_pct FROM ("
+          "SELECT row_number() OVER (ORDER BY rule_id % 2, rule_id) AS rule_id, rule_name, upper(severity) AS severity, threshold_pct, "
+          "rule_id % 2 AS half FROM rules) WHERE rule_id % 10 <> 0", "rules")
+
+# -- the two newest results of every rule, kept up to date by appends -----------------------------------
+
+
+def results_in_batches(spark, sf_dir) -> Store:
+    """The history in four appends: newest days before oldest, and a last one of rows from all days."""
+    store = Store(spark, work_folder(spark, "newest"))
+    late = F.col("result_id").cast("long") % 11 == 0
+    results = history(spark, sf_dir)
+    for batch in (results.where(~late & (F.dayofmonth("run_ts") > 20)), results.where(~late & (F.dayofmonth("run_ts") <= 10)),
+                  results.where(~late & F.dayofmonth("run_ts").between(11, 20)), results.where(late)):
+        store.append(RESULTS, batch)
+    return store
+
+
+_NEWEST_TWO = ("(SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY run_ts DESC, result_id DESC) <= 2)")
+_register("newest_results_store", lambda s, d: results_in_batches(s, d).newest_results().select(*RESULT_COLUMNS),
+          f"SELECT {_RC} FROM {_NEWEST_TWO}", "results")
+
+
+def _rebuilt(spark, sf_dir):
+    """Computed anew after retention has dropped the first three weeks."""
+    store = results_in_batches(spark, sf_dir)
+    store.prune(RESULTS, AS_OF.replace(hour=7), 4)
+    store.rebuild_newest_results()
+    return store.newest_results().select(*RESULT_COLUMNS)
+
+
+_register("newest_results_rebuilt", _rebuilt,
+          f"SELECT {_RC} FROM {_NEWEST_TWO} WHERE run_ts >= TIMESTAMP '2024-01-27 07:00:00'", "results")
+
+
+def _pruned_newest(spark, sf_dir):
+    store = results_in_batches(spark, sf_dir)
+    store.prune(RESULTS, AS_OF.replace(hour=7), 4)
+    return scoring.latest_results(store.newest_results(), catalog(spark, sf_dir)).select(*RESULT_COLUMNS, "owner")
+
+
+_register("latest_results_store", _pruned_newest,
+          f"SELECT {_RC}, owner FROM latest WHERE run_ts >= TIMESTAMP '2024-01-27 07:00:00'", "latest")
