@@ -5,10 +5,13 @@ node of the index covers a run of them: it holds the bits that all of the run sh
 mask), and its children hold only the bits that they share beyond those. A search goes down with the
 difference accumulated so far, and a node whose accumulated difference exceeds the limit prunes its whole run.
 
-The sorted fingerprints are dealt into ranges. The ranges' shared patterns are the upper part of the index,
-small enough to broadcast; with it every fingerprint finds the later ranges that may hold a neighbour and is sent
-there, and each range builds and searches the lower part of the index on its own. A fingerprint has at most 2080
-others within two bits, whatever a group's size, and only a spanning forest of each batch's links leaves a task.
+Of two fingerprints within k bits of each other, one of k + 1 blocks of bits is equal. So the fingerprints are
+sorted k + 1 times, turned so that each block comes first once; those with an equal first block then stand
+together, and partners are looked for among them only. Each order is dealt into ranges. The ranges' shared
+patterns are the upper part of the index, small enough to broadcast: with it, a fingerprint finds the later
+ranges that its block reaches into, which are few, and is sent there. Each range builds and searches the
+lower part of the index on its own. With two bits a fingerprint has at most 2080 partners, whatever a group's
+size, and only a spanning forest of each batch's links leaves a task.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, discard, documents, id_text, share, slices, text_bytes, written
+from plumbline.llm.common import arrow_map, documents, id_text, share, slices, text_bytes, written
 from plumbline.llm.components import connected
 
 FAN = 4                       # children of a node
@@ -70,9 +73,9 @@ class Tree:
             own = masks & ~above
             self.levels.append((patterns & own, own))
 
-    def search(self, codes: np.ndarray, limit: int, after: np.ndarray | None = None):
+    def search(self, codes: np.ndarray, limit: int, after: np.ndarray | None = None, equal: int = 0):
         """Yields (code numbers, leaf numbers) of pairs within ``limit`` bits of each other on the leaf's
-        mask. ``after``: for each code the leaf from which on it looks for partners."""
+        mask, and the same in the bits ``equal``. ``after``: for each code the leaf from which on it looks for partners."""
         top = len(self.levels) - 1
         if not len(self.levels[0][0]):
             return
@@ -85,8 +88,9 @@ class Tree:
                 open_nodes += [(level, code[half:], node[half:], differ[half:]), (level, code[:half], node[:half], differ[:half])]
                 continue
             pattern, own = self.levels[level]
-            differ = differ + np.bitwise_count((codes[code] ^ pattern[node]) & own[node])
-            near = differ <= limit
+            apart = (codes[code] ^ pattern[node]) & own[node]
+            differ = differ + np.bitwise_count(apart)
+            near = (differ <= limit) & (apart & np.uint64(equal) == 0)
             if after is not None:
                 near &= (node + 1) * FAN ** level > after[code]
             code, node, differ = code[near], node[near], differ[near]
@@ -117,66 +121,84 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
+def turns(limit: int) -> list[tuple[int, int]]:
+    """(bits to turn left by, mask of the block that then comes first) for each of ``limit`` + 1 blocks."""
+    edges = [64 * k // (limit + 1) for k in range(limit + 2)]
+    return [(a, ((1 << (b - a)) - 1) << (64 - b + a)) for a, b in zip(edges[:-1], edges[1:])]
+
+
 def links(distinct: DataFrame, limit: int = 2, range_rows: int = RANGE) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` whose components are those of all pairs at
     ``limit`` or fewer differing bits."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    ranges = min(max(-(-n // range_rows), 1), MOST_RANGES)
-    placed = distinct.select("fp", gray_rank("fp").alias("rank")).repartitionByRange(ranges, "rank").select(
-        "fp", "rank", F.spark_partition_id().alias("part"))
-    placed = written(placed, "gray-order")
-    roots = placed.groupBy("part").agg(F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any")).orderBy("part").collect()
-    every = np.array([r["all"] for r in roots], np.int64).view(np.uint64)
-    some = np.array([r["any"] for r in roots], np.int64).view(np.uint64)
-    parts = np.array([r["part"] for r in roots], np.int64)
-    upper = share(spark, (Tree(every, every | ~some) if len(roots) else None, parts))
+    spark, around = distinct.sparkSession, turns(limit)
+    ranges = min(max(-(-len(around) * distinct.count() // range_rows), 1), MOST_RANGES)
+    fp = F.col("fp")
+    every = F.array(*[F.struct(F.lit(k).alias("turn"), (F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp).alias("code"))
+                      for k, (by, _) in enumerate(around)])
+    placed = distinct.select(F.explode(every).alias("t")).select("t.turn", "t.code", gray_rank("t.code").alias("rank"))
+    placed = written(placed.repartitionByRange(ranges, "turn", "rank").select(
+        "turn", "code", "rank", F.spark_partition_id().alias("part")), "gray-order")
+    roots = placed.groupBy("turn", "part").agg(F.bit_and("code").alias("all"), F.bit_or("code").alias("any")).orderBy("turn", "part").collect()
+    upper = []                                          # per turn: the index of its ranges, and their numbers
+    for turn in range(len(around)):
+        own = [r for r in roots if r["turn"] == turn]
+        shared = np.array([r["all"] for r in own], np.int64).view(np.uint64)
+        some = np.array([r["any"] for r in own], np.int64).view(np.uint64)
+        upper.append((Tree(shared, shared | ~some), np.array([r["part"] for r in own], np.int32)))
+    upper = share(spark, upper)
 
     def routed(batches):
-        tree, parts = upper.value
         for batch in slices(batches, 4096):
-            fp, rank, part = (batch.column(i).to_numpy() for i in range(3))
-            yield {"part": part, "kind": np.zeros(len(fp), np.int32), "rank": rank, "fp": fp}
-            for code, root in tree.search(fp.view(np.uint64), limit, np.searchsorted(parts, part) + 1):
-                yield {"part": parts[root], "kind": np.ones(len(code), np.int32), "rank": rank[code], "fp": fp[code]}
+            turns_of, code, rank, part = (batch.column(i).to_numpy() for i in range(4))
+            yield {"turn": turns_of, "part": part, "kind": np.zeros(len(part), np.int32), "rank": rank, "code": code}
+            for turn in np.unique(turns_of).tolist():
+                tree, parts = upper.value[turn]
+                at = np.flatnonzero(turns_of == turn)
+                for own, root in tree.search(code[at].view(np.uint64), limit, np.searchsorted(parts, part[at]) + 1, around[turn][1]):
+                    own = at[own]
+                    yield {"turn": turns_of[own], "part": parts[root], "kind": np.ones(len(own), np.int32), "rank": rank[own], "code": code[own]}
 
     def searched(batches):
-        part, held, tree, codes = None, [], None, None
+        current, held, tree, codes = None, [], None, None
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in (0, 1, 2)]
-            edges = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
-            for of, kind, fp in zip(*(np.split(c, edges) for c in columns)):
-                if not len(fp):
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            edges = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns[:3]], axis=0)) + 1
+            for turn, part, kind, code in zip(*(np.split(c, edges) for c in columns)):
+                if not len(code):
                     continue
-                if held and (of[0] != part or kind[0]):        # what is held is a whole range
+                of = int(turn[0]), int(part[0])
+                if held and (of != current or kind[0]):        # what is held is a whole range
                     tree, codes = built(held)
-                    yield from within(tree, codes)
+                    yield from within(current[0], tree, codes)
                     held = []
-                part = of[0]
+                current = of
                 if kind[0]:
-                    yield from found(tree, codes, fp.view(np.uint64), None)
+                    yield from found(of[0], tree, codes, code.view(np.uint64), None)
                 else:
-                    held.append(fp.view(np.uint64))
+                    held.append(code.view(np.uint64))
         if held:
-            yield from within(*built(held))
+            yield from within(current[0], *built(held))
 
     def built(held):
         codes = np.concatenate(held)
         return Tree(codes, np.full(len(codes), FULL)), codes
 
-    def within(tree, codes):
+    def within(turn, tree, codes):
         for first in range(0, len(codes), 8192):
             own = codes[first:first + 8192]
-            yield from found(tree, codes, own, np.arange(first + 1, first + 1 + len(own)))
+            yield from found(turn, tree, codes, own, np.arange(first + 1, first + 1 + len(own)))
 
-    def found(tree, codes, own, after):
-        for code, leaf in tree.search(own, limit, after):
-            a, b = forest(own[code].view(np.int64), codes[leaf].view(np.int64))
-            yield {"a": a, "b": b}
+    def found(turn, tree, codes, own, after):
+        by, equal = around[turn]
+        for code, leaf in tree.search(own, limit, after, equal):
+            a, b = forest(own[code], codes[leaf])
+            if by:
+                a, b = ((c >> np.uint64(by)) | (c << np.uint64(64 - by)) for c in (a, b))
+            yield {"a": a.view(np.int64), "b": b.view(np.int64)}
 
-    sent = arrow_map(placed.select("fp", "rank", "part"), routed, "part int, kind int, rank long, fp long")
-    sorted_rows = sent.repartition("part").sortWithinPartitions("part", "kind", "rank").select("part", "kind", "fp")
-    return arrow_map(sorted_rows, searched, "a long, b long").distinct()
+    sent = arrow_map(placed.select("turn", "code", "rank", "part"), routed, "turn int, part int, kind int, rank long, code long")
+    dealt = sent.repartition("turn", "part").sortWithinPartitions("turn", "part", "kind", "rank").select("turn", "part", "kind", "code")
+    return arrow_map(dealt, searched, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 2,
@@ -202,7 +224,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         least = joined.groupBy("component").agg(F.min("rep").alias("least"))
         named = distinct.join(joined.select("fp", "component").join(least, "component").select("fp", "least"), "fp", "left").select(
             "fp", F.coalesce("least", "rep").alias("component_id"))
-    discard(edges)
+    named = written(named, "names")
     return rows.join(named, "fp", "left").select(
         "id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
