@@ -3,8 +3,9 @@
 Exact at every size, from three scans: one aggregate for counts and bounds; one deduplication of
 ``(column, key)`` pairs for the distinct counts and the smallest values, where texts and complex values
 are keyed by a hash, so that whole documents are never shuffled; and, for tables with text columns, a
-scan that fetches the few texts to be shown. All collapse hot values before their shuffle. A caller
-who wants a sample asks for a fraction, and the profile then says so in ``sampled_pct``.
+scan in which every partition keeps its 26 smallest distinct texts. All collapse hot values before their shuffle. A
+caller who wants a sample asks for a fraction: it leaves out files before the scan, and ``sampled_pct`` tells
+what was really read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from plumbline.functions.text import quote, string_literal, timestamp_literal
 from plumbline.functions.time import boundary_difference_sql
 from plumbline.sources.parallel import side_by_side
+from plumbline.sources.sampling import sampled
 
 # Limits of the profiler.
 MAX_PROFILE_ROWS = 500_000
@@ -25,9 +27,6 @@ MAX_CATEGORICAL = 25
 SAMPLE_VALUES = 5
 HIGH_NULLS_PCT = 5
 
-# Characters of a text that order it among the distinct texts before the texts themselves are read.
-ORDER_PREFIX = 64
-
 # Name fragments that mark a column as sensitive, and the metadata tags that do.
 SENSITIVE_HINTS = (
     "EMAIL", "PHONE", "MOBILE", "SSN", "SOCIAL_SEC", "TAX_ID", "TIN", "NATIONAL_ID", "PASSPORT",
@@ -91,6 +90,12 @@ def sampling_pct(row_count: int, max_rows: int = MAX_PROFILE_ROWS) -> float | No
     return max(0.1, math.ceil(1000 * max_rows / row_count) / 10)
 
 
+def sampling_rate(row_count: Column, max_rows: int = MAX_PROFILE_ROWS) -> Column:
+    """The same percentage for a column of row counts."""
+    tenths = F.ceil(F.lit(1000.0) * max_rows / row_count) / F.lit(10.0)
+    return F.when(row_count > max_rows, F.greatest(F.lit(0.1), tenths))
+
+
 def profile_table(
     frame: DataFrame,
     table: str,
@@ -136,7 +141,9 @@ def _figures(frame: DataFrame, table: str, as_of: datetime, sample_pct: float |
              sensitive: Mapping[str, str] | None) -> DataFrame:
     """The measured part of a profile: counts, bounds, age, distinct count, smallest values."""
     guarded = dict(sensitive_columns(frame.schema) if sensitive is None else sensitive)
-    source = frame if sample_pct is None else frame.sample(fraction=sample_pct / 100, seed=seed)
+    source = frame
+    if sample_pct is not None:
+        source, sample_pct = sampled(frame, sample_pct, seed)
     positioned = list(enumerate(source.schema.fields, start=1))
     groups = [positioned[i:i + COLUMNS_PER_PASS] for i in range(0, len(positioned), COLUMNS_PER_PASS)]
     measured = _union([_measure(source, table, g, guarded, as_of) for g in groups])
@@ -187,22 +194,19 @@ def _distinct(source: DataFrame, guarded: Mapping[str, str]) -> DataFrame:
     fields = source.schema.fields
     keys = distinct_keys(source, fields)
     counted = keys.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-    hidden = [f.name for f in fields if f.name in guarded or family(f.dataType) == "complex"]
-    texts = [f for f in fields if family(f.dataType) == "text"]
-    shown = keys.where(~F.col("column_name").isin(hidden)) if hidden else keys
-    short = shown.where(F.col("prefix").isNull()).select("column_name", F.col("key").cast("string").alias("value"))
-    values = short if not texts else short.unionByName(_shown_texts(source, texts, shown))
+    hashed = [f.name for f in fields if family(f.dataType) in ("text", "complex")]
+    texts = [f for f in fields if family(f.dataType) == "text" and f.name not in guarded]
+    shown = keys.where(~F.col("column_name").isin([*hashed, *guarded])) if hashed or guarded else keys
+    values = shown.select("column_name", F.col("key").cast("string").alias("value"))
+    if texts:
+        values = values.unionByName(smallest_texts(source, texts))
     return counted.join(smallest_values(values), "column_name", "left")
 
 
 def distinct_keys(source: DataFrame, fields: Iterable[T.StructField]) -> DataFrame:
-    """Distinct non-null ``(column_name, key, prefix)`` of all columns, from one scan and one shuffle.
-
-    The key of a short value is its text, that of a text or complex value a 128-bit hash. Texts carry
-    their first characters, by which they are ordered until the texts themselves are read."""
-    entries = [F.struct(F.lit(f.name).alias("column_name"), _key(f).alias("key"), (
-        F.substring(quote(f.name), 1, ORDER_PREFIX) if family(f.dataType) == "text" else F.lit(None).cast("string")).alias("prefix"))
-        for f in fields]
+    """Distinct non-null ``(column_name, key)`` of all columns, from one scan and one shuffle. The key of a
+    short value is its text, that of a text or complex value a 128-bit hash."""
+    entries = [F.struct(F.lit(f.name).alias("column_name"), _key(f).alias("key")) for f in fields]
     return source.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("key").isNotNull()).distinct()
 
 
@@ -219,17 +223,33 @@ def _key(field: T.StructField) -> Column:
     return column.cast("string").cast("binary")
 
 
-def _shown_texts(source: DataFrame, texts: list[T.StructField], keys: DataFrame, keep: int = MAX_CATEGORICAL + 1) -> DataFrame:
-    """``(column_name, value)`` of the texts that may be among the smallest: those whose first characters
-    are not beyond those of the 26th key. Only they are read in full and shuffled."""
-    prefixed = keys.where(F.col("prefix").isNotNull())
-    in_order = Window.partitionBy("column_name").orderBy("prefix", "key")
-    first = prefixed.withColumn("__rn", F.row_number().over(in_order)).where(F.col("__rn") <= keep)
-    last = first.groupBy("column_name").agg(F.max("prefix").alias("last"))
-    entries = [F.struct(F.lit(f.name).alias("column_name"), F.col(quote(f.name)).alias("value")) for f in texts]
-    values = source.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("value").isNotNull())
-    near = values.join(last, "column_name").where(F.substring("value", 1, ORDER_PREFIX) <= F.col("last"))
-    return near.select("column_name", "value").distinct()
+def smallest_texts(source: DataFrame, texts: list[T.StructField], keep: int = MAX_CATEGORICAL + 1) -> DataFrame:
+    """``(column_name, value)``: the up to ``keep`` smallest distinct texts of each column. Every partition keeps a
+    set of that many per column, batch by batch, and only these sets are shuffled and merged. Sets of
+    bounded size are no SQL aggregate, so this works on Arrow batches; no row becomes a Python object."""
+    names = [f.name for f in texts]
+    columns = source.select(*[F.col(quote(n)).cast("string") for n in names])
+    return columns.mapInArrow(_keep_smallest(names, keep), "column_name string, value string").distinct()
+
+
+def _keep_smallest(names: list[str], keep: int):
+    def kept(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sets = {}
+        for batch in batches:
+            for k, column in enumerate(batch.columns):
+                column = column.cast(pa.large_binary()).drop_null()
+                if k in sets and len(sets[k]) == keep:
+                    column = column.filter(pc.less(column, sets[k][-1]))
+                values = pa.concat_arrays([column, sets[k]] if k in sets else [column]).unique()
+                sets[k] = values.take(pc.sort_indices(values)[:keep])
+        for k, values in sets.items():
+            texts = values.cast(pa.large_string()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([names[k]] * len(values), pa.string()), texts], ["column_name", "value"])
+
+    return kept
 
 
 def smallest_values(values: DataFrame, keep: int = MAX_CATEGORICAL + 1) -> DataFrame:

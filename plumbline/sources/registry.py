@@ -9,12 +9,23 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.text import quote_fqn
+from plumbline.sources.files import footer_statistics, listing
+from plumbline.sources.parallel import side_by_side
 
 TABLES_SCHEMA = T.StructType([
     T.StructField("table_fqn", T.StringType()),
     T.StructField("table_name", T.StringType()),
     T.StructField("table_type", T.StringType()),
 ])
+STATISTICS_SCHEMA = T.StructType([
+    T.StructField("table_fqn", T.StringType()),
+    T.StructField("table_name", T.StringType()),
+    T.StructField("column_name", T.StringType()),
+    T.StructField("row_count", T.LongType()),
+    T.StructField("null_count", T.LongType()),
+    T.StructField("min_value", T.StringType()),
+    T.StructField("max_value", T.StringType()),
+])
 COLUMNS_SCHEMA = T.StructType([
     T.StructField("table_fqn", T.StringType()),
     T.StructField("table_name", T.StringType()),
@@ -32,10 +43,16 @@ class Registry:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._known: dict[str, tuple[str, DataFrame | Callable[[], DataFrame], str]] = {}
+        self._paths: dict[str, str] = {}
 
-    def register(self, fqn: str, frame: DataFrame | Callable[[], DataFrame],
-                 table_type: str = "BASE TABLE") -> "Registry":
+    def register(self, fqn: str, frame: DataFrame | Callable[[], DataFrame], table_type: str = "BASE TABLE",
+                 path: str | None = None) -> "Registry":
+        """``path``: the Parquet folder or file that the frame is all rows of, if there is one. Sizes and
+        statistics then come from its listing and footers."""
         self._known[fqn.upper()] = (fqn, frame, table_type)
+        self._paths.pop(fqn.upper(), None)
+        if path:
+            self._paths[fqn.upper()] = path
         return self
 
     def resolve(self, fqn: str) -> DataFrame:
@@ -75,6 +92,11 @@ class Registry:
             self.register(fqn, self.spark.table(quote_fqn(fqn)), kind)
         return self
 
+    def open(self, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+        """The frames of several tables; those not opened yet are opened side by side."""
+        chosen = self.names() if names is None else list(names)
+        return dict(zip(chosen, side_by_side(self.spark, self.resolve, chosen)))
+
     def names(self) -> list[str]:
         return sorted(fqn for fqn, _, _ in self._known.values())
 
@@ -92,34 +114,53 @@ class Registry:
         """One row per column of every registered table; schema metadata only."""
         rows = [
             (fqn, fqn.split(".")[-1], field.name, field.dataType.simpleString(), position)
-            for fqn in self.names()
-            for position, field in enumerate(self.resolve(fqn).schema.fields, start=1)
+            for fqn, frame in self.open().items()
+            for position, field in enumerate(frame.schema.fields, start=1)
         ]
         return self.spark.createDataFrame(sorted(rows, key=lambda r: (r[0], r[4])), COLUMNS_SCHEMA)
 
     def row_counts(self, names: Iterable[str] | None = None) -> DataFrame:
         """``(table_fqn, table_name, row_count)`` as one plan: parquet answers from its footers."""
         frames = [
-            self.resolve(fqn).agg(F.count(F.lit(1)).alias("row_count")).select(
+            frame.agg(F.count(F.lit(1)).alias("row_count")).select(
                 F.lit(fqn).alias("table_fqn"), F.lit(fqn.split(".")[-1]).alias("table_name"), "row_count")
-            for fqn in (self.names() if names is None else names)
+            for fqn, frame in self.open(names).items()
         ]
         return _union(frames)
 
     def sizes(self, names: Iterable[str] | None = None) -> DataFrame:
-        """Bytes and last change per table, as the file system lists the files behind it; no row is read.
-        Tables that no files stand behind have neither."""
-        context = self.spark.sparkContext
-        rows = []
-        for fqn in self.names() if names is None else names:
-            total, newest = 0, 0
-            paths = [context._jvm.org.apache.hadoop.fs.Path(p) for p in self.resolve(fqn).inputFiles()]
-            for path in paths:
-                status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
-                total, newest = total + status.getLen(), max(newest, status.getModificationTime())
-            rows.append((fqn, total if paths else None, newest if paths else None))
-        sizes = self.spark.createDataFrame(rows, "table_fqn string, bytes long, changed long")
-        return sizes.select("table_fqn", "bytes", F.timestamp_millis("changed").alias("last_altered"))
+        """Bytes, files and last change per table out of one listing by tasks; no row is read. Tables that no
+        files stand behind have neither."""
+        frames, listed = self.open(names), []
+        for fqn, frame in frames.items():
+            path = self._paths.get(fqn.upper())
+            if path or frame.inputFiles():
+                listed.append(listing(frame, path).select(F.lit(fqn).alias("table_fqn"), "length", "modificationTime"))
+        known = self.spark.createDataFrame([(fqn,) for fqn in frames], "table_fqn string")
+        if not listed:
+            return known.select("table_fqn", *(F.lit(None).cast(t).alias(c) for c, t in (("bytes", "long"), ("files", "long"), ("last_altered", "timestamp"))))
+        sums = _union(listed).groupBy("table_fqn").agg(
+            F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"), F.max("modificationTime").alias("last_altered"))
+        return known.join(sums, "table_fqn", "left")
+
+    def statistics(self, names: Iterable[str] | None = None) -> DataFrame:
+        """Rows, nulls and bounds of every column of the tables registered with a path, from their files' footers, a
+        few tables at a time. Bounds, as text, of integer, date and boolean columns; nulls of all but complex ones."""
+        chosen = [n for n in (self.names() if names is None else names) if n.upper() in self._paths]
+        frames = self.open(chosen)
+
+        def of(fqn: str) -> list[tuple]:
+            fields = frames[fqn].schema.fields
+            found = footer_statistics(self.spark, self._paths[fqn.upper()], fields)
+            rows = []
+            for field in fields:
+                filled, low, high = found["columns"][field.name]
+                text = [None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in (low, high)]
+                rows.append((fqn, fqn.split(".")[-1], field.name, found["rows"], None if filled is None else found["rows"] - filled, *text))
+            return rows
+
+        rows = [row for found in side_by_side(self.spark, of, chosen) for row in found]
+        return self.spark.createDataFrame(rows, STATISTICS_SCHEMA)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

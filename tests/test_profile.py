@@ -111,7 +111,7 @@ def test_guarded_profiles_scan_no_more(spark, tmp_path):
         plan = profile_table(frame, "t", as_of=NOW, sensitive=sensitive)._jdf.queryExecution().executedPlan().toString()
         return plan.count("FileScan parquet")
 
-    assert scans({}) == scans({"t": "x"}) == scans({"v": "x", "a": "x"}) <= 6
+    assert scans({"t": "x"}) <= scans({}) == scans({"v": "x", "a": "x"}) <= 6
 
 
 def test_sensitive_values_are_never_read(spark):

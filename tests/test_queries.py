@@ -1,4 +1,4 @@
-"""Every registered query beside its SQL on the small tables."""
+"""Every registered query beside its SQL."""
 
 import pytest
 
@@ -6,7 +6,7 @@ import __spark_entry__ as entry_point
 from workload import ORACLE, QUERIES
 from workload.compare import database, differences, type_differences
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,8 @@ LARGER = "/root/testdata/sf0.1"
 SIZE_SENSITIVE = (
     "sensitive_guard", "suggest_rules", "suggest_confident", "profile_has_rule", "profile_kpis", "executions_per_day",
     "run_history_kpis", "results_csv", "notification_history", "notification_kpis", "metric_latest", "metric_kpis",
-    "metric_series_of_latest",
+    "metric_series_of_latest", "alert_messages", "alert_messages_test", "alert_messages_store", "rule_store_edits",
+    "policy_store_edits", "rules_csv_import", "two_writers", "newest_results_store", "table_statistics",
 )
 
 

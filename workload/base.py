@@ -21,6 +21,24 @@ TABLES = (
     "pages", "benchmark", "labels", "conversations",
 )
 DATABASE, SCHEMA = "LAKE", "RETAIL"
+# Columns of the given tables: integers, other values, complex ones.
+TABLE_COLUMNS = {
+    "region": ("r_regionkey", "r_name", ""),
+    "nation": ("n_nationkey n_regionkey", "n_name", ""),
+    "customer": ("c_custkey c_nationkey", "c_name c_acctbal c_mktsegment", ""),
+    "supplier": ("s_suppkey s_nationkey", "s_name s_acctbal", ""),
+    "part": ("p_partkey p_size", "p_name p_brand p_type p_retailprice", ""),
+    "orders": ("o_orderkey o_custkey", "o_orderstatus o_totalprice o_orderdate o_orderpriority", ""),
+    "lineitem": ("l_orderkey l_partkey l_suppkey l_linenumber",
+                 "l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", ""),
+    "events": ("event_id user_id", "ts event_type value props", ""),
+    "documents": ("doc_id n_chars", "text lang source", ""),
+    "embeddings": ("vec_id label", "", "embedding"),
+    "pages": ("page_id", "url html", ""),
+    "benchmark": ("item_id", "text", ""),
+    "labels": ("doc_id quality toxic", "", ""),
+    "conversations": ("conv_id turn", "role text", ""),
+}
 MONITORED = ("ORDERS", "CUSTOMERS", "PRODUCTS", "INVENTORY", "PAYMENTS", "SHIPMENTS", "RETURNS", "STORES")
 TYPES = tuple(RULE_DIMENSIONS)
 TRIGGERS = ("SCHEDULE", "MANUAL", "BACKFILL")
@@ -33,7 +51,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str, *names: str) -> Registry:
     known = Registry(spark)
     for name in names or TABLES:
-        known.register(f"{DATABASE}.{SCHEMA}.{name}", partial(read, spark, sf_dir, name))
+        known.register(f"{DATABASE}.{SCHEMA}.{name}", partial(read, spark, sf_dir, name), path=f"{sf_dir}/{name}.parquet")
     return known
 
 

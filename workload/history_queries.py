@@ -14,7 +14,7 @@ from plumbline.sources.registry import Registry
 from plumbline.sources.tables import POLICIES, RESULTS, RULES, Store, changed_rows, delete_rows, merge_rows
 from plumbline.sources.workspace import work_folder
 from workload.base import (
-    AS_OF, BAND_SQL, DATABASE, SCHEMA, SCORE_SQL, TABLES, catalog, history, read, registry, with_inputs,
+    AS_OF, BAND_SQL, DATABASE, SCHEMA, SCORE_SQL, TABLE_COLUMNS, TABLES, catalog, history, read, registry, with_inputs,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,6 +261,12 @@ ORACLE["schema_overview"] = with_inputs("", "latest").rstrip() + _COVERAGE + (
     "coverage_pct, dq_score FROM counted LEFT JOIN coverage USING (table_name) LEFT JOIN scores USING (table_name)")
 _register("row_counts", lambda s, d: registry(s, d).row_counts().select("table_name", "row_count"), _ROW_COUNTS)
 _register("table_sizes", lambda s, d: registry(s, d).sizes(), None)
+_register("table_statistics", lambda s, d: registry(s, d).statistics().drop("table_fqn"), " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(*) AS row_count, {nulls} AS null_count, "
+    f"{low} AS min_value, {high} AS max_value FROM {table}"
+    for table, kinds in TABLE_COLUMNS.items() for kind, names in zip("iox", kinds) for c in names.split()
+    for nulls in (["NULL::BIGINT"] if kind == "x" else [f"count(*) FILTER ({c} IS NULL)"])
+    for low, high in ([(f"min({c})::VARCHAR", f"max({c})::VARCHAR")] if kind == "i" else [("NULL::VARCHAR", "NULL::VARCHAR")])))
 _register("column_discovery",
           lambda s, d: registry(s, d).columns().join(registry(s, d).row_counts().select("table_fqn", "row_count"), "table_fqn")
           .select("table_name", "column_name", "ordinal_position", "row_count"),

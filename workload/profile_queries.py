@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.operators.profile import profile_kpis, profile_table, profile_tables, with_rule_flag
+from plumbline.operators.profile import profile_kpis, profile_table, profile_tables, sampling_rate, with_rule_flag
 from plumbline.operators.suggest import by_confidence, suggest_rules, to_catalog_rows
 from plumbline.sources.registry import Registry
-from workload.base import AS_OF, AS_OF_SQL, DATABASE, SCHEMA, read
+from plumbline.sources.workspace import work_folder
+from workload.base import AS_OF, AS_OF_SQL, DATABASE, SCHEMA, TABLES, read, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -147,6 +148,44 @@ ORACLE["profile_has_rule"] = (
     "SELECT table_name, column_name, total_rows, (table_name, column_name) IN "
     f"(('ORDERS', 'ORDER_ID'), ('CUSTOMERS', 'SEGMENT')) AS has_rule FROM ({SHOP_PROFILE_SQL})")
 
+# -- samples ----------------------------------------------------------------------------------------
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentage a profile of about 1,000 rows would sample, from the tables' row counts."""
+    counts = registry(spark, sf_dir).row_counts()
+    return counts.select("table_name", "row_count", sampling_rate(F.col("row_count"), 1000).alias("sample_pct"))
+
+
+QUERIES["sampling_rates"] = _rates
+ORACLE["sampling_rates"] = (
+    "SELECT table_name, row_count, CASE WHEN row_count > 1000 THEN greatest(0.1, ceil(1000.0 * 1000 / row_count) / 10)::DOUBLE END "
+    "AS sample_pct FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES) + ")")
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables stored as many files and profiled on a tenth: what a sample may not exceed, beside the exact figures."""
+    parts = []
+    for table in ("orders", "events"):
+        path = work_folder(spark, "many-files")
+        read(spark, sf_dir, table).repartition(40).write.parquet(path)
+        frame = spark.read.parquet(path)
+        exact = profile_table(frame, table, as_of=AS_OF).drop("sampled_pct")
+        part = profile_table(frame, table, as_of=AS_OF, sample_pct=10.0).select(
+            "column_name", F.col("total_rows").alias("seen"), F.col("distinct_count").alias("found"), "sampled_pct", F.col("null_count").alias("nulls"))
+        parts.append(exact.join(part, "column_name").select(
+            "table_name", "column_name", "total_rows", "null_count",
+            ((F.col("seen") > 0) & (F.col("seen") < 0.5 * F.col("total_rows"))).alias("fewer_rows"),
+            ((F.col("sampled_pct") > 0) & (F.abs(100 * F.col("seen") / F.col("total_rows") - F.col("sampled_pct")) < 2)).alias("pct_tells"),
+            ((F.col("found") <= F.col("distinct_count")) & (F.col("nulls") <= F.col("null_count"))).alias("within")))
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES["profile_sampled"] = _sampled
+ORACLE["profile_sampled"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS total_rows, count(*) FILTER ({c} IS NULL) AS null_count, "
+    f"true AS fewer_rows, true AS pct_tells, true AS within FROM {t}" for t in ("orders", "events") for c, _ in COLUMNS[t])
+
 # -- suggestions ------------------------------------------------------------------------------------
 
 _COLUMN_ROWS = ", ".join(
