@@ -3,11 +3,13 @@
 The forward automaton (any text, then the beginning of any rule) is run once over a text and tells where
 matches of a rule begin to count. From there the backward automaton of that rule finds where the
 match starts, and its anchored automaton how far it goes. Matches of a rule are leftmost, longest and do
-not overlap; those below the rule's least length are dropped after they have consumed their text.
+not overlap; those below the rule's least length are dropped after they have consumed their text. Time is
+linear in the text: a stretch that one run has read in vain stops later runs that come there in the same state.
 """
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +20,9 @@ from plumbline.llm.automata import compiled
 from plumbline.llm.common import documents, packed, share, unpacked, with_text_columns
 
 
+NOTED = 32                    # bytes read in vain from which on a run is remembered
+
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: ``lead`` then ``body``. A match counts if its body (``of_body``) or the whole match
@@ -83,16 +88,27 @@ def compile_rules(rules=BASE + MORE) -> Scanner:
     return scanner
 
 
-def longest(data: bytes, start: int, automaton: tuple[list[int], set[int]]) -> int:
-    """End of the longest match that begins at ``start``, or -1."""
+def longest(data: bytes, start: int, automaton: tuple[list[int], set[int]], dead: array | None = None) -> int:
+    """End of the longest match that begins at ``start``, or -1.
+
+    ``dead`` remembers, by place, states from which an earlier run found no further end. A run that comes to one of
+    them stops, so that starts within one long stretch do not each read it to its end."""
     table, accepts = automaton
-    state, end = 256, start if 256 in accepts else -1
+    state, end, at = 256, start if 256 in accepts else -1, start
     for at in range(start, len(data)):
         state = table[state + data[at]]
         if not state:
             break
         if state in accepts:
             end = at + 1
+        elif dead is not None and dead[at] == state:
+            break
+    if dead is not None and at - max(start, end) >= NOTED:
+        state = 256
+        for place in range(start, at):
+            state = table[state + data[place]]
+            if place >= end:
+                dead[place] = state
     return end
 
 
@@ -112,7 +128,7 @@ def leftmost(data: bytes, end: int, floor: int, automaton: tuple[list[int], set[
 def scan(data: bytes, scanner: Scanner) -> list[tuple[int, int, int]]:
     """(start, end, rule) in bytes of all matches that count, by start and rule."""
     rules, forward, accepts = scanner.rules, scanner.forward, scanner.accepts
-    done, out = [0] * len(rules), []
+    done, out, dead = [0] * len(rules), [], {}
     state = 256
     for at, byte in enumerate(data, 1):
         state = forward[state + byte]
@@ -123,7 +139,9 @@ def scan(data: bytes, scanner: Scanner) -> list[tuple[int, int, int]]:
                 start = leftmost(data, at, done[rule], scanner.backward[rule])
                 if start < 0:
                     continue
-                end = longest(data, start, scanner.onward[rule])
+                if trigger(rules[rule]) == rules[rule].lead and rule not in dead:
+                    dead[rule] = array("l", bytes(8 * len(data)))
+                end = longest(data, start, scanner.onward[rule], dead.get(rule))
                 if end < 0:
                     continue
                 done[rule], size = end, end - start
