@@ -10,6 +10,10 @@ sent to their shards, and the levels found there are joined back to the group. B
 The probability of a word after another mixes that of the pair with the word's own:
 share * c(u, w) / c(u) + (1 - share) * p(w), p(w) = (c(w) + 1) / (N + V + 1).
 
+A whole corpus that is learned from and scored at once (``score_corpus``) needs neither of these detours: each
+group of texts sends its distinct n-grams, with their counts, to their shards. The task of a shard adds the counts up,
+builds its part of the filter, probes it for what the groups have sent, and the levels go back to the groups.
+
 The base score needs every exact count. The most frequent words are broadcast with theirs (a fixed
 number); all others are joined by their hash.
 """
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import (
     Hashes, arrow_map, discard, documents, id_text, release, remainder, share, slices, text_bytes, written,
 )
+from plumbline.llm.wordhash import words_of
 
 START, END = b"\x01 start", b"\x02 end"      # no word holds a space
 TOP = 65_536
@@ -41,6 +46,8 @@ TOKENS = 2_000_000                             # counted together before they ar
 GROUP = 200                                    # texts scored together
 ROUTED = 200_000                               # tokens of texts that ask a stored filter together
 FILL = 8                                       # bits for each entry
+GROUPED = 1_000_000                            # tokens of texts that are learned from and scored at once
+PER_SHARD = 2_000_000                          # n-grams that groups send to one shard, about
 
 
 def hashes_of(data: bytes, words: Hashes) -> np.ndarray:
@@ -397,6 +404,169 @@ def score(df: DataFrame, model: LanguageModel, words: DataFrame, *, id_col: str
     return found.select("id", "n_tokens", "n_known", "base_score", "score", each.alias("each")).drop("each")
 
 
+# -- a whole corpus at once -----------------------------------------------------------------------------
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte by byte, all first bytes first: high bytes of small numbers are zeros in a row, which the
+    shuffle compresses away."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def steps(grams: np.ndarray) -> bytes:
+    """Sorted n-grams as their differences."""
+    return planes(np.diff(grams, prepend=np.uint64(0)))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
+def corpus_groups(df: DataFrame, training, id_col: str, text_col: str) -> DataFrame:
+    """Groups of texts as hashes: (part, ids, train, n, hashes, places, grams), ``n`` the tokens of each text,
+    ``places`` those of the tokens in ``hashes``, ``grams`` how many different n-grams there are at most."""
+    end = np.uint64(xxhash.xxh3_64_intdigest(END))
+    docs = id_text(df, id_col, text_col, F.coalesce(training, F.lit(False)).cast("int").alias("train")).withColumn("id", F.col("id").cast("long"))
+
+    def grouped(batches):
+        number = TaskContext.get().partitionId() << 32
+        ids, train, n, tokens, held = [], [], [], [], 0
+
+        def row():
+            words = unigrams(np.concatenate(tokens))
+            hashes, places = np.unique(words, return_inverse=True)
+            return {"part": [number], "ids": [ids], "train": [train], "n": [n], "hashes": [hashes.astype(np.int64)],
+                    "places": [planes(places.ravel().astype(np.uint32))], "grams": [len(hashes) + len(words)]}
+
+        for batch in slices(batches):
+            words, bounds = words_of(batch.column(1))
+            sizes, first = np.diff(bounds), 0
+            for k, size in enumerate(sizes.tolist()):
+                held += size + 1
+                if held >= GROUPED or k == len(sizes) - 1:
+                    tokens.append(np.insert(words[bounds[first]:bounds[k + 1]], bounds[first + 1:k + 2] - bounds[first], end))
+                    n += (sizes[first:k + 1] + 1).tolist()
+                    ids += batch.column(0)[first:k + 1].to_pylist()
+                    train += batch.column(2)[first:k + 1].to_pylist()
+                    first = k + 1
+                if held >= GROUPED:
+                    yield row()
+                    ids, train, n, tokens, held, number = [], [], [], [], 0, number + 1
+        if ids:
+            yield row()
+
+    return arrow_map(docs, grouped, "part long, ids array<long>, train array<long>, n array<long>, hashes array<long>, places binary, grams long")
+
+
+def corpus_tokens(n, hashes, places) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, hashes, places, pairs) of a group's tokens."""
+    n, hashes = (c.values.to_numpy(zero_copy_only=False).astype(np.int64) for c in (n, hashes))
+    hashes, places = hashes.view(np.uint64), from_planes(places.as_py(), np.uint32)
+    tokens = hashes[places]
+    before = np.concatenate((tokens[:1], tokens[:-1]))
+    before[np.concatenate(([0], np.cumsum(n)[:-1]))] = xxhash.xxh3_64_intdigest(START)
+    return n, hashes, places, pairs(before, tokens)
+
+
+def by_exchange(groups: DataFrame, grams: int, share_of_pairs: float) -> tuple[DataFrame, int]:
+    """(id, n_tokens, n_known, base_score, score) of all texts of the groups, and the tokens learned from."""
+    shards = max(SHARDS, 1 << (grams // PER_SHARD).bit_length())
+
+    def sent(batches):
+        for batch in slices(batches, 1):
+            part, train = batch.column(0)[0].as_py(), batch.column(1)[0].values.to_numpy(zero_copy_only=False)
+            n, hashes, places, joint = corpus_tokens(*(batch.column(k)[0] for k in (2, 3, 4)))
+            learned = np.repeat(train > 0, n)
+            joint, at = np.unique(joint, return_inverse=True)
+            own = np.concatenate((hashes, joint))
+            times = np.concatenate((np.bincount(places[learned], minlength=len(hashes)), np.bincount(at.ravel()[learned], minlength=len(joint))))
+            order = np.argsort(own, kind="stable")
+            own, times = own[order], times[order].astype(np.uint32)
+            shard, first = np.unique(shard_of(own, shards), return_index=True)
+            yield {"shard": shard, "part": [part] * len(shard), "grams": [steps(g) for g in np.split(own, first[1:])],
+                   "times": [planes(t) for t in np.split(times, first[1:])]}
+
+    def answered(batches):
+        current, parts, own, times = None, [], [], []
+        for batch in batches:
+            for shard, part, grams, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if shard != current:
+                    if parts:
+                        yield from replies(current, parts, own, times)
+                    current, parts, own, times = shard, [], [], []
+                parts.append(part), own.append(from_steps(grams)), times.append(from_planes(n, np.uint32))
+        if parts:
+            yield from replies(current, parts, own, times)
+
+    def replies(shard, parts, own, times):
+        """Counts of a shard's n-grams over all groups, its filter, and the levels read back by probing it."""
+        grams, at = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.bincount(at.ravel(), np.concatenate(times), len(grams)).astype(np.int64)       # below 2 ** 53: exact
+        level = levels_of(total, level_bounds())
+        bits = max(64, 1 << max(int(level.sum()) * FILL - 1, 0).bit_length())
+        table, active = Filter(np.zeros((1, bits // 8), np.uint8)), np.flatnonzero(level)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            active = active[level[active] >= q]
+            table.add(0, grams[active], q)
+        found, word = table.levels(grams).astype(np.uint8), grams & np.uint64(1) == 0
+        ends = np.cumsum([len(g) for g in own])[:-1]
+        counts = [total[a][word[a]] for a in np.split(at.ravel(), ends)]
+        yield {"part": parts, "shard": [shard] * len(parts), "levels": [found[a].tobytes() for a in np.split(at.ravel(), ends)],
+               "counts": [planes(c) for c in counts], "distinct": [0] * len(parts)}
+        yield {"part": [-1], "shard": [shard], "levels": [b""], "counts": [b""], "distinct": [int((total[word] > 0).sum())]}
+
+    asked = arrow_map(groups.select("part", "train", "n", "hashes", "places"), sent, "shard long, part long, grams binary, times binary")
+    dealt = asked.repartition("shard").sortWithinPartitions("shard", "part")
+    answers = written(arrow_map(dealt, answered, "part long, shard long, levels binary, counts binary, distinct long"), "levels")
+    release(groups.sparkSession)
+    distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    tokens, texts = groups.select(F.explode(F.arrays_zip("train", "n")).alias("t")).where("t.train > 0").agg(
+        F.coalesce(F.sum("t.n"), F.lit(0)), F.count("*")).first()
+
+    def task(batches):
+        total = tokens + distinct + 1.0
+        for batch in slices(batches, 1):
+            n, hashes, places, joint = corpus_tokens(*(batch.column(k)[0] for k in (1, 2, 3)))
+            unique, at = np.unique(joint, return_inverse=True)
+            order = np.argsort(np.concatenate((hashes, unique)), kind="stable")
+            level = np.empty(len(order), np.int64)
+            level[order] = np.frombuffer(b"".join(batch.column(4)[0].as_py()), np.uint8)
+            exact = np.concatenate([from_planes(c, np.int64) for c in batch.column(5)[0].as_py()])[places]     # words are sorted by shard
+            c, joint = estimates(level[:len(hashes)])[places], estimates(level[len(hashes):])[at.ravel()]
+            of, edges = np.repeat(np.arange(len(n)), n), np.concatenate(([0], np.cumsum(n)[:-1]))
+            before = np.concatenate(([0.0], c[:-1]))
+            before[edges] = texts
+            joint = np.minimum(joint, np.minimum(before, c))     # a pair is no more frequent than its words
+            p = share_of_pairs * joint / np.maximum(before, 1) + (1 - share_of_pairs) * (c + 1) / total
+            yield {"id": batch.column(0)[0].as_py(), "n_tokens": n, "n_known": np.bincount(of[exact > 0], minlength=len(n)),
+                   "base_score": np.bincount(of, np.log10((exact + 1) / total), len(n)), "score": np.bincount(of, np.log10(p), len(n))}
+
+    levels = answers.where("part >= 0").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("shard", "levels", "counts"))).alias("found"))
+    joined = groups.join(levels, "part").select("ids", "n", "hashes", "places", F.col("found.levels").alias("levels"), F.col("found.counts").alias("counts"))
+    return arrow_map(joined, task, "id long, n_tokens long, n_known long, base_score double, score double"), tokens
+
+
+def score_corpus(df: DataFrame, training, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, top: int = TOP,
+                 share_of_pairs: float = 0.2) -> tuple[DataFrame, int]:
+    """(id, n_tokens, n_known, base_score, score), one row per row of ``df``, and the tokens learned from: the rows
+    for which ``training`` holds (null: not). Null texts are empty. Every row is scored by its own text; ids may
+    repeat or be null. Without training rows every token has probability 1 / (0 + 0 + 1), times one less the pairs' share.
+
+    A filter of up to ``bits`` is broadcast; beyond that, n-grams and levels are exchanged with its shards."""
+    groups = written(corpus_groups(df, training, id_col, text_col), "groups")
+    grams = groups.agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    if grams * FILL > bits:
+        return by_exchange(groups, grams, share_of_pairs)
+    discard(groups)
+    model, words = train(df.where(training), bits=bits, top=top, share_of_pairs=share_of_pairs)
+    return score(df, model, words, id_col=id_col, text_col=text_col), model.tokens
+
+
 def key_of(data: bytes) -> int:
     value = xxhash.xxh3_64_intdigest(data)
     return value - (1 << 64) if value >> 63 else value
@@ -405,7 +575,7 @@ def key_of(data: bytes) -> int:
 def query(spark, sf_dir):
     """op5: learn from six folds of seven, score every document."""
     docs = documents(spark, sf_dir)
-    model, words = train(docs.where(remainder("doc_id", 7) != 2))
-    return score(docs, model, words).select(
+    found, tokens = score_corpus(docs, remainder("doc_id", 7) != 2)
+    return found.select(
         F.col("id").alias("doc_id"), (remainder("id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
-        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
