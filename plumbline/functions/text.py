@@ -63,12 +63,22 @@ def scope_patterns(scope: str | None) -> list[str]:
     return [p.strip().upper() for p in (scope or "").split(",") if p.strip()]
 
 
+def glob_body(pattern: str) -> str:
+    """A glob as a regular expression, not anchored."""
+    return fnmatch.translate(pattern).removesuffix(r"\Z").removesuffix(r"\z")
+
+
+def glob_prefix(pattern: str) -> str:
+    """The literal characters a glob begins with."""
+    return re.split(r"[*?\[]", pattern, maxsplit=1)[0]
+
+
 def in_scope(table_fqn: Column, scope: str | None) -> Column:
     """Glob match of a table name against a comma list; an empty list matches everything."""
     patterns = scope_patterns(scope)
     if not patterns:
         return F.lit(True)
-    body = "|".join(fnmatch.translate(p).removesuffix(r"\Z").removesuffix(r"\z") for p in patterns)
+    body = "|".join(glob_body(p) for p in patterns)
     return F.upper(table_fqn).rlike(full_match(body))
 
 

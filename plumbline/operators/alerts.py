@@ -1,8 +1,9 @@
 """Alert policies: which failures each policy reports, and the text it would send.
 
-Policies are configuration, like rules, so they are compiled into predicates on the driver. Each
-failure is tested against all policies in one pass and emits a row per policy it matches; failures
-and policies are never joined with each other.
+Policies are configuration, like rules, so a few of them are compiled into predicates on the driver: each
+failure is tested against all policies in one pass and emits a row per policy it matches. Many policies become an
+index: their scopes are resolved once per table, by the literal beginning of each pattern, and failures find their
+policies by table and severity, so that the cost of a failure does not grow with the policies.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from plumbline.functions.scores import severity_rank
-from plumbline.functions.text import fixed, in_scope, timestamp_literal
+from plumbline.functions.text import fixed, full_match, glob_body, glob_prefix, in_scope, scope_patterns, timestamp_literal
 from plumbline.model import (
     ALERT_HISTORY_SCHEMA, ALERT_POLICIES_SCHEMA, CHANNELS, DEFAULT_RETENTION_DAYS, DEFAULT_SEVERITY_FILTER,
 )
@@ -22,6 +23,7 @@ from plumbline.operators.scoring import latest_results, previous_results, table_
 # Limits and texts of the notifications.
 RECENT_HOURS = 6
 MESSAGE_LINES = 25
+FEW_POLICIES = 64             # up to which one expression tests them all
 LAST_EVALUATION_MINUTES = 5
 NO_MATCH = "No matching failures"
 NO_NEW = "No new failures since previous run"
@@ -60,6 +62,33 @@ def _per_policy(rows: DataFrame, matches: Sequence[tuple[int, Column]]) -> DataF
     return rows.withColumn("alert_id", F.explode(ids))
 
 
+def scope_index(tables: DataFrame, policies: Sequence[Row]) -> DataFrame:
+    """``(__table, alert_id)``: the policies in whose scope each different table is.
+
+    A pattern is found by its literal beginning, which is a beginning of the table's name, and checked from
+    there: tables and patterns meet by an equi-join on beginnings of the lengths that occur."""
+    rows = []
+    for policy in policies:
+        patterns = scope_patterns(policy["scope_tables"])
+        for pattern in dict.fromkeys(patterns):
+            prefix = glob_prefix(pattern)
+            rest = pattern[len(prefix):]
+            regex = None if rest in ("", "*") else full_match(glob_body(pattern))
+            rows.append((policy["alert_id"], prefix, rest == "", regex, False))
+        if not patterns:
+            rows.append((policy["alert_id"], "", False, None, True))
+    index = tables.sparkSession.createDataFrame(rows, "alert_id long, __prefix string, __whole boolean, __regex string, __any boolean")
+    lengths = sorted({len(r[1]) for r in rows})
+    name = F.upper("__table")
+    known = tables.select(F.col("table_fqn").alias("__table")).distinct()
+    starts = known.select("__table", F.explode(F.array(*[
+        F.when(F.length(name) >= n, F.substring(name, 1, n)) if n else F.lit("") for n in lengths])).alias("__prefix"))
+    fits = ~F.col("__whole") | (F.length("__table") == F.length("__prefix"))
+    checked = F.col("__regex").isNull() | F.expr("rlike(upper(__table), __regex)")
+    found = starts.join(index, "__prefix").where(F.col("__any") | (F.col("__table").isNotNull() & fits & checked))
+    return found.select("__table", "alert_id").distinct()
+
+
 def matched_failures(failures: DataFrame, results: DataFrame, policies: Sequence[Row], test: bool = False) -> DataFrame:
     """``alert_id`` with the failures its severities, scope and mode select. A failure is new when
     the result before it passed or does not exist; the history is only read if a policy asks."""
@@ -69,6 +98,12 @@ def matched_failures(failures: DataFrame, results: DataFrame, policies: Sequence
         before = previous_results(results).select("rule_id", F.col("status").alias("previous_status"))
         judged = failures.join(before, "rule_id", "left")
     is_new = F.col("previous_status").isNull() | (F.col("previous_status") == "PASS")
+    if len(policies) > FEW_POLICIES:
+        wanted = [(p["alert_id"], s, _new_only(p) and not test) for p in policies for s in dict.fromkeys(_severities(p))]
+        targets = scope_index(judged.select("table_fqn"), policies).join(
+            judged.sparkSession.createDataFrame(wanted, "alert_id long, __severity string, __new boolean"), "alert_id")
+        joined = judged.join(targets, F.col("table_fqn").eqNullSafe(F.col("__table")) & (F.col("severity") == F.col("__severity")))
+        return joined.where(~F.col("__new") | is_new).drop("__table", "__severity", "__new")
     matches = []
     for policy in policies:
         wanted = F.col("severity").isin(_severities(policy)) & in_scope(F.col("table_fqn"), policy["scope_tables"])
@@ -83,6 +118,12 @@ def low_score_tables(health: DataFrame, policies: Sequence[Row]) -> DataFrame:
         for p in policies if p["min_score"] is not None
     ]
     chosen = health.select("table_fqn", "dq_score")
+    if len(matches) > FEW_POLICIES:
+        scored = [(p["alert_id"], float(p["min_score"])) for p in policies if p["min_score"] is not None]
+        asked = scope_index(chosen, [p for p in policies if p["min_score"] is not None]).join(
+            chosen.sparkSession.createDataFrame(scored, "alert_id long, __least double"), "alert_id")
+        found = chosen.join(asked, F.col("table_fqn").eqNullSafe(F.col("__table")))
+        return found.where(F.col("dq_score") < F.col("__least")).select("table_fqn", "dq_score", "alert_id")
     if not matches:
         return chosen.where(F.lit(False)).withColumn("alert_id", F.lit(0).cast("long"))
     return _per_policy(chosen, matches)

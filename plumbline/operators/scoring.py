@@ -10,12 +10,21 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.scores import severity_weight, status_counts, weighted_score
 from plumbline.functions.time import recent_dates
 from plumbline.model import SEVERITY_WEIGHTS
 
+ROLLUP_SCHEMA = T.StructType([
+    T.StructField("run_date", T.DateType()),
+    T.StructField("table_fqn", T.StringType()),
+    T.StructField("dimension", T.StringType()),
+    T.StructField("severity", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("checks", T.LongType()),
+])
+
 
 def _nth_newest(results: DataFrame, keys: list[str], n: int) -> DataFrame:
     newest_first = Window.partitionBy(*keys).orderBy(F.col("run_ts").desc(), F.col("result_id").desc())
@@ -66,6 +75,38 @@ def score_trend(daily: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     )
 
 
+def daily_rollup(results: DataFrame) -> DataFrame:
+    """Checks per day, table, dimension, severity and status, a rule counting with its last result of the day."""
+    groups = ROLLUP_SCHEMA.names[:-1]
+    return daily_results(results).groupBy(*groups).agg(F.count(F.lit(1)).alias("checks")).select(*ROLLUP_SCHEMA.names)
+
+
+def _rolled(rollup: DataFrame, *keys: str, weights: Mapping[str, int] = SEVERITY_WEIGHTS):
+    weight = severity_weight(F.col("severity"), weights) * F.col("checks")
+    passed = F.sum(F.when(F.col("status") == "PASS", weight).otherwise(0))
+    counts = {name: F.sum(F.when(F.col("status") == status, F.col("checks")).otherwise(0)) for name, status in (
+        ("passed", "PASS"), ("failed", "FAIL"), ("errors", "ERROR"))}
+    return rollup.groupBy(*keys).agg(
+        F.sum("checks").alias("checks"), *[total.alias(name) for name, total in counts.items()],
+        F.round(100 * passed / F.nullif(F.sum(weight), F.lit(0)), 1).alias("dq_score"),
+        F.sum(F.when(F.col("status") == "PASS", F.lit(0)).otherwise(F.col("checks"))).alias("issues"))
+
+
+def rolled_table_score(rollup: DataFrame) -> DataFrame:
+    """``daily_table_score`` out of a roll-up: one row per group is read instead of the results."""
+    return _rolled(rollup, "run_date", "table_fqn").drop("issues")
+
+
+def rolled_score_trend(rollup: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+    """``score_trend`` out of a roll-up."""
+    return _rolled(recent_dates(rollup, "run_date", as_of, days), "run_date").select("run_date", "dq_score", "checks", "issues")
+
+
+def rolled_heat_map(rollup: DataFrame) -> DataFrame:
+    """Checks per day, dimension and status."""
+    return rollup.groupBy("run_date", "dimension", "status").agg(F.sum("checks").alias("n"))
+
+
 def dimension_score(latest: DataFrame) -> DataFrame:
     """Score per quality dimension; results without a dimension are left out."""
     return latest.where(F.col("dimension").isNotNull()).groupBy("dimension").agg(

@@ -4,19 +4,22 @@ History tables are append-only and partitioned by day; retention is a recorded c
 are dropped. Keyed tables (rules, policies, settings) take several writers: a change adds a folder
 with the new versions of rows, a delete one with markers, each by a commit of its own, and reading
 keeps the newest version per key. The two newest results of every rule are kept beside the history, so that
-current views need no day of it. Nothing is rewritten in place, so a lost executor or a failed job can
+current views need no day of it, and so are counts per day, table, dimension, severity and status, so that trends
+need no result. Nothing is rewritten in place, so a lost executor or a failed job can
 never leave a half-changed table.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from plumbline.functions.text import timestamp_literal
 from plumbline.model import (
@@ -24,6 +27,7 @@ from plumbline.model import (
     MEASUREMENTS_SCHEMA, RESULTS_SCHEMA, RULES_SCHEMA, SETTINGS_SCHEMA, DEFAULT_RETENTION_DAYS,
 )
 from plumbline.operators.alerts import retention_days
+from plumbline.operators.scoring import ROLLUP_SCHEMA, daily_rollup
 from plumbline.sources.commits import ATTEMPTS, CommitLog, Version
 
 
@@ -49,6 +53,9 @@ RULES = Keyed("rules", RULES_SCHEMA, "rule_id")
 POLICIES = Keyed("alert_policies", ALERT_POLICIES_SCHEMA, "alert_id")
 SETTINGS = Keyed("settings", SETTINGS_SCHEMA, "setting_key")
 NEWEST_RESULTS = Keyed("newest_results", RESULTS_SCHEMA, "rule_id")     # up to two rows per key
+DAILY_ROLLUP = Keyed("daily_rollup", T.StructType([
+    T.StructField("day", T.StringType()), T.StructField("digest", T.StringType()), *ROLLUP_SCHEMA.fields]), "day")     # many rows per key
+NO_DAY = "none"               # the key of results without a moment
 
 COMPACT_AFTER = 32            # commits since a snapshot
 
@@ -215,10 +222,11 @@ class Store:
             return newest_two(self.read(RESULTS).drop(RESULTS.partition))
         return self._since_cutoff(RESULTS, self._newest_of(version))
 
-    def _newest_of(self, version: Version) -> DataFrame:
-        by_rule = Window.partitionBy("rule_id").orderBy(F.col("__version").desc())
-        rows = self._log(NEWEST_RESULTS).rows(version, RESULTS_SCHEMA, "rule_id")
-        return rows.withColumn("__rank", F.rank().over(by_rule)).where(F.col("__rank") == 1).drop("__rank", "__version")
+    def _newest_of(self, version: Version, table: Keyed = NEWEST_RESULTS) -> DataFrame:
+        """All rows of each key's newest commit."""
+        by_key = Window.partitionBy(table.key).orderBy(F.col("__version").desc())
+        rows = self._log(table).rows(version, table.schema, table.key)
+        return rows.withColumn("__rank", F.rank().over(by_key)).where(F.col("__rank") == 1).drop("__rank", "__version")
 
     def _announce(self) -> str:
         """Note that an append begins; until it ends, the table of newest results may lack its rows."""
@@ -258,6 +266,82 @@ class Store:
 
         self._repeat(log, rebuild)
 
+    # -- counts per day
+
+    def _day_digests(self) -> dict[str, str]:
+        """What the results of each day are made of: the names and sizes of its files, and the cutoff within it."""
+        cutoff, digests = self.cutoff(RESULTS), {}
+        for name in self._days(RESULTS):
+            day = name.partition("=")[2]
+            fs, target = self._fs(f"{self._path(RESULTS.name)}/{name}")
+            files = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(target) if not f.getPath().getName().startswith((".", "_")))
+            if cutoff and day < f"{cutoff:%Y-%m-%d}":
+                continue                                           # about to be dropped
+            within = cutoff.isoformat() if cutoff and day == f"{cutoff:%Y-%m-%d}" else ""
+            digests[day if day[:1].isdigit() else NO_DAY] = hashlib.sha256(json.dumps([files, within]).encode()).hexdigest()
+        return digests
+
+    def _stale_days(self, version: Version) -> tuple[DataFrame, dict[str, str]]:
+        """The stored counts of days that are as they were, and the days that are not."""
+        current, known = self._day_digests(), self._newest_of(version, DAILY_ROLLUP)
+        stored = {r["day"]: r["digest"] for r in known.select("day", "digest").distinct().collect()}
+        fresh = [day for day, digest in current.items() if stored.get(day) == digest]
+        return known.where(F.col("day").isin(fresh)), {day: digest for day, digest in current.items() if day not in fresh}
+
+    def _count_days(self, days: dict[str, str]) -> DataFrame:
+        """Counts of some days, from their results alone."""
+        dates = [datetime.fromisoformat(day).date() for day in days if day != NO_DAY]
+        wanted = F.col(RESULTS.partition).isin(dates) if dates else F.lit(False)
+        if NO_DAY in days:
+            wanted = wanted | F.col(RESULTS.partition).isNull()
+        day = F.coalesce(F.date_format("run_date", "yyyy-MM-dd"), F.lit(NO_DAY))
+        digests = F.create_map(*[F.lit(v) for item in (days or {"": ""}).items() for v in item])
+        return daily_rollup(self.read(RESULTS).where(wanted)).select(
+            day.alias("day"), F.element_at(digests, day).alias("digest"), *ROLLUP_SCHEMA.names)
+
+    def rollup(self) -> DataFrame:
+        """Checks per day, table, dimension, severity and status, counting a rule's last result of a day. Days whose
+        results changed since the last refresh (late or dropped ones) are counted from them."""
+        fresh, stale = self._stale_days(self._log(DAILY_ROLLUP).current())
+        rows = fresh.unionByName(self._count_days(stale)) if stale else fresh
+        return rows.select(*ROLLUP_SCHEMA.names)
+
+    def refresh_rollup(self) -> int:
+        """Count the days that changed and store them; returns how many. All other days are left unread."""
+        log, count = self._log(DAILY_ROLLUP), 0
+
+        def refresh(version: Version) -> bool:
+            nonlocal count
+            _, stale = self._stale_days(version)
+            count = len(stale)
+            if not stale:
+                return True
+            folder = log.write(self._count_days(stale).coalesce(1))
+            if not log.publish(version, folder):
+                log.remove(folder)
+                return False
+            return True
+
+        self._repeat(log, refresh)
+        self._compact_if_long(DAILY_ROLLUP)
+        return count
+
+    # -- the newest rows of a log
+
+    def newest(self, log: Log, n: int, where: Column | None = None) -> DataFrame:
+        """The newest ``n`` rows for which ``where`` holds, ties in falling order of the first column. Day folders are walked
+        backwards, twice as many at each step, until they hold enough."""
+        days, take = [name for name in reversed(self._days(log)) if name.partition("=")[2][:1].isdigit()], 1
+        while True:
+            rows = self.read(log)
+            if take < len(days):
+                rows = rows.where(F.col(log.partition) >= F.lit(datetime.fromisoformat(days[take - 1].partition("=")[2]).date()))
+            if where is not None:
+                rows = rows.where(where)
+            if take >= len(days) or rows.limit(n).count() >= n:
+                return rows.orderBy(F.col(log.moment).desc(), F.col(log.schema.names[0]).desc()).limit(n)
+            take *= 2
+
     # -- keyed tables
 
     def _rows_of(self, table: Keyed, version: Version) -> DataFrame:
@@ -366,7 +450,7 @@ class Store:
         def snapshot(version: Version) -> bool:
             nonlocal number
             number = version.number
-            rows = self._newest_of(version) if table is NEWEST_RESULTS else self._shaped(table, self._rows_of(table, version), False)
+            rows = self._newest_of(version, table) if table in (NEWEST_RESULTS, DAILY_ROLLUP) else self._shaped(table, self._rows_of(table, version), False)
             folder = log.write(rows.coalesce(1))
             if not log.publish(version, folder, snapshot=True):
                 log.remove(folder)

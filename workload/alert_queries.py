@@ -166,6 +166,41 @@ def _one_policy(spark, sf_dir):
 _register("alert_test_policy", _one_policy, with_inputs(
     "SELECT 6::BIGINT AS alert_id, rule_id, severity FROM latest WHERE status <> 'PASS' AND severity = 'CRITICAL'", "latest"))
 
+# -- many policies: one per customer ---------------------------------------------------------------------
+
+_SCOPE_OF = (None, "LAKE.RETAIL.*", "lake.retail.o*, *.PAYMENTS", "*.RETAIL.?*[SY]", "LAKE.RETAIL.STORES,LAKE.RETAIL.RETURNS", "LAKE.OTHER.*", "*")
+_LISTED_OF = ("CRITICAL", "MEDIUM,LOW", None, "HIGH", "INFO")
+
+
+def customers_policies(spark: SparkSession, sf_dir: str) -> list[Row]:
+    """Scope, severities, minimum score and mode follow from the customer's keys."""
+    rows = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("alert_id"), F.concat(F.lit("policy "), F.col("c_custkey").cast("string")).alias("alert_name"),
+        F.lit("EMAIL").alias("channel_type"), F.lit("team@example.com").alias("recipients"),
+        _pick(_LISTED_OF, "c_custkey % 5").alias("severity_filter"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN 40.0D + c_nationkey END").alias("min_score"),
+        (F.col("c_acctbal") >= 0).alias("is_enabled"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
+        F.when(F.col("c_custkey") % 4 == 0, "NEW_FAILURES_ONLY").alias("notify_mode"), _pick(_SCOPE_OF, "c_custkey % 7").alias("scope_tables"))
+    return alerts.select_policies(rows)
+
+
+def _many_failures(spark, sf_dir):
+    results, rules = history(spark, sf_dir), catalog(spark, sf_dir)
+    failures = alerts.current_failures(results, rules, AS_OF)
+    return alerts.matched_failures(failures, results, customers_policies(spark, sf_dir)).select("alert_id", "rule_id", "table_fqn", "severity")
+
+
+_GLOBS = "[" + ", ".join(str([g.strip().upper() for g in (s or "*").split(",")]) for s in _SCOPE_OF) + "]"
+_MANY = (", policies AS (SELECT c_custkey AS alert_id, string_split(coalesce(" + _pick_sql(_LISTED_OF, "c_custkey % 5") + ", 'CRITICAL,HIGH'), ',') AS severities, "
+         f"({_GLOBS})[c_custkey % 7 + 1] AS globs, c_custkey % 4 = 0 AS new_only, CASE WHEN c_custkey % 3 = 0 THEN 40.0 + c_nationkey END AS min_score "
+         "FROM customer WHERE c_acctbal >= 0) ")
+_register("alert_many_policies", _many_failures, with_inputs("", "latest", "previous").rstrip() + _MANY + (
+    "SELECT alert_id, l.rule_id, l.table_fqn, l.severity FROM latest l LEFT JOIN previous p ON p.rule_id = l.rule_id, policies "
+    "WHERE l.status <> 'PASS' AND l.run_ts > TIMESTAMP '2024-01-30 18:00:00' AND list_contains(severities, l.severity) "
+    f"AND {_IN_SCOPE.replace('table_fqn', 'l.table_fqn')} AND (NOT new_only OR p.status IS NULL OR p.status = 'PASS')"))
+_register("alert_many_low_scores",
+          lambda s, d: alerts.low_score_tables(scoring.table_health(_latest(s, d)), customers_policies(s, d)),
+          with_inputs("", "health").rstrip() + _MANY + f"SELECT alert_id, table_fqn, dq_score FROM health, policies WHERE dq_score < min_score AND {_IN_SCOPE}")
+
 # -- notification history: every event is one notification ---------------------------------------------
 
 

@@ -449,3 +449,45 @@ def _pruned_newest(spark, sf_dir):
 
 _register("latest_results_store", _pruned_newest,
           f"SELECT {_RC}, owner FROM latest WHERE run_ts >= TIMESTAMP '2024-01-27 07:00:00'", "latest")
+
+
+# -- counts per day, kept up to date by refreshes ---------------------------------------------------------
+
+
+def _rolled(spark, sf_dir) -> Store:
+    """Refreshed before late results of all days are appended and the first week is dropped, and once after."""
+    store = Store(spark, work_folder(spark, "rollup"))
+    late = F.col("result_id").cast("long") % 50 == 0
+    store.append(RESULTS, history(spark, sf_dir).where(~late))
+    store.refresh_rollup()
+    store.append(RESULTS, history(spark, sf_dir).where(late & (F.dayofmonth("run_ts") > 20)))
+    store.refresh_rollup()
+    store.append(RESULTS, history(spark, sf_dir).where(late & (F.dayofmonth("run_ts") <= 20)))
+    store.prune(RESULTS, AS_OF.replace(hour=7), 23)
+    return store
+
+
+_KEPT_DAILY = ("kept AS (SELECT *, run_ts::DATE AS run_date, CASE severity WHEN 'CRITICAL' THEN 8 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 2 "
+               "WHEN 'LOW' THEN 1 END AS weight FROM results WHERE run_ts >= TIMESTAMP '2024-01-08 07:00:00' "
+               "QUALIFY row_number() OVER (PARTITION BY rule_id, run_ts::DATE ORDER BY run_ts DESC, result_id DESC) = 1)")
+_register("rollup_table_score", lambda s, d: scoring.rolled_table_score(_rolled(s, d).rollup()), None)
+ORACLE["rollup_table_score"] = with_inputs("", "results").rstrip() + ", " + _KEPT_DAILY + (
+    " SELECT run_date, table_fqn, count(*) AS checks, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, "
+    f"count(*) FILTER (status = 'ERROR') AS errors, {SCORE_SQL} AS dq_score FROM kept GROUP BY 1, 2")
+
+
+def _refreshed_trend(spark, sf_dir):
+    store = _rolled(spark, sf_dir)
+    store.refresh_rollup()
+    return scoring.rolled_score_trend(store.rollup(), AS_OF, 30)
+
+
+_register("rollup_trend", _refreshed_trend, None)
+ORACLE["rollup_trend"] = with_inputs("", "results").rstrip() + ", " + _KEPT_DAILY + (
+    f" SELECT run_date, {SCORE_SQL} AS dq_score, count(*) AS checks, count(*) FILTER (status <> 'PASS') AS issues FROM kept GROUP BY 1")
+_register("rollup_heat_map", lambda s, d: scoring.rolled_heat_map(_rolled(s, d).rollup()), None)
+ORACLE["rollup_heat_map"] = with_inputs("", "results").rstrip() + ", " + _KEPT_DAILY + (
+    " SELECT run_date, dimension, status, count(*) AS n FROM kept GROUP BY 1, 2, 3")
+_register("newest_failures_store",
+          lambda s, d: _stored(s, d).newest(RESULTS, 200, F.col("status") == "FAIL").select("result_id", "run_ts", "rule_id", "status"),
+          "SELECT result_id, run_ts, rule_id, status FROM results WHERE status = 'FAIL' ORDER BY run_ts DESC, result_id DESC LIMIT 200", "results")
