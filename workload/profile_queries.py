@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators.profile import profile_kpis, profile_table, profile_tables, sampling_rate, with_rule_flag
 from plumbline.operators.suggest import by_confidence, suggest_rules, to_catalog_rows
+from plumbline.plans.workflow import apply_suggestions
 from plumbline.sources.registry import Registry
+from plumbline.sources.tables import RULES, Store
 from plumbline.sources.workspace import work_folder
 from workload.base import AS_OF, AS_OF_SQL, DATABASE, SCHEMA, TABLES, read, registry
 
@@ -280,6 +282,24 @@ ORACLE["suggest_confident"] = (
     "'Completeness' WHEN 'UNIQUE' THEN 'Uniqueness' WHEN 'FRESHNESS' THEN 'Timeliness' WHEN 'ROW_COUNT' THEN 'Volume' "
     "WHEN 'REFERENTIAL' THEN 'Consistency' ELSE 'Validity' END AS dimension, 'Data Engineering' AS owner "
     f"FROM ({SUGGEST_SQL}) WHERE confidence IN ('high', 'medium')")
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confident suggestions added to an empty catalog, and all of them run at once: a result for each rule."""
+    store = Store(spark, work_folder(spark, "applied"))
+    apply_suggestions(store, shop(spark, sf_dir), by_confidence(suggestions(spark, sf_dir), "medium"), DATABASE, SCHEMA, as_of=AS_OF)
+    results = store.newest_results().select("rule_id", "total_rows", "status")
+    whole = F.col("rule_type").isin("NOT_NULL", "UNIQUE")
+    return store.rows(RULES).join(results, "rule_id", "left").select(
+        "rule_name", "table_name", "column_name", "rule_type", "severity", F.when(whole, F.col("total_rows")).alias("total_rows"),
+        F.col("status").isNotNull().alias("ran"), F.when(F.col("rule_type") == "NOT_NULL", F.col("status")).alias("present"))
+
+
+QUERIES["suggestions_applied"] = _applied
+ORACLE["suggestions_applied"] = (
+    "SELECT rule_name, table_name, column_name, rule_type, severity, CASE WHEN rule_type IN ('NOT_NULL', 'UNIQUE') THEN c.row_count END AS total_rows, "
+    f"true AS ran, CASE WHEN rule_type = 'NOT_NULL' THEN 'PASS' END AS present FROM ({SUGGEST_SQL}) JOIN ({_COUNT_ROWS}) c USING (table_name) "
+    "WHERE confidence IN ('high', 'medium')")
 QUERIES["profile_kpis"] = _kpis
 ORACLE["profile_kpis"] = (
     "SELECT count(DISTINCT table_name) AS tables_profiled, count(*) AS columns, "
