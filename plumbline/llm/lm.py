@@ -46,8 +46,8 @@ TOKENS = 2_000_000                             # counted together before they ar
 GROUP = 200                                    # texts scored together
 ROUTED = 200_000                               # tokens of texts that ask a stored filter together
 FILL = 8                                       # bits for each entry
-GROUPED = 1_000_000                            # tokens of texts that are learned from and scored at once
-PER_SHARD = 2_000_000                          # n-grams that groups send to one shard, about
+GROUPED = 400_000                            # tokens of texts that are learned from and scored at once
+PER_SHARD = 1_000_000                          # n-grams that groups send to one shard, about
 
 
 def hashes_of(data: bytes, words: Hashes) -> np.ndarray:
@@ -523,6 +523,7 @@ def by_exchange(groups: DataFrame, grams: int, share_of_pairs: float) -> tuple[D
     asked = arrow_map(groups.select("part", "train", "n", "hashes", "places"), sent, "shard long, part long, grams binary, times binary")
     dealt = asked.repartition("shard").sortWithinPartitions("shard", "part")
     answers = written(arrow_map(dealt, answered, "part long, shard long, levels binary, counts binary, distinct long"), "levels")
+    del asked, dealt                                   # nothing refers to what was sent: its files can go
     release(groups.sparkSession)
     distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     tokens, texts = groups.select(F.explode(F.arrays_zip("train", "n")).alias("t")).where("t.train > 0").agg(
