@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import pickle
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +189,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Jobs run within pass this many rows at most to a Python worker at once: for rows that hold whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now: it does so when the driver's objects for
     them are collected, which on an idle driver may be long after."""
