@@ -20,6 +20,7 @@ number); all others are joined by their hash.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
 from itertools import islice
 
@@ -524,7 +525,9 @@ def by_exchange(groups: DataFrame, grams: int, share_of_pairs: float) -> tuple[D
     dealt = asked.repartition("shard").sortWithinPartitions("shard", "part")
     answers = written(arrow_map(dealt, answered, "part long, shard long, levels binary, counts binary, distinct long"), "levels")
     del asked, dealt                                   # nothing refers to what was sent: its files can go
-    release(groups.sparkSession)
+    for _ in range(2):                                 # the first collection drops the plans, the second their shuffles
+        release(groups.sparkSession)
+        time.sleep(1)
     distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     tokens, texts = groups.select(F.explode(F.arrays_zip("train", "n")).alias("t")).where("t.train > 0").agg(
         F.coalesce(F.sum("t.n"), F.lit(0)), F.count("*")).first()
