@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import (
-    Hashes, arrow_map, discard, documents, id_text, release, remainder, share, slices, text_bytes, written,
+    Hashes, arrow_map, discard, documents, id_text, release, remainder, share, slices, small_batches, text_bytes, written,
 )
 from plumbline.llm.wordhash import words_of
 
@@ -494,7 +494,7 @@ def by_exchange(groups: DataFrame, grams: int, share_of_pairs: float) -> tuple[D
 
     def answered(batches):
         current, parts, own, times = None, [], [], []
-        for batch in batches:
+        for batch in slices(batches, 64):
             for shard, part, grams, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if shard != current:
                     if parts:
@@ -523,7 +523,8 @@ def by_exchange(groups: DataFrame, grams: int, share_of_pairs: float) -> tuple[D
 
     asked = arrow_map(groups.select("part", "train", "n", "hashes", "places"), sent, "shard long, part long, grams binary, times binary")
     dealt = asked.repartition("shard").sortWithinPartitions("shard", "part")
-    answers = written(arrow_map(dealt, answered, "part long, shard long, levels binary, counts binary, distinct long"), "levels")
+    with small_batches(groups.sparkSession, 200):
+        answers = written(arrow_map(dealt, answered, "part long, shard long, levels binary, counts binary, distinct long"), "levels")
     del asked, dealt                                   # nothing refers to what was sent: its files can go
     for _ in range(2):                                 # the first collection drops the plans, the second their shuffles
         release(groups.sparkSession)
