@@ -52,3 +52,38 @@ def test_ten_thousand_policies(spark, results):
     evaluated = alerts.evaluate_alerts(spark, results, catalog(spark, *range(40)), chosen, NOW)
     got = {r.status: r["n"] for r in alerts.evaluation_summary(evaluated).collect()}
     assert sum(got.values()) == 10_000 and got["READY"] > 1000 and got["SKIPPED"] > 100
+
+
+def test_low_scores_build_no_expression_per_policy(spark, results, monkeypatch):
+    health = table_health(latest_results(results, catalog(spark, *range(40))))
+    chosen = policies(spark, 90, seed=4)
+    monkeypatch.setattr(alerts, "FEW_POLICIES", 10_000)
+    expected = sorted(map(str, alerts.low_score_tables(health, chosen).collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(alerts, "in_scope", None)
+    assert sorted(map(str, alerts.low_score_tables(health, chosen).collect())) == expected and expected
+
+
+def test_policies_of_a_frame_never_reach_the_driver(spark, results, monkeypatch):
+    """The same rows in chunks of a few policies, with ids that are shared or null, and pairs alone grow as a product."""
+    rules = catalog(spark, *range(40))
+    failures, health = alerts.current_failures(results, rules, NOW), table_health(latest_results(results, rules))
+    rows = [tuple(p) for p in policies(spark, 80, seed=5)]
+    rows = [(k % 50, *r[1:]) for k, r in enumerate(rows)] + rows[:5]
+    frame = spark.createDataFrame([*rows, (None, *rows[0][1:])], ALERT_POLICIES_SCHEMA)
+
+    def found(chosen):
+        return [sorted(map(str, rows.collect())) for rows in (
+            alerts.matched_failures(failures, results, chosen).select("alert_id", "rule_id", "table_fqn", "status"),
+            alerts.low_score_tables(health, chosen))]
+
+    monkeypatch.setattr(alerts, "CHUNK", 3)
+    lazy = alerts.policy_frame(frame)
+    monkeypatch.setattr(type(lazy), "collect", lambda self: pytest.fail("collected"))
+    planned = alerts.matched_failures(failures, results, lazy), alerts.low_score_tables(health, lazy)
+    assert all(p.columns for p in planned)
+    monkeypatch.undo()
+    monkeypatch.setattr(alerts, "CHUNK", 3)
+    got = found(lazy)
+    monkeypatch.setattr(alerts, "FEW_POLICIES", 10_000)
+    assert got == found(alerts.select_policies(frame)) and all(got)
