@@ -114,6 +114,22 @@ def test_toxicity_learns_and_scores_edges(spark):
     assert got[1000] == got[1001] == got[1002] < 0.5                       # null, empty, blank
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """Long texts count, none is left out of the shards, and the order of the rows makes no difference."""
+    monkeypatch.setattr(toxicity, "PIECE", 60)
+    docs = [(i, frames.prose(i, 20) + (" vilething " + "plain words here " * 6_500 if i % 4 == 0 else ""), "en") for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    assert min(len(text) for i, text, _ in docs if i % 4 == 0) > 100_000
+    rows = toxicity.labelled(frame, labels).collect()
+    assert len(rows) == 200 and 20 < sum(r.held for r in rows) < 60
+    model = toxicity.train(frame, labels)
+    got = {r.doc_id: r.toxicity for r in toxicity.scored(frame, model).collect()}
+    assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in got) >= 190
+    again = toxicity.train(frame.orderBy("text").coalesce(2), labels)
+    assert np.array_equal(again.tables, model.tables) and again.bias == model.bias and np.array_equal(again.thresholds, model.thresholds)
+
+
 def test_toxicity_without_labels(spark):
     frame = frames.edge_frame(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
