@@ -278,11 +278,13 @@ def repeated_strings(grams: list[int], numbers: list[int], positions: list[int],
         running[:, c + 1] = running[:, c] * factor + matrix[:, c].astype(np.uint64) + np.uint64(1)
     content = running[row, end] - running[row, begin] * powers[end - begin]
     content ^= (at.astype(np.uint64) + np.uint64(1)) * MIX    # a piece's place belongs to its number
-    text = np.unique(content, return_inverse=True)[1].ravel() + 1
+    # later places get smaller numbers, which was measured to be faster than other orders
+    by_place = np.lexsort((content, -at))
+    new = np.concatenate(([True], (at[by_place][1:] != at[by_place][:-1]) | (content[by_place][1:] != content[by_place][:-1])))
+    text = np.empty(len(by_place), np.int64)
+    text[by_place] = np.cumsum(new)
     text = text.tolist()
-    order = suffix_array(text)
-    shared = np.array(common_prefixes(text, order), np.int64)
-    order = np.array(order, np.int64)
+    order = np.array(suffix_array(text), np.int64)
     # what is asked: per group, stretches of pieces (a, b) and the strings that lie in them
     bounds, columns = first_cut.tolist(), column.tolist()
     asked = [stretches(columns[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
@@ -301,6 +303,7 @@ def repeated_strings(grams: list[int], numbers: list[int], positions: list[int],
     suffix, need = offset[q_row] + table[q, 0] - skipped[q_row], table[q, 1]
     if not len(q):
         return number[:0], position[:0], position[:0]
+    shared = common_prefixes(text, order, int(need.max()))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     earliest = np.zeros(len(q), np.int64)

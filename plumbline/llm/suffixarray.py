@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def suffix_array(text: list[int]) -> list[int]:
     """Starts of the suffixes of ``text`` (numbers of 1 or more) in ascending order.
@@ -32,6 +34,25 @@ def suffix_array(text: list[int]) -> list[int]:
     current = len(members) - 1
     while current >= 0:
         done[current] = True
+        if len(members[current]) == 1:                     # a lone suffix extends one other, or none
+            i, = members[current]
+            p = i - 1
+            while p >= 0 and done[group[p]]:
+                p = previous[p]
+            previous[i] = p
+            if p >= 0 and len(members[group[p]]) > 1:
+                old, number = group[p], len(members)
+                members[old].remove(p)
+                members.append({p})
+                done.append(False)
+                upper = above[old]
+                below.append(old), above.append(upper)
+                above[old] = number
+                if upper >= 0:
+                    below[upper] = number
+                group[p] = number
+            current = below[current]
+            continue
         own = sorted(members[current])
         reached: dict[int, int] = {}
         for i in own:
@@ -89,21 +110,17 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
-def common_prefixes(text: list[int], order: list[int]) -> list[int]:
-    """Length of the common prefix of each suffix in ``order`` with the one before it; the first is 0."""
-    n, size = len(text), 0
-    rank, out = [0] * n, [0] * n
-    for at, start in enumerate(order):
-        rank[start] = at
-    for start in range(n):
-        at = rank[start]
-        if not at:
-            size = 0
-            continue
-        other = order[at - 1]
-        while start + size < n and other + size < n and text[start + size] == text[other + size]:
-            size += 1
-        out[at] = size
-        if size:
-            size -= 1
+def common_prefixes(text, order, most: int | None = None) -> np.ndarray:
+    """Length of the common prefix of each suffix in ``order`` with the one before it; the first is 0. Lengths beyond
+    ``most`` are given as ``most``."""
+    text, order = np.append(np.asarray(text, np.int64), 0), np.asarray(order, np.int64)
+    n = len(order)
+    out = np.zeros(n, np.int64)
+    left = np.arange(1, n)                                 # whose prefixes agree as far as they were compared
+    size = 0
+    while len(left) and (most is None or size < most):
+        a, b = order[left - 1] + size, order[left] + size
+        left = left[(a < n) & (b < n) & (text[np.minimum(a, n)] == text[np.minimum(b, n)])]
+        size += 1
+        out[left] = size
     return out

@@ -84,6 +84,21 @@ def test_connected(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_lone_suffixes_and_bounded_prefixes():
+    """Strings of mostly different numbers, as pieces of contexts are, and prefixes compared no farther than asked."""
+    pick = random.Random(7)
+    for n in (1, 2, 3, 50, 400):
+        for many in (2, 5, 3 * n):
+            text = [pick.randrange(many) + 1 for _ in range(n)]
+            order = suffixarray.suffix_array(text)
+            assert order == sorted(range(n), key=lambda i: text[i:])
+            whole = suffixarray.common_prefixes(text, order).tolist()
+            for k in range(1, n):
+                a, b = text[order[k - 1]:], text[order[k]:]
+                assert whole[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert suffixarray.common_prefixes(text, order, 2).tolist() == [min(v, 2) for v in whole]
+
+
 def test_merged_vectors(spark):
     rows = [("a", k % 2, np.full(4, k, np.int64).tobytes()) for k in range(10)]
     got = merged_vectors(spark.createDataFrame(rows, "name string, part int, counts binary").repartition(4), salts=3)
