@@ -18,8 +18,10 @@ match first; an end from which no arc leads on is remembered as dead.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,23 +78,55 @@ def load(path: str) -> tuple[dict[str, int], list[tuple[str, str]], str, dict[st
     return model["vocab"], merges, model.get("end_of_word_suffix") or "", {t["content"]: t["id"] for t in content["added_tokens"]}
 
 
+def letter_tree(ids: dict[str, int]) -> dict[str, tuple[int, dict]]:
+    """The entries of a vocabulary as nested dicts, letter by letter: the token that ends there, or -1, and what follows."""
+    root: dict[str, tuple[int, dict]] = {}
+    for label, token in ids.items():
+        node, last = root, len(label) - 1
+        for k, letter in enumerate(label):
+            number, following = node.get(letter) or (-1, {})
+            node[letter] = token if k == last else number, following
+            node = following
+    return root
+
+
+class Recent(dict):
+    """Values by key, None for others: of the keys used last, ``limit`` at most and at least half as many."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half, self.older = max(limit // 2, 1), {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
-    """Table-driven encoding with the arcs and words seen so far; a table is emptied when it is full.
+    """Table-driven encoding with the arcs and words seen last.
 
     It is broadcast with empty tables. Tasks that reuse a Python worker reuse its tables."""
 
     def __init__(self, automaton: Automaton, limit: int = 150_000):
         self.a, self.limit = automaton, limit
         self.arcs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words, self.chunks = Recent(limit), Recent(limit)
         self.pattern = None
         self.symbols = dict(enumerate(byte_symbols()))
         self.bytes_known = all(c in automaton.ids and c + automaton.end in automaton.ids for c in self.symbols.values())
-        #: Strings that a longer vocabulary entry begins with: beyond any other no match can end.
-        self.prefixes = {label[:k] for label in automaton.labels for k in range(1, len(label))}
+        #: By character the token of what has been read and what may follow it in longer entries.
+        self.reach = letter_tree(automaton.ids)
 
     def special_tokens(self, text: str):
-        if not self.a.special:
+        if not any(token in text for token in self.a.special):
             return ()
         if self.pattern is None:
             self.pattern = regex.compile("|".join(map(regex.escape, sorted(self.a.special, key=len, reverse=True))))
@@ -122,45 +156,50 @@ class Encoder:
             self.arcs[state, label] = found
         return found
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         """Token ids of one pre-split word; a symbol that the vocabulary lacks is left out."""
-        known = self.words.get(word)
+        known = self.words[word]
         if known is not None:
             return known
         end, ids = self.a.end, self.a.ids
-        text = word.encode().decode("latin-1").translate(self.symbols)
+        # printable ASCII stands for itself
+        text = word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(self.symbols)
         if not self.bytes_known:
             last = text[-1:] + end in ids
             text = "".join(c for c in text[:-1] if c in ids) + text[-1:] * last
             end = end if last else ""
         n = len(text)
         final = text + end
-        arcs, prefixes = self.arcs, self.prefixes
+        arcs, reach = self.arcs, self.reach
         matches: dict[int, list[tuple[int, int]]] = {}   # start to (end, token), the longest last
         open_ends, path, dead = [], [], set()            # untried matches of each step; the path so far
         at, here = 0, START
         while at < n:
             ends = matches.get(at)
             if ends is None:
-                ends = matches[at] = []
-                for j in range(at + 1, n):
-                    piece = text[at:j]
-                    if piece in ids:
-                        ends.append((j, ids[piece]))
-                    if piece not in prefixes:
+                ends, node = [], reach
+                matches[at] = ends
+                for j in range(at, n - 1):
+                    found = node.get(text[j])
+                    if found is None:
                         break
+                    token, node = found
+                    if token >= 0:
+                        ends.append((j + 1, token))
                 else:
-                    piece = final[at:]
-                    if piece in ids:
-                        ends.append((n, ids[piece]))
-            untried = ends.copy()
+                    token = ids.get(final[at:])
+                    if token is not None:
+                        ends.append((n, token))
+            untried = len(ends)
             while True:
                 while untried:
-                    j, token = step = untried.pop()
-                    if step in dead:
+                    untried -= 1
+                    step = ends[untried]
+                    if dead and step in dead:
                         continue
-                    found = arcs.get((here, token))
-                    if self.allows(here, token) if found is None else found:
+                    arc = here, step[1]
+                    found = arcs.get(arc)
+                    if self.allows(*arc) if found is None else found:
                         break
                 else:
                     dead.add((at, here))
@@ -169,46 +208,74 @@ class Encoder:
                     path.pop()
                     untried = open_ends.pop()
                     at, here = path[-1] if path else (0, START)
+                    ends = matches[at]
                     continue
                 break
             open_ends.append(untried)
             path.append(step)
             at, here = step
-        out = [token for _, token in path]
-        if len(self.words) >= self.limit:
-            self.words.clear()
-        self.words[word] = out
+        out = tuple([token for _, token in path])      # the garbage collector passes over tuples of numbers, not over lists
+        self.words.put(word, out)
         return out
 
 
+#: What ``str.split`` takes for white space, but ``SPLIT`` does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+LONG_CHUNK = 64               # characters of a chunk that is remembered
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def normalised(text: str) -> str:
     """NFC and lower case, code point by code point (a final sigma is like any other)."""
-    import unicodedata
-
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFC", text)
     return text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
 
 
+def chunk_ids(text: str, encoder: Encoder, words) -> list[int]:
+    """Token ids of a normalised text. No word reaches over white space, so the stretches between are encoded by themselves
+    and remembered with all their words."""
+    if any(c in text for c in SEPARATORS):
+        return [token for word in words(text) for token in encoder.word(word)]
+    ids, known = [], encoder.chunks
+    for chunk in text.split():
+        found = known[chunk]
+        if found is None:
+            found = tuple([token for word in words(chunk) for token in encoder.word(word)])
+            if len(chunk) <= LONG_CHUNK:
+                known.put(chunk, found)
+        ids += found
+    return ids
+
+
 def encode(text: str, encoder: Encoder, words) -> list[int]:
     """Token ids of a whole text. Special tokens are found in the raw text first."""
     ids, at = [], 0
     for match in encoder.special_tokens(text):
-        for word in words(normalised(text[at:match.start()])):
-            ids += encoder.word(word)
+        ids += chunk_ids(normalised(text[at:match.start()]), encoder, words)
         ids.append(encoder.a.special[match.group()])
         at = match.end()
-    for word in words(normalised(text[at:])):
-        ids += encoder.word(word)
-    return ids
+    return ids + chunk_ids(normalised(text[at:]), encoder, words)
+
+
+def decoder(labels: list[str], special: dict[int, str]):
+    """A function from ids to the arc labels of the ids, separated by spaces, as a vocabulary without a decoder gives
+    them. Ids without a label are left out."""
+    label_of = dict(enumerate(labels)) | special
+
+    def whole(ids) -> str:
+        try:
+            return " ".join(map(label_of.__getitem__, ids))
+        except KeyError:
+            return " ".join(label_of[i] for i in ids if i in label_of)
+
+    return whole
 
 
 def decode(ids, labels: list[str], special: dict[int, str]) -> str:
-    """The arc labels of the ids, separated by spaces, as a vocabulary without a decoder gives them.
-    Ids without a label are left out."""
-    return " ".join(special.get(i) or labels[i] for i in ids if i in special or 0 <= i < len(labels))
+    """``decoder`` for a single list of ids."""
+    return decoder(labels, special)(ids)
 
 
 def with_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text", texts_out: bool = True, digests: bool = False) -> DataFrame:
@@ -219,14 +286,15 @@ def with_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text", texts_
 
     def make():
         encoder = shared.value
+        gc.freeze()          # the vocabulary is not gone through again by every collection
         words = regex.compile(SPLIT).findall
-        special = {number: token for token, number in encoder.a.special.items()}
+        whole = decoder(encoder.a.labels, {number: token for token, number in encoder.a.special.items()})
 
         def columns(texts):
             ids = [encode(text or "", encoder, words) for text in texts]
             found = {"token_ids": ids}
             if texts_out or digests:
-                found["decoded"] = [decode(i, encoder.a.labels, special) for i in ids]
+                found["decoded"] = [whole(i) for i in ids]
             if digests:
                 found["decoded_sha256"] = [hashlib.sha256(text.encode()).hexdigest() for text in found["decoded"]]
             return found
@@ -254,15 +322,16 @@ def digested(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
 
     def make():
         encoder = shared.value
+        gc.freeze()          # the vocabulary is not gone through again by every collection
         words = regex.compile(SPLIT).findall
-        special = {number: token for token, number in encoder.a.special.items()}
+        whole = decoder(encoder.a.labels, {number: token for token, number in encoder.a.special.items()})
 
         def columns(texts):
             rows = []
             for text in texts:
                 ids = encode(text or "", encoder, words)
                 rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
-                             hashlib.sha256(decode(ids, encoder.a.labels, special).encode()).hexdigest()))
+                             hashlib.sha256(whole(ids).encode()).hexdigest()))
             return {name: [r[i] for r in rows] for i, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
 
         return columns
