@@ -74,6 +74,47 @@ def test_labelled_texts_are_dealt_before_they_become_buckets(spark, monkeypatch)
     assert {r.doc_id for r in toxicity.labelled(docs, labels).collect()} == set(range(30))
 
 
+def test_labelled_texts_are_shuffled_once_however_many_labels(spark, monkeypatch):
+    """No table of labels is small enough for a broadcast: the texts still cross one exchange only, and their buckets are stored by zstd."""
+    stored = []
+
+    def nodes(node):
+        return [node, *(n for i in range(node.children().size()) for n in nodes(node.children().apply(i)))]
+
+    def recorded(df, label):
+        plan = df._jdf.queryExecution().executedPlan()
+        plan = plan.initialPlan() if plan.nodeName().startswith("Adaptive") else plan
+        sent = [n for n in nodes(plan) if n.nodeName() == "Exchange" and "text#" in n.output().toString()]
+        out = written(df, label)
+        stored.append((len(sent), [f.endswith(".zstd.parquet") for f in out.inputFiles()]))
+        return out
+
+    monkeypatch.setattr(toxicity, "written", recorded)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    limit, codec = (spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.parquet.compression.codec"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"{'bad' if i % 3 == 0 else 'good'} word{i % 7}", "en") for i in range(60)], "doc_id long, text string, lang string")
+        toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)], "doc_id long, toxic int"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    (sent, tight), = stored
+    assert sent == 1 and tight and all(tight)
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == codec
+
+
+def test_labels_meet_every_row_of_their_text(spark):
+    """Repeated ids, both labels of an id, labels without a text, null ids, texts and labels, ids that are text."""
+    docs = spark.createDataFrame([("1", "one", "en"), ("1", "one more", None), ("2", "two", "de"), ("2", "two", "de"), ("3", None, "en"), (None, "none", "en"),
+                                  ("4", "", "en"), ("5", "unlabelled", "en"), ("7", "null label", "en")], "doc_id string, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 0), (3, 1), (None, 1), (4, 1), (6, 0), (7, None), (7, 2)], "doc_id int, toxic int")
+    for shards in (1, 3):
+        rows = toxicity.labelled_texts(docs, labels, shards).collect()
+        assert sorted((r.doc_id, r.lang or "", r.toxic, r.text) for r in rows) == [
+            (1, "", 0, "one more"), (1, "", 1, "one more"), (1, "en", 0, "one"), (1, "en", 1, "one"), (2, "de", 0, "two"), (2, "de", 0, "two"), (4, "en", 1, "")]
+        assert len({(r.doc_id, r.shard, r.held) for r in rows}) == 3 and {r.shard for r in rows} <= set(range(shards))
+
+
 def test_stretches_are_encoded_once():
     encoder = bpe.Encoder(bpe.compiled(bpe.tokenizer_path()))
     split, asked = regex.compile(bpe.SPLIT).findall, []
