@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import sys
 import unicodedata
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, packed, share, unpacked, with_text_columns
+from plumbline.llm.common import documents, give_back, packed, share, unpacked, with_text_columns
 
 
 def byte_symbols() -> list[str]:
@@ -78,11 +79,15 @@ def load(path: str) -> tuple[dict[str, int], list[tuple[str, str]], str, dict[st
     return model["vocab"], merges, model.get("end_of_word_suffix") or "", {t["content"]: t["id"] for t in content["added_tokens"]}
 
 
-def letter_tree(ids: dict[str, int]) -> dict[str, tuple[int, dict]]:
-    """The entries of a vocabulary as nested dicts, letter by letter: the token that ends there, or -1, and what follows."""
+def letter_tree(ids: dict[str, int], end: str = "") -> dict[str, tuple[int, dict]]:
+    """The entries of a vocabulary as nested dicts, letter by letter: the token that ends there, or -1, and what follows.
+    Entries that bear the word end only match a word's last letters and are looked up whole: the tree holds their letters before
+    the last, to tell where that may succeed."""
     root: dict[str, tuple[int, dict]] = {}
     for label, token in ids.items():
         node, last = root, len(label) - 1
+        if end and label.endswith(end):
+            label = label[:max(len(label) - len(end) - 1, 0)]
         for k, letter in enumerate(label):
             number, following = node.get(letter) or (-1, {})
             node[letter] = token if k == last else number, following
@@ -113,7 +118,10 @@ class Recent(dict):
 class Encoder:
     """Table-driven encoding with the arcs and words seen last.
 
-    It is broadcast with empty tables. Tasks that reuse a Python worker reuse its tables."""
+    It is broadcast with empty tables. Tasks that reuse a Python worker reuse its tables; once the worker has other tasks, it
+    gives their memory back."""
+
+    settled = False
 
     def __init__(self, automaton: Automaton, limit: int = 150_000):
         self.a, self.limit = automaton, limit
@@ -123,7 +131,20 @@ class Encoder:
         self.symbols = dict(enumerate(byte_symbols()))
         self.bytes_known = all(c in automaton.ids and c + automaton.end in automaton.ids for c in self.symbols.values())
         #: By character the token of what has been read and what may follow it in longer entries.
-        self.reach = letter_tree(automaton.ids)
+        self.reach = letter_tree(automaton.ids, automaton.end)
+
+    def settle(self) -> None:
+        """The vocabulary is not gone through again by every collection. Once per worker, after what earlier tasks left
+        is collected: what is frozen is never freed as part of a cycle."""
+        if not self.settled:
+            gc.collect()
+            gc.freeze()
+            self.settled = True
+
+    def __del__(self):
+        if self.settled and not sys.is_finalizing():
+            self.__dict__.clear()
+            give_back()
 
     def special_tokens(self, text: str):
         if not any(token in text for token in self.a.special):
@@ -242,7 +263,11 @@ def chunk_ids(text: str, encoder: Encoder, words) -> list[int]:
     for chunk in text.split():
         found = known[chunk]
         if found is None:
-            found = tuple([token for word in words(chunk) for token in encoder.word(word)])
+            parts = words(chunk)
+            if parts == [chunk]:
+                found = encoder.word(chunk)      # one word: both tables hold the same string and ids
+            else:
+                found = tuple([token for word in parts for token in encoder.word(word)])
             if len(chunk) <= LONG_CHUNK:
                 known.put(chunk, found)
         ids += found
@@ -286,7 +311,7 @@ def with_tokens(df: DataFrame, tokenizer: str, *, text_col: str = "text", texts_
 
     def make():
         encoder = shared.value
-        gc.freeze()          # the vocabulary is not gone through again by every collection
+        encoder.settle()
         words = regex.compile(SPLIT).findall
         whole = decoder(encoder.a.labels, {number: token for token, number in encoder.a.special.items()})
 
@@ -322,7 +347,7 @@ def digested(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
 
     def make():
         encoder = shared.value
-        gc.freeze()          # the vocabulary is not gone through again by every collection
+        encoder.settle()
         words = regex.compile(SPLIT).findall
         whole = decoder(encoder.a.labels, {number: token for token, number in encoder.a.special.items()})
 

@@ -1,5 +1,8 @@
 """Work that must not be repeated or moved about: sets, member tests, labelled texts, words."""
 
+import gc
+import weakref
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -136,3 +139,35 @@ def test_words_in_use_stay_known():
         kept.put(k, (k,))
         assert kept[0] == (0,) and len(kept) + len(kept.older) <= 4
     assert kept[1] is None
+
+
+def test_encoder_holds_little():
+    """No table repeats what another holds: word ends are looked up whole, single words are stored once."""
+    encoder = bpe.Encoder(bpe.compiled(bpe.tokenizer_path()))
+    end, open_nodes, labels, nodes = encoder.a.end, [("", encoder.reach)], set(), 0
+    while open_nodes:
+        label, node = open_nodes.pop()
+        for letter, (token, following) in node.items():
+            nodes += 1
+            open_nodes.append((label + letter, following))
+            if token >= 0:
+                labels.add(label + letter)
+    assert end and labels == {label for label in encoder.a.ids if not label.endswith(end)}
+    assert nodes < 1.5 * len(encoder.a.ids)
+    split = regex.compile(bpe.SPLIT).findall
+    bpe.encode("some words, some", encoder, split)
+    assert encoder.chunks["some"] is encoder.words["some"]
+
+
+def test_dropped_encoder_gives_memory_back():
+    """A worker that goes on with other tasks keeps nothing of the tables, nor of what was frozen with them."""
+    encoder = bpe.Encoder(bpe.compiled(bpe.tokenizer_path()))
+    table = weakref.ref(encoder.words)
+    encoder.settle()
+    assert gc.get_freeze_count() > 0
+    left = bpe.Recent(4)
+    left.older = {"left": left}          # a cycle
+    found = weakref.ref(left)
+    gc.freeze()
+    del left, encoder
+    assert table() is None and found() is None and gc.get_freeze_count() == 0
