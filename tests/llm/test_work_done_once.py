@@ -61,6 +61,52 @@ def test_member_tests_are_stored_and_bounded_by_bitmaps(spark, monkeypatch):
     assert seen == [(True, [node[4]])]
 
 
+def test_postings_travel_in_arrays_and_once_for_each_set(spark, monkeypatch):
+    """Copies of a text are made into a set where its owner is, and a posting becomes a row only if two sets have its token."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[k % 7:k % 7 + 60 + k]) for k in range(40)] + [" ".join(f"lone{k}x{i}" for i in range(80)) for k in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k % 3]) for k in range(300)] + [(None, texts[0]), (None, "not owned by any row"), (2000, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    classes = written(jaccard.scan(docs).where("part is null and n > 0 and id is not null").groupBy("d1", "n").agg(F.min("id").alias("id")), "classes")
+    levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    monkeypatch.setattr(jaccard, "HELD", 300)
+    monkeypatch.setattr(jaccard, "PIECE", 5)
+    steps, whole = [], jaccard.arrow_map
+
+    def recorded(*given):
+        steps.append(whole(*given))
+        return steps[-1]
+
+    monkeypatch.setattr(jaccard, "arrow_map", recorded)
+    found = jaccard.postings(docs, levels, classes)
+    expected, having = set(), {}
+    for text in dict.fromkeys(texts):
+        own = jaccard.shingle_sets(pa.array([text]))[0]
+        for pos, token in enumerate(jaccard.prefix(own, levels).astype(np.int64).tolist()):
+            expected.add((token, jaccard.node_of(own), len(own), pos))
+            having.setdefault(token, set()).add(jaccard.node_of(own))
+    shared = {row for row in expected if len(having[row[0]]) > 1}
+    assert sorted(map(tuple, found.collect())) == sorted(shared) and 0 < len(shared) < len(expected)
+    sent = steps[0].selectExpr("octet_length(token) div 8 AS k").agg(F.sum("k"), F.max("k")).first()
+    assert tuple(sent) == (len(expected), 5)
+
+
+def test_several_sets_have_the_minima_and_bitmaps_of_each(spark):
+    texts = ["", "one", "a b c d e f g", " ".join(f"w{i}" for i in range(3000)), "", " ".join(f"v{i}" for i in range(90))]
+    sets = jaccard.shingle_sets(pa.array(texts))
+    rows = {r.id: r for r in jaccard.scan(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)).where("part is null").collect()}
+    for k, own in enumerate(sets):
+        assert rows[k].n == len(own)
+        assert rows[k].minima == [int((own * odd).min().astype(np.int64)) if len(own) else 0 for odd in jaccard.ODD]
+        assert rows[k].parity == jaccard.parity(own).view(np.int64).tolist() and (rows[k].fine is None) == (len(own) <= 1024)
+
+
+def test_pairs_of_lists_are_told_apart_in_order():
+    pairs = np.random.default_rng(3).integers(-4, 4, (500, 2))
+    assert np.array_equal(jaccard.distinct_pairs(pairs), np.unique(pairs, axis=0))
+    assert jaccard.distinct_pairs(pairs[:0]).shape == (0, 2) and len(jaccard.distinct_pairs(pairs[:1])) == 1
+
+
 def test_labelled_texts_are_dealt_before_they_become_buckets(spark, monkeypatch):
     stored = []
 
